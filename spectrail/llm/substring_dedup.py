@@ -71,7 +71,7 @@ def _search(window: int, bits: int):
             bucket = (h[at] >> np.uint64(64 - bits)).astype(np.uint32)
             at = at[np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")]
             edges = np.flatnonzero(np.diff(h[at] >> np.uint64(64 - bits), prepend=np.uint64(1 << 63)))
-            for lo, hi in zip(edges, [*edges[1:], len(at)], strict=True):
+            for lo, hi in zip(edges, [*edges[1:], len(at)], strict=False):
                 x = at[lo:hi]
                 rows.append(_blob(int(h[x[0]] >> np.uint64(64 - bits)), h[x] if with_keys else None, doc[x], start[x]))
         for lo in range(0, len(rows), 1000):
