@@ -192,13 +192,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a rough word has six bytes
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, math.ceil(math.log2(max(least, size / 6 / BUCKET_WINDOWS))))
+    doc_buckets = max(least, math.ceil(size / 6 / (8 * BUCKET_WINDOWS)))
     found = (
         rows.where("doc_id is not null and text is not null")
         .mapInArrow(_search(window, bits), _BLOBS)
         .groupBy("bucket")
-        .applyInArrow(_later(1 << bits), _BLOBS)
+        .applyInArrow(_later(doc_buckets), _BLOBS)
         .groupBy("bucket")
         .applyInArrow(_merged(window), "span_doc bigint, spans binary")
     )
