@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
+try:
+    import public_tokenizers
+
+    #: The vocabulary of the registered query; operators take a path.
+    TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+except ImportError:  # the files lie in the folder that the package links to
+    TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(_table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_bpe, op9_substring_dedup)}
