@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Sketch rows of all items up to which they are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def _shingles(text: Column, n: int) -> Column:
-    """The n-word shingles of a lower-cased text, in order, repeats included; of fewer words the whole sequence; of none, none."""
+def _each_shingle(text: Column, n: int, of: Callable[[Column, Column], Column]) -> Column:
+    """of(words, k) for the start k of each n-word shingle of a lower-cased text, repeats included; a text of fewer words has one start, one of none has none."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda k: F.concat_ws(" ", F.slice(words, k + 1, n))))
+    # The array around the words binds them to w, so that a text is split once and not once a shingle.
+    runs = F.transform(F.array(words), lambda w: F.transform(F.slice(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), F.lit(1), F.size(w)), lambda k: of(w, k)))
+    return F.get(runs, F.lit(0))
+
+
+def _shingle(words: Column, k: Column, n: int) -> Column:
+    return F.concat_ws(" ", F.slice(words, k + 1, n))
+
+
+def _hash(words: Column, k: Column, n: int) -> Column:
+    return F.xxhash64(*[F.get(words, k + i) for i in range(n)])
+
+
+def _shingle_hashes(text: Column, n: int) -> Column:
+    return _each_shingle(text, n, lambda w, k: _hash(w, k, n))
 
 
 def item_sketches(items: DataFrame, n: int = 5, percent: int = 80, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -23,10 +41,11 @@ def item_sketches(items: DataFrame, n: int = 5, percent: int = 80, item_col: str
     contains the item therefore has a shingle of the sketch: the search loses none.
     The sketch's length grows with the item's size.
     """
-    rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.array_distinct(_shingles(F.col(text_col), n)).alias("item_shingles")).where(F.size("item_shingles") > 0)
-    rows = rows.withColumn("n_item", F.size("item_shingles")).withColumn("n_needed", F.ceil(F.col("n_item") * percent / F.lit(100)).cast("int"))
-    by_hash = F.array_sort(F.transform("item_shingles", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s"))))
-    return rows.withColumn("sketch", F.slice(F.transform(by_hash, lambda x: x["s"]), F.lit(1), F.col("n_item") - F.col("n_needed") + 1))
+    rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.arrays_zip(_shingle_hashes(F.col(text_col), n).alias("h"), _each_shingle(F.col(text_col), n, lambda w, k: _shingle(w, k, n)).alias("s")).alias("both"))
+    rows = rows.select("item_id", F.array_sort(F.array_distinct("both")).alias("both")).where(F.size("both") > 0)
+    rows = rows.select("item_id", F.col("both.s").alias("item_shingles"), F.col("both.h").alias("hashes"), F.size("both").alias("n_item"))
+    rows = rows.withColumn("n_needed", F.ceil(F.col("n_item") * percent / F.lit(100)).cast("int"))
+    return rows.withColumn("sketch", F.slice("hashes", F.lit(1), F.col("n_item") - F.col("n_needed") + 1))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -35,19 +54,21 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     A document contains an item if it has ``percent`` % or more of the item's
     distinct n-word shingles.  Items are parted by size (a power of two): a part
     is searched only in documents that have as many shingles as its smallest
-    need.  Candidates share a shingle of the item's sketch; all are verified
+    need.  Candidates share a hash of the item's sketch; all are verified
     with exact shingles.  Null or empty texts contain nothing and aren't
-    contained; rows with a null id take no part; rows that repeat an id are
-    judged each, equal results come once.
+    contained; rows with a null id take no part; of rows that
+    repeat an id the one that shares most counts.
     """
-    sketches = item_sketches(items, n, percent, item_col, item_text_col)
+    sketches = written(item_sketches(items, n, percent, item_col, item_text_col))
     part = F.floor(F.log2("n_needed"))
-    probes = sketches.select("item_id", "n_item", part.alias("part"), F.explode("sketch").alias("shingle"))
+    probes = sketches.select("item_id", part.alias("part"), F.explode("sketch").alias("hash"))
     probes = F.broadcast(probes) if probes.count() <= BROADCAST_ROWS else probes
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"))
-    found = rows.select("doc_id", F.explode(_shingles(F.col("doc_text"), n)).alias("shingle"), F.length("doc_text").alias("doc_size"))
-    room = F.floor(F.log2((F.col("doc_size") + 1) / 2))  # a shingle takes two characters at least
-    candidates = found.join(probes, "shingle").where(F.col("part") <= room).select("doc_id", "item_id").distinct()
-    checked = candidates.join(rows, "doc_id").join(sketches.select("item_id", "item_shingles", "n_item", "n_needed"), "item_id")
-    checked = checked.withColumn("n_shared", F.size(F.array_intersect(_shingles(F.col("doc_text"), n), F.col("item_shingles")))).where(F.col("n_shared") >= F.col("n_needed"))
-    return checked.select("doc_id", "item_id", F.col("n_item").cast("bigint").alias("n_item"), F.col("n_shared").cast("bigint").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
+    hashed = rows.select("doc_id", _shingle_hashes(F.col("doc_text"), n).alias("doc_hashes"))
+    found = hashed.select("doc_id", F.floor(F.log2(F.size("doc_hashes"))).alias("room"), F.explode("doc_hashes").alias("hash"))
+    candidates = found.join(probes, "hash").where(F.col("part") <= F.col("room")).select("doc_id", "item_id").distinct()
+    checked = candidates.join(rows, "doc_id").join(sketches.drop("sketch"), "item_id")
+    same = _each_shingle(F.col("doc_text"), n, lambda w, k: F.when(F.array_contains("hashes", _hash(w, k, n)), _shingle(w, k, n)))
+    checked = checked.select("doc_id", "item_id", "n_item", "n_needed", F.size(F.array_intersect(same, F.col("item_shingles"))).alias("n_shared"))
+    checked = checked.groupBy("doc_id", "item_id", "n_item", "n_needed").agg(F.max("n_shared").alias("n_shared")).where(F.col("n_shared") >= F.col("n_needed"))
+    return checked.select("doc_id", "item_id", F.col("n_item").cast("bigint").alias("n_item"), F.col("n_shared").cast("bigint").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment"))

@@ -66,7 +66,9 @@ def line_dedup(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_toke
     lines = F.split(F.col(text_col), "\n")
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dedup_drop"))
-    kept = F.when(F.col("_dedup_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
+    # The array around the lines binds them to all_lines, so that a text is split once and not once a line.
+    left = F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(stay, lambda k: F.get(all_lines, k)), "\n"))
+    kept = F.when(F.col("_dedup_drop").isNull(), F.col(text_col)).otherwise(F.get(left, F.lit(0)))
     gone = F.when(F.col("_dedup_drop").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(stay))
     out = docs.join(drops, F.col(id_col) == F.col("_dedup_doc"), "left")
     return out.withColumns({"n_lines": size.cast("bigint"), "n_dropped": gone.cast("bigint"), text_col: kept}).drop("_dedup_doc", "_dedup_drop")
