@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .decontamination import contained_items
 from .line_dedup import line_dedup
+from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -37,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(_table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -47,4 +52,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_bpe, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_bpe, op7_ngram_join, op9_substring_dedup, op10_line_dedup)}

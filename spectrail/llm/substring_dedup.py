@@ -7,50 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import BLOBS, BUCKET, FLUSH, bucket_bits, bucketed, leads, planes, table, unpacked, unplanes
 from .words import chunks
 
-#: Windows that a map task sorts at once, and that a bucket is sized for; both bound memory, neither changes the result.
-FLUSH_WINDOWS = 1_500_000
-BUCKET_WINDOWS = 500_000
-
-_BLOBS = "bucket int, n int, keys binary, docs binary, starts binary"
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes of their differences."""
-    step = np.diff(values, prepend=values.dtype.type(0))
-    return zstandard.compress(step.view(np.uint8).reshape(-1, step.itemsize).T.tobytes(), 1)
-
-
-def _unplanes(blob: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.cumsum(np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
-
-
-def _blob(bucket: int, keys: np.ndarray | None, docs: np.ndarray, starts: np.ndarray) -> tuple:
-    """keys: 7 low bytes of each hash, the bucket holds the high bits; none for windows known as repeated."""
-    body = b"" if keys is None else np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-    return bucket, len(docs), body, _planes(docs), _planes(starts)
-
-
-def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in names.split(",")]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows), fields, strict=True)], [n for n, _ in fields])
-
-
-def _leads(keys: np.ndarray) -> np.ndarray:
-    """Of sorted keys, for each the position of the first that equals it."""
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
-
-
 def _search(window: int, bits: int):
     """Each task's windows by bucket of their hash; what repeats within a flush is settled there, so a hot window leaves once a flush."""
 
@@ -60,22 +22,16 @@ def _search(window: int, bits: int):
             order = np.lexsort((start, doc))
             h, doc, start = h[order], doc[order], start[order]
         order = np.argsort(h, kind="stable")
-        lead = order[_leads(h[order])]
+        lead = order[leads(h[order])]
         fresh = np.zeros(len(h), bool)
         fresh[lead] = True
         mine = order[order != lead]
         lead = lead[order != lead]
         known = np.sort(mine[(doc[mine] != doc[lead]) | (start[mine] != start[lead])])
-        rows = []
-        for at, with_keys in ((np.flatnonzero(fresh), True), (known, False)):
-            bucket = (h[at] >> np.uint64(64 - bits)).astype(np.uint32)
-            at = at[np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")]
-            edges = np.flatnonzero(np.diff(h[at] >> np.uint64(64 - bits), prepend=np.uint64(1 << 63)))
-            for lo, hi in zip(edges, [*edges[1:], len(at)], strict=False):
-                x = at[lo:hi]
-                rows.append(_blob(int(h[x[0]] >> np.uint64(64 - bits)), h[x] if with_keys else None, doc[x], start[x]))
+        at = np.flatnonzero(fresh)
+        rows = bucketed(h[at], bits, doc[at], start[at], True) + bucketed(h[known], bits, doc[known], start[known], False)
         for lo in range(0, len(rows), 1000):
-            yield _batch(rows[lo : lo + 1000], _BLOBS)
+            yield from table(rows[lo : lo + 1000]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -86,7 +42,7 @@ def _search(window: int, bits: int):
                 if len(at):
                     parts.append((h, ids[c.row + c.doc[at]], (at - c.first[c.doc[at]]).astype(np.int32)))
                     held += len(at)
-                if held >= FLUSH_WINDOWS:
+                if held >= FLUSH:
                     yield from flush(parts)
                     parts, held = [], 0
         if parts:
@@ -98,14 +54,12 @@ def _search(window: int, bits: int):
 def _later(doc_buckets: int):
     """Of one bucket's windows, those whose hash has an earlier place, by bucket of document."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         h, doc, start, known = [], [], [], []
-        for row in table.to_pylist():
-            d, s = _unplanes(row["docs"], np.int64), _unplanes(row["starts"], np.int32)
+        for row in group.to_pylist():
+            d, s = unplanes(row["docs"], np.int64), unplanes(row["starts"], np.int32)
             if row["keys"]:
-                k = np.zeros((len(d), 8), np.uint8)
-                k[:, :7] = np.frombuffer(row["keys"], np.uint8).reshape(-1, 7)
-                h.append(k.view(np.uint64).ravel())
+                h.append(unpacked(row["keys"]))
                 doc.append(d)
                 start.append(s)
             else:
@@ -119,7 +73,7 @@ def _later(doc_buckets: int):
             many[:-1] |= same
             x = order[many]
             x = x[np.lexsort((start[x], doc[x], h[x]))]
-            lead = x[_leads(h[x])]
+            lead = x[leads(h[x])]
             x = x[(doc[x] != doc[lead]) | (start[x] != start[lead])]
             known.append((doc[x], start[x]))
         doc, start = map(np.concatenate, zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int32))
@@ -127,22 +81,21 @@ def _later(doc_buckets: int):
         order = np.lexsort((start, doc, to))
         doc, start, to = doc[order], start[order], to[order]
         edges = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else []
-        rows = [(int(to[lo]), hi - lo, b"", _planes(doc[lo:hi]), _planes(start[lo:hi])) for lo, hi in zip(edges, [*edges[1:], len(to)], strict=False)]
-        return pa.Table.from_batches([_batch(rows, _BLOBS)] if rows else [], schema=_SCHEMA)
+        rows = [(int(to[lo]), hi - lo, b"", planes(doc[lo:hi]), planes(start[lo:hi])) for lo, hi in zip(edges, [*edges[1:], len(to)], strict=False)]
+        return table(rows)
 
     return run
 
 
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
 _SPANS = pa.schema([("span_doc", pa.int64()), ("spans", pa.binary())])
 
 
 def _merged(window: int):
     """Maximal intervals of words of each document from the starts of its repeated windows."""
 
-    def run(table: pa.Table) -> pa.Table:
-        doc = np.concatenate([_unplanes(x, np.int64) for x in table.column("docs").to_pylist()])
-        start = np.concatenate([_unplanes(x, np.int32) for x in table.column("starts").to_pylist()])
+    def run(group: pa.Table) -> pa.Table:
+        doc = np.concatenate([unplanes(x, np.int64) for x in group.column("docs").to_pylist()])
+        start = np.concatenate([unplanes(x, np.int32) for x in group.column("starts").to_pylist()])
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         new = np.ones(len(doc), bool)
@@ -192,14 +145,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a rough word has six bytes
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, math.ceil(math.log2(max(least, size / 6 / BUCKET_WINDOWS))))
-    doc_buckets = max(least, math.ceil(size / 6 / (8 * BUCKET_WINDOWS)))
+    bits = bucket_bits(spark, size / 6)
+    doc_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / (8 * BUCKET)))
     found = (
         rows.where("doc_id is not null and text is not null")
-        .mapInArrow(_search(window, bits), _BLOBS)
+        .mapInArrow(_search(window, bits), BLOBS)
         .groupBy("bucket")
-        .applyInArrow(_later(doc_buckets), _BLOBS)
+        .applyInArrow(_later(doc_buckets), BLOBS)
         .groupBy("bucket")
         .applyInArrow(_merged(window), "span_doc bigint, spans binary")
     )
