@@ -13,6 +13,7 @@ from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 try:
     import public_tokenizers
@@ -59,6 +60,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(_table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -69,4 +74,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_html_extraction, op5_bpe, op7_ngram_join, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_html_extraction, op5_bpe, op7_ngram_join, op8_toxicity, op9_substring_dedup, op10_line_dedup)}

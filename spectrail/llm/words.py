@@ -79,8 +79,13 @@ class Chunk:
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(self.rows), np.diff(self.first))
         sums = _prefix((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1), _BASE)
-        raw = (sums[self.ends] - sums[self.starts]) * _power(_BASE, len(data) + 1)[1][self.starts]
-        self.hash = mix(raw ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        self._sums = sums
+        self.hash = self.hash_of(self.starts, self.ends)
+
+    def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes, one for each start and end."""
+        raw = (self._sums[ends] - self._sums[starts]) * _power(_BASE, len(self.data) + 1)[1][starts]
+        return mix(raw ^ (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every run of n words of one row, in order."""
