@@ -67,7 +67,8 @@ def _dup_lines(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(row[dup], minlength=c.rows), np.bincount(row, minlength=c.rows)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], keep: int = 3) -> Iterator[pa.RecordBatch]:
+    """The counts of each row after its first ``keep`` columns; the fourth column is the text."""
     for batch in batches:
         parts = []
         for c in chunks(batch.column(3)):
@@ -84,15 +85,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = [np.diff(c.first), _per_row(point & (np.cumsum(word[:-1]) > 0), c.offsets), _per_row(_SYMBOL[c.data], c.offsets), dup, _repeat_words(c), lines, _per_row(upper, c.offsets), _per_row(letter | two, c.offsets)]
             parts.append(np.stack([x.astype(np.int64) for x in each]))
         if parts:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, np.concatenate(parts, 1))], ["doc_id", "lang", "source", *_COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, np.concatenate(parts, 1))], [*batch.schema.names[:keep], *_COUNTS])
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and measures of each document; null lang and source as empty strings."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Counts and measures of each document, and its text if asked for; null lang and source as empty strings."""
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text")
     )
-    out = rows.mapInArrow(_counts, "doc_id bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    counts = (lambda batches: _counts(batches, 4)) if with_text else _counts
+    out = rows.mapInArrow(counts, "doc_id bigint, lang string, source string, " + "text string, " * with_text + ", ".join(f"{c} bigint" for c in _COUNTS))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.withColumns(
         {

@@ -10,6 +10,7 @@ from .decontamination import contained_items
 from .html_extraction import extract
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
@@ -56,6 +57,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "kept")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -74,4 +79,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_html_extraction, op5_bpe, op7_ngram_join, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_html_extraction, op5_bpe, op6_quality_classifier, op7_ngram_join, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
