@@ -17,6 +17,8 @@ from .words import chunks, mix
 
 #: Fragments in which overlaps of a candidate pair are counted apart.
 FRAGMENTS = 8
+#: Documents in candidate pairs (24 bytes each) up to which they are broadcast to fetch their texts.
+BROADCAST_ROWS = 2_000_000
 #: Words of 64 bits in a document's parity sketch.
 SKETCH = 8
 
@@ -164,7 +166,8 @@ def _apart(a: str, b: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) of documents those that link: overlaps are counted in each fragment apart, then summed."""
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    wanted = wanted.join(sizes, "doc").select("doc", "n", "sum_hash")
+    wanted = written(wanted.join(sizes, "doc").select("doc", "n", "sum_hash"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else the texts are shuffled
     parts = docs.join(wanted, docs.doc_id == wanted.doc).select("doc_id", "text", "n", "sum_hash").mapInArrow(_fragments(n), "doc bigint, fragment int, shingles array<bigint>")
     parts = written(parts.dropDuplicates(["doc", "fragment"]))
     left, right = parts.withColumnsRenamed({"doc": "a", "shingles": "left"}), parts.withColumnsRenamed({"doc": "b", "shingles": "right"})
