@@ -1,6 +1,448 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and their SQL for DuckDB.
+
+The embeddings table stands for spectra: sample_idx is vec_id, x the embedding,
+label the class; where a response is needed it is element 6, left out of x.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrail.operators import classification, decomposition, metrics, outliers, regression, selection, splits
+from spectrail.operators import preprocess as pre
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_S = "with s as (select vec_id sample_idx, label, list_transform(embedding, lambda v: v::double) x from embeddings), l as (select sample_idx, label, unnest(x) v, generate_subscripts(x, 1) - 1 var_idx from s)"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def spectra(spark: SparkSession, sf_dir: str, columns: list[int] | None = None) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_idx"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return pre.SelectVariables(tuple(columns)).transform(rows) if columns else rows
+
+
+def supervised(spark: SparkSession, sf_dir: str, folds: int = 5) -> DataFrame:
+    """x without element 6, y element 6, and the fold that holds each sample out."""
+    rows = spectra(spark, sf_dir).withColumn("y", F.get("x", F.lit(6))).withColumn("x", F.concat(F.slice("x", 1, 6), F.slice("x", 8, 57)))
+    return rows.join(splits.k_fold(rows, folds, shuffle=False), "sample_idx")
+
+
+def exploded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("sample_idx", F.posexplode("x").alias("var_idx", "value")).withColumn("value", F.round("value", digits) + 0.0)
+
+
+def _listed(expression: str) -> str:
+    return f"{_S}, r as (select sample_idx, {expression} r from s) select sample_idx, (generate_subscripts(r, 1) - 1)::int var_idx, round(unnest(r), 6) + 0.0 as value from r"
+
+
+def _step(name: str, step: Callable[[], pre.Step], sql: str | None, columns: list[int] | None = None) -> None:
+    def run(spark, sf_dir):
+        return exploded(step().fit_transform(spectra(spark, sf_dir, columns)))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_FRAME = "over (partition by sample_idx order by var_idx rows between 2 preceding and 2 following)"
+_step("snv", pre.Snv, _listed("list_transform(x, lambda v: (v - list_avg(x)) / list_stddev_samp(x))"))
+_step("normalise_l1", lambda: pre.Normalise("l1"), _listed("list_transform(x, lambda v: v / list_sum(list_transform(x, lambda u: abs(u))))"))
+_step("normalise_l2", lambda: pre.Normalise("l2"), _listed("list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda u: u * u))))"))
+_step("normalise_max", lambda: pre.Normalise("max"), _listed("list_transform(x, lambda v: v / list_max(list_transform(x, lambda u: abs(u))))"))
+_step("normalise_area", lambda: pre.Normalise("area"), _listed("list_transform(x, lambda v: v / list_sum(x))"))
+_step("mean_centre", pre.MeanCentre, f"{_S} select sample_idx, var_idx::int var_idx, round(v - avg(v) over (partition by var_idx), 6) + 0.0 as value from l")
+_step("autoscale", pre.Autoscale, f"{_S} select sample_idx, var_idx::int var_idx, round((v - avg(v) over w) / stddev_samp(v) over w, 6) + 0.0 as value from l window w as (partition by var_idx)")
+_step("autoscale_population", lambda: pre.Autoscale(ddof=0), f"{_S} select sample_idx, var_idx::int var_idx, round((v - avg(v) over w) / stddev_pop(v) over w, 6) + 0.0 as value from l window w as (partition by var_idx)")
+for _name, _fn in (("mean", "avg"), ("median", "median")):
+    _step(
+        f"msc_{_name}",
+        lambda kind=_name: pre.Msc(reference=kind),
+        f"{_S}, m as (select *, {_fn}(v) over (partition by var_idx) r from l), f as (select sample_idx, regr_slope(v, r) b, regr_intercept(v, r) a from m group by 1) select sample_idx, var_idx::int var_idx, round((v - a) / b, 6) + 0.0 as value from m join f using (sample_idx)",
+    )
+_step("moving_average", lambda: pre.MovingAverage(5), f"{_S} select sample_idx, var_idx::int var_idx, round(avg(v) {_FRAME}, 6) + 0.0 as value from l")
+_step("median_filter", lambda: pre.MedianFilter(5), f"{_S} select sample_idx, var_idx::int var_idx, round(median(v) {_FRAME}, 6) + 0.0 as value from l")
+_step(
+    "savgol_derivative",
+    lambda: pre.SavGol(5, 2, 1),
+    _listed("list_transform(range(64), lambda j: list_sum(list_transform(range(5), lambda i: x[least(greatest(j - 2, 0), 59) + i + 1] * ((i - 2) / 10.0 + 2 * (j - least(greatest(j - 2, 0), 59) - 2) * ((i - 2) * (i - 2) - 2) / 14.0))))"),
+)
+_step(
+    "gaussian_smoother",
+    lambda: pre.Gaussian(1.0),
+    _listed("list_transform(range(64), lambda j: list_sum(list_transform(range(greatest(j - 4, 0), least(j + 4, 63) + 1), lambda i: x[i + 1] * exp(-0.5 * (i - j) * (i - j)))) / list_sum(list_transform(range(greatest(j - 4, 0), least(j + 4, 63) + 1), lambda i: exp(-0.5 * (i - j) * (i - j)))))"),
+)
+_step("whittaker_smoother", lambda: pre.Whittaker(100.0), None)
+_step("baseline_asls", pre.Baseline, None)
+_step("baseline_rubberband", lambda: pre.Baseline("rubberband"), None)
+_step(
+    "baseline_polynomial",
+    lambda: pre.Baseline("polynomial", order=1),
+    f"{_S}, f as (select sample_idx, regr_slope(v, var_idx) b, regr_intercept(v, var_idx) a from l group by 1) select sample_idx, var_idx::int var_idx, round(v - a - b * var_idx, 6) + 0.0 as value from l join f using (sample_idx)",
+)
+_step("range_select", lambda: pre.range_select(np.arange(64.0), 10, 20), f"{_S} select sample_idx, (var_idx - 10)::int var_idx, round(v, 6) + 0.0 as value from l where var_idx between 10 and 20")
+_step("select_variables", lambda: pre.SelectVariables((9, 1, 5, 1)), f"{_S} select sample_idx, ((var_idx - 1) // 4)::int var_idx, round(v, 6) + 0.0 as value from l where var_idx in (1, 5, 9)")
+
+_POSITION = "with s as (select vec_id sample_idx, label, row_number() over (order by vec_id) - 1 pos, count(*) over () n from embeddings)"
+_FOLD = "(case when pos < (n % 5) * (n // 5 + 1) then pos // (n // 5 + 1) else (pos - (n % 5) * (n // 5 + 1)) // (n // 5) + n % 5 end)"
+
+
+@query(f"{_POSITION} select {_FOLD}::int fold, sample_idx from s")
+def k_fold(spark, sf_dir):
+    return splits.k_fold(spectra(spark, sf_dir), 5, shuffle=False)
+
+
+@query(f"{_POSITION} select pos::int fold, sample_idx from s")
+def leave_one_out(spark, sf_dir):
+    return splits.leave_one_out(spectra(spark, sf_dir))
+
+
+@query(f"{_POSITION} select 0 fold, sample_idx from s where pos < ceil(0.25 * n)")
+def train_test(spark, sf_dir):
+    return splits.train_test(spectra(spark, sf_dir), 0.25, shuffle=False)
+
+
+@query(f"{_POSITION} select ((row_number() over (order by label, sample_idx) - 1) % 5)::int fold, sample_idx from s")
+def stratified_k_fold(spark, sf_dir):
+    return splits.stratified_k_fold(spectra(spark, sf_dir), "label", 5)
+
+
+@query(f"{_POSITION}, r as (select sample_idx, row_number() over (partition by label order by sample_idx) k, count(*) over (partition by label) m from s) select 0 fold, sample_idx from r where k <= ceil(0.25 * m)")
+def stratified_train_test(spark, sf_dir):
+    return splits.stratified_train_test(spectra(spark, sf_dir), "label", 0.25)
+
+
+@query("with s as (select vec_id sample_idx, dense_rank() over (order by label) - 1 g from embeddings), k as (select max(g) + 1 n from s) select (case when g < (n % 3) * (n // 3 + 1) then g // (n // 3 + 1) else (g - (n % 3) * (n // 3 + 1)) // (n // 3) + n % 3 end)::int fold, sample_idx from s, k")
+def grouped_k_fold(spark, sf_dir):
+    return splits.by_group(spectra(spark, sf_dir), "label", splits.k_fold, n_splits=3, shuffle=False)
+
+
+@query()
+def shuffled_k_fold(spark, sf_dir):
+    return splits.k_fold(spectra(spark, sf_dir), 5, shuffle=True, seed=42)
+
+
+_SUP = f"""with s as (select vec_id sample_idx, row_number() over (order by vec_id) - 1 pos, count(*) over () n, list_transform(embedding, lambda v: v::double) e from embeddings),
+f as (select sample_idx, {_FOLD} fold, e[7] y, list_concat(e[1:6], e[8:64]) x from s),
+k as (select distinct fold from f),
+l as (select sample_idx, fold, y, unnest(x) v, generate_subscripts(x, 1) - 1 j from f),
+m as (select k.fold, j, avg(v) mv from l join k on l.fold <> k.fold group by 1, 2),
+my as (select k.fold, avg(y) my from f join k on f.fold <> k.fold group by 1),
+c as (select k.fold, j, sum((v - mv) * (y - my)) c from l join k on l.fold <> k.fold join m using (fold, j) join my on my.fold = k.fold group by 1, 2)"""
+_SUP = _SUP.replace("join m using (fold, j) join my on my.fold = k.fold", "join m on m.fold = k.fold and m.j = l.j join my on my.fold = k.fold").replace("select k.fold, j, sum((v", "select k.fold, l.j, sum((v")
+_A1 = _SUP + """,
+w as (select fold, j, c / sqrt(sum(c * c) over (partition by fold)) w from c),
+t as (select k.fold out, l.fold, l.sample_idx, l.y, sum((v - mv) * w) t from l cross join k join m on m.fold = k.fold and m.j = l.j join w on w.fold = k.fold and w.j = l.j group by all),
+q as (select out, sum(t * (y - my)) / sum(t * t) q from t join my on my.fold = out where t.fold <> out group by 1),
+p as (select t.sample_idx, t.fold, t.y, my + q * t p from t join my on my.fold = out join q using (out) where t.fold = out)"""
+
+
+@query(_SUP + " select f.sample_idx, l.j::int var_idx, round(l.v - m.mv, 6) + 0.0 as value from f join l using (sample_idx) join m on m.fold = f.fold and m.j = l.j")
+def fold_mean_centre(spark, sf_dir):
+    """Held-out rows less the means of their training rows."""
+    df = supervised(spark, sf_dir)
+    long = df.select("sample_idx", "fold", F.posexplode("x").alias("var_idx", "v"))
+    sums = long.groupBy("fold", "var_idx").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy("var_idx").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    means = sums.join(whole, "var_idx").select("fold", "var_idx", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("mean"))
+    return long.join(F.broadcast(means), ["fold", "var_idx"]).select("sample_idx", "var_idx", (F.round(F.col("v") - F.col("mean"), 6) + 0.0).alias("value"))  # folds x variables rows
+
+
+@query(_A1 + " select sample_idx, fold::int fold, round(p, 6) + 0.0 as p from p")
+def pls_held_out(spark, sf_dir):
+    """Predictions of one-component partial least squares, each from the other folds."""
+    got = regression.cross_validated(supervised(spark, sf_dir), "y", regression.pls_path(1))
+    return got.select("sample_idx", "fold", (F.round(F.get("yhat", F.lit(0)), 6) + 0.0).alias("p"))
+
+
+@query(_A1 + " select fold::int fold, count(*) n, round(sqrt(avg((y - p) * (y - p))), 6) rmsecv from p group by 1 union all select null, count(*), round(sqrt(avg((y - p) * (y - p))), 6) from p")
+def rmsecv_by_fold(spark, sf_dir):
+    got = regression.cross_validated(supervised(spark, sf_dir), "y", regression.pls_path(1)).withColumn("p", F.get("yhat", F.lit(0)))
+    return metrics.cross_validation(got).select("fold", "n", F.round("rmsecv", 6).alias("rmsecv"))
+
+
+@query()
+def rmsecv_curve(spark, sf_dir):
+    """The flagship: SNV, five folds, centring and five components of partial least squares refitted in each."""
+    df = pre.Snv().transform(supervised(spark, sf_dir))
+    return regression.rmsecv_curve(df, "y", regression.pls_path(5)).select("a", F.round("rmsecv", 8).alias("rmsecv"), F.round("q2", 8).alias("q2"))
+
+
+def _curve(name: str, fit: Callable[[], regression.Fit]) -> None:
+    def run(spark, sf_dir):
+        return regression.rmsecv_curve(supervised(spark, sf_dir), "y", fit()).select("a", F.round("rmsecv", 6).alias("rmsecv"), F.round("q2", 6).alias("q2"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_curve("pcr_curve", lambda: regression.pcr_path(5))
+_curve("opls_curve", lambda: regression.opls_path(3))
+_curve("ridge_curve", lambda: regression.ridge_path([0.01, 1.0, 100.0]))
+_curve("elastic_net_curve", lambda: regression.elastic_net_path([0.1, 0.01, 0.001]))
+_curve("mlr_error", lambda: regression.mlr_fit)
+
+
+@query()
+def svr_held_out(spark, sf_dir):
+    got = regression.svr(supervised(spark, sf_dir), "y", 5)
+    return metrics.regression_metrics(got).select("n", F.round("rmse", 4).alias("rmse"))
+
+
+_LINE = "with l as (select l_extendedprice y, l_quantity a, l_discount b from lineitem), m as (select avg(y) my, avg(a) ma, avg(b) mb, count(*) n from l), c as (select sum((a - ma) * (a - ma)) aa, sum((a - ma) * (b - mb)) ab, sum((b - mb) * (b - mb)) bb, sum((a - ma) * (y - my)) ay, sum((b - mb) * (y - my)) cy from l, m)"
+
+
+def _lineitem(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.array("l_quantity", "l_discount").alias("x"), F.col("l_extendedprice").alias("y"), F.lit(0).alias("fold"))
+
+
+def _coefficients(spark, m, b) -> DataFrame:
+    return spark.createDataFrame([(float(b[0]), float(b[1]), float(m.y_mean[0] - m.x_mean @ b))], "b0 double, b1 double, intercept double").select(*[F.round(c, 4).alias(c) for c in ("b0", "b1", "intercept")])
+
+
+def _line_model(name: str, fit, penalty: float) -> None:
+    def run(spark, sf_dir):
+        from spectrail.operators.factors import training_sets
+
+        m, _ = training_sets(_lineitem(spark, sf_dir), ["y"])
+        return _coefficients(spark, m, fit(m)[0])
+
+    run.__name__ = name
+    query(
+        f"{_LINE}, r as (select aa + {penalty} aa, ab, bb + {penalty} bb, ay, cy from c), s as (select (bb * ay - ab * cy) / (aa * bb - ab * ab) b0, (aa * cy - ab * ay) / (aa * bb - ab * ab) b1 from r) select round(b0, 4) b0, round(b1, 4) b1, round(my - b0 * ma - b1 * mb, 4) intercept from s, m"
+    )(run)
+
+
+_line_model("mlr_lineitem", regression.mlr_fit, 0.0)
+_line_model("ridge_lineitem", regression.ridge_path([100.0]), 100.0)
+
+
+@query("with l as (select l_extendedprice y, l_quantity a from lineitem), m as (select avg(y) my, avg(a) ma, count(*) n from l), c as (select sum((a - ma) * (a - ma)) aa, sum((a - ma) * (y - my)) ay from l, m) select round(greatest(ay - n * 1000.0, 0) / aa, 6) b from c, m")
+def lasso_lineitem(spark, sf_dir):
+    from spectrail.operators.factors import training_sets
+
+    one = _lineitem(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
+    m, _ = training_sets(one, ["y"])
+    return spark.createDataFrame([(round(float(regression.elastic_net_path([1000.0], 1.0)(m)[0, 0]), 6),)], "b double")
+
+
+_METRICS = """with l as (select l_returnflag g, l_extendedprice y, 1500 * l_quantity p from lineitem)
+select g, count(*) n, round(sqrt(avg((y - p) * (y - p))), 3) rmse, round(avg(y - p), 3) bias, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) r2,
+round(sqrt((sum((y - p) * (y - p)) - count(*) * avg(y - p) * avg(y - p)) / (count(*) - 3)), 3) sec, round(stddev_samp(y - p), 3) sep, round(corr(y, p) * corr(y, p), 6) r2_pearson from l group by 1"""
+
+
+@query(_METRICS)
+def regression_metrics(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("p"))
+    got = metrics.regression_metrics(df, ["g"], n_components=2)
+    return got.select("g", "n", *[F.round(c, 3).alias(c) for c in ("rmse", "bias", "sec", "sep")], *[F.round(c, 6).alias(c) for c in ("r2", "r2_pearson")])
+
+
+@query(
+    "with l as (select l_linenumber fold, l_extendedprice y, 1500 * l_quantity p from lineitem), f as (select fold, count(*) n, sqrt(avg((y - p) * (y - p))) e from l group by 1) select fold, n, round(e, 3) rmsecv, null::double q2, null::double rmsecv_std from f union all select null, count(*), round(sqrt(avg((y - p) * (y - p))), 3), round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6), round((select stddev_samp(e) from f), 3) from l"
+)
+def cross_validation_rollup(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").alias("fold"), F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("p"))
+    return metrics.cross_validation(df).select("fold", "n", F.round("rmsecv", 3).alias("rmsecv"), F.round("q2", 6).alias("q2"), F.round("rmsecv_std", 3).alias("rmsecv_std"))
+
+
+_TWO = "with s as (select vec_id sample_idx, label, embedding[1]::double a, embedding[2]::double b from embeddings)"
+_EIGEN = "m as (select avg(a) ma, avg(b) mb, var_samp(a) va, var_samp(b) vb, covar_samp(a, b) c from s), e as (select *, (va + vb) / 2 + sqrt((va - vb) * (va - vb) / 4 + c * c) e1, (va + vb) / 2 - sqrt((va - vb) * (va - vb) / 4 + c * c) e2 from m)"
+
+
+@query(f"{_TWO}, {_EIGEN} select 1 k, round(e1, 8) eigenvalue, round(e1 / (e1 + e2), 8) explained from e union all select 2, round(e2, 8), round(e2 / (e1 + e2), 8) from e")
+def pca_eigenvalues(spark, sf_dir):
+    model, _ = decomposition.fit_pca(spectra(spark, sf_dir, [0, 1]), 2)
+    return spark.createDataFrame([(k + 1, float(round(v, 8)), float(round(x, 8))) for k, (v, x) in enumerate(zip(model.eigenvalues, model.explained, strict=True))], "k int, eigenvalue double, explained double")
+
+
+_T2 = f"{_TWO}, {_EIGEN}, u as (select *, c / sqrt(c * c + (e1 - va) * (e1 - va)) u1, (e1 - va) / sqrt(c * c + (e1 - va) * (e1 - va)) u2 from e)"
+
+
+@query(f"{_T2} select sample_idx, round(((a - ma) * u1 + (b - mb) * u2) * ((a - ma) * u1 + (b - mb) * u2) / e1, 6) t2, round((a - ma) * (a - ma) + (b - mb) * (b - mb) - ((a - ma) * u1 + (b - mb) * u2) * ((a - ma) * u1 + (b - mb) * u2), 6) spe from s, u")
+def pca_distances(spark, sf_dir):
+    df = spectra(spark, sf_dir, [0, 1])
+    return decomposition.with_scores(df, *decomposition.fit_pca(df, 1)).select("sample_idx", F.round("t2", 6).alias("t2"), F.round("spe", 6).alias("spe"))
+
+
+@query()
+def pca_contributions(spark, sf_dir):
+    df = spectra(spark, sf_dir)
+    got = decomposition.contributions(df, *decomposition.fit_pca(df, 3))
+    return got.select("sample_idx", "var_idx", *[F.round(c, 6).alias(c) for c in ("t2_part", "residual", "residual2")])
+
+
+@query(f"{_TWO}, {_EIGEN} select sample_idx, round(1.0 / (select count(*) from s) + (a - ma) * (a - ma) / (va * ((select count(*) from s) - 1)), 8) leverage from s, e")
+def leverage(spark, sf_dir):
+    df = spectra(spark, sf_dir, [0]).withColumnRenamed("x", "t")
+    return outliers.with_leverage(df, 1).select("sample_idx", F.round("leverage", 8).alias("leverage"))
+
+
+@query(
+    f"{_TWO}, m as (select avg(a) ma, var_samp(a) * (count(*) - 1) saa, regr_slope(b, a) k, regr_intercept(b, a) c, count(*) n from s), r as (select sample_idx, 1.0 / n + (a - ma) * (a - ma) / saa h, b - c - k * a e, n from s, m), v as (select sqrt(sum(e * e) / (max(n) - 2)) sd from r) select sample_idx, round(e / (sd * sqrt(1 - h)), 6) studentised from r, v"
+)
+def studentised_residuals(spark, sf_dir):
+    from spectrail.operators.factors import training_sets
+
+    df = spectra(spark, sf_dir, [0]).withColumnRenamed("x", "t").join(spectra(spark, sf_dir, [1]).select("sample_idx", F.get("x", F.lit(0)).alias("y")), "sample_idx")
+    m, _ = training_sets(df.withColumn("fold", F.lit(0)), ["y"], x="t")
+    got = outliers.with_studentised(outliers.with_leverage(regression.predict(df, regression.mlr_fit(m)[0], m.x_mean, float(m.y_mean[0]), x="t"), 1), 1)
+    return got.select("sample_idx", F.round("studentised", 6).alias("studentised"))
+
+
+@query(f"{_TWO}, f as (select sample_idx, list_filter([case when abs(a) > 0.2 then 'first' end, case when abs(b) > 0.2 then 'second' end], lambda z: z is not null) broken from s) select sample_idx, array_to_string(broken, ',') broken, len(broken)::int n_broken from f where len(broken) > 0")
+def outlier_flags(spark, sf_dir):
+    df = spectra(spark, sf_dir, [0, 1]).select("sample_idx", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
+    return outliers.flags(df, {"first": ("a", 0.2), "second": ("b", 0.2)}).withColumn("broken", F.array_join("broken", ","))
+
+
+@query("select row_number() over (order by vec_id) - 1 sample_idx, label from embeddings where vec_id not in (0, 3, 17)")
+def exclusion(spark, sf_dir):
+    return outliers.exclude(spectra(spark, sf_dir), [3, 0, 17]).select("sample_idx", "label")
+
+
+@query()
+def robust_distances(spark, sf_dir):
+    df = spectra(spark, sf_dir)
+    got = outliers.robust(decomposition.with_scores(df, *decomposition.fit_pca(df, 3)), starts=50)
+    return got.select("sample_idx", F.round("d2", 4).alias("d2"))
+
+
+_DA = "with s as (select vec_id sample_idx, label::double y, list_transform(embedding, lambda v: v::double) x from embeddings where label in (0, 1)), l as (select sample_idx, y, unnest(x) v, generate_subscripts(x, 1) j from s), m as (select j, avg(v) mv from l group by 1), my as (select avg(y) my from s), c as (select j, sum((v - mv) * (y - my)) c from l join m using (j), my group by 1), w as (select j, c / sqrt(sum(c * c) over ()) w from c), t as (select sample_idx, y, sum((v - mv) * w) t from l join m using (j) join w using (j) group by all), q as (select sum(t * (y - my)) / sum(t * t) q from t, my), p as (select sample_idx, y::int observed, case when my + q * t >= 0.5 then 1 else 0 end predicted from t, q, my)"
+
+
+def _two_classes(spark, sf_dir) -> DataFrame:
+    return classification.pls_da(spectra(spark, sf_dir).where(F.col("label").isin(0, 1)), "label", 1)
+
+
+@query(_DA + " select sample_idx, observed, predicted from p")
+def pls_da(spark, sf_dir):
+    return _two_classes(spark, sf_dir).select("sample_idx", "observed", "predicted")
+
+
+@query(_DA + ", o as (select unnest([0, 1]) observed), k as (select unnest([0, 1]) predicted) select o.observed, k.predicted, count(p.sample_idx) n from o cross join k left join p using (observed, predicted) group by all")
+def confusion(spark, sf_dir):
+    return metrics.confusion(_two_classes(spark, sf_dir))
+
+
+@query(
+    _DA + ", k as (select unnest([0, 1]) class) select class, count(*) filter (observed = class) n, round(count(*) filter (observed = class and predicted = class) / nullif(count(*) filter (observed = class), 0), 8) sensitivity, round(count(*) filter (observed <> class and predicted <> class) / nullif(count(*) filter (observed <> class), 0), 8) specificity, round(count(*) filter (observed = class and predicted = class) / nullif(count(*) filter (predicted = class), 0), 8) \"precision\" from k cross join p group by 1"
+)
+def class_metrics(spark, sf_dir):
+    got = metrics.class_metrics(_two_classes(spark, sf_dir))
+    return got.select("class", "n", *[F.round(c, 8).alias(c) for c in ("sensitivity", "specificity", "precision")])
+
+
+@query()
+def pls_da_many(spark, sf_dir):
+    return classification.pls_da(spectra(spark, sf_dir), "label", 5).select("sample_idx", "observed", "predicted")
+
+
+@query(
+    "with s as (select vec_id i, label, list_transform(embedding, lambda v: v::double) x from embeddings), d as (select q.i, q.label observed, s.label, row_number() over (partition by q.i order by round(list_sum(list_transform(list_zip(q.x, s.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), s.i) r from s q cross join s where q.i % 50 = 0), v as (select i, observed, label, count(*) n from d where r <= 5 group by all) select i sample_idx, observed, arg_min(label, (-n, label)) predicted from v group by all"
+)
+def knn(spark, sf_dir):
+    """Every row whose id is divisible by 50 against all rows."""
+    rows = spectra(spark, sf_dir)
+    return classification.knn(rows, rows.where(F.col("sample_idx") % 50 == 0), "label", 5)
+
+
+_GROUPS = f"{_TWO}, g as (select label, count(*) n, avg(a) ma, avg(b) mb, var_pop(a) * count(*) saa, var_pop(b) * count(*) sbb, covar_pop(a, b) * count(*) sab from s group by 1)"
+
+
+@query(
+    f"{_GROUPS}, p as (select sum(saa) / (sum(n) - count(*)) va, sum(sbb) / (sum(n) - count(*)) vb, sum(sab) / (sum(n) - count(*)) c, sum(n) tn from g), d as (select sample_idx, s.label observed, g.label, round(-0.5 * (vb * (a - ma) * (a - ma) - 2 * c * (a - ma) * (b - mb) + va * (b - mb) * (b - mb)) / (va * vb - c * c) + ln(n / tn), 9) d from s cross join g cross join p) select sample_idx, observed, arg_min(label, (-d, label)) predicted from d group by all"
+)
+def linear_discriminant(spark, sf_dir):
+    return classification.discriminant(spectra(spark, sf_dir, [0, 1]), "label", 2).select("sample_idx", "observed", "predicted")
+
+
+@query(
+    f"{_GROUPS}, p as (select label, ma, mb, n, saa / (n - 1) va, sbb / (n - 1) vb, sab / (n - 1) c, sum(n) over () tn from g), d as (select sample_idx, s.label observed, p.label, round(-0.5 * (vb * (a - ma) * (a - ma) - 2 * c * (a - ma) * (b - mb) + va * (b - mb) * (b - mb)) / (va * vb - c * c) - 0.5 * ln(va * vb - c * c) + ln(n / tn), 9) d from s cross join p) select sample_idx, observed, arg_min(label, (-d, label)) predicted from d group by all"
+)
+def quadratic_discriminant(spark, sf_dir):
+    return classification.discriminant(spectra(spark, sf_dir, [0, 1]), "label", 2, quadratic=True).select("sample_idx", "observed", "predicted")
+
+
+_SIMCA = _TWO + ", m as (select label model, avg(a) ma, avg(b) mb, var_samp(a) va, var_samp(b) vb, covar_samp(a, b) c from s group by 1), e as (select *, (va + vb) / 2 + sqrt((va - vb) * (va - vb) / 4 + c * c) e1 from m), u as (select *, c / sqrt(c * c + (e1 - va) * (e1 - va)) u1, (e1 - va) / sqrt(c * c + (e1 - va) * (e1 - va)) u2 from e)"
+
+
+@query(f"{_SIMCA} select sample_idx, label observed, model, round(((a - ma) * u1 + (b - mb) * u2) * ((a - ma) * u1 + (b - mb) * u2) / e1, 6) t2, round((a - ma) * (a - ma) + (b - mb) * (b - mb) - ((a - ma) * u1 + (b - mb) * u2) * ((a - ma) * u1 + (b - mb) * u2), 6) spe from s cross join u")
+def simca_distances(spark, sf_dir):
+    got = classification.simca(spectra(spark, sf_dir, [0, 1]), "label", 1)
+    return got.select("sample_idx", "observed", "model", F.round("t2", 6).alias("t2"), F.round("spe", 6).alias("spe"))
+
+
+@query()
+def simca_acceptance(spark, sf_dir):
+    return classification.simca_table(classification.simca(spectra(spark, sf_dir), "label", 3))
+
+
+@query()
+def svm(spark, sf_dir):
+    return metrics.accuracy(classification.svm(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 4).alias("accuracy"))
+
+
+@query()
+def logistic(spark, sf_dir):
+    return metrics.accuracy(classification.logistic(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 4).alias("accuracy"))
+
+
+@query(f"{_S} select var_idx::int var_idx, round(quantile_cont(v, 0.05), 6) p5, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95 from l group by 1")
+def spectra_band(spark, sf_dir):
+    from spectrail.functions.arrays import long
+
+    got = long(spectra(spark, sf_dir)).groupBy("var_idx").agg(F.percentile("value", F.lit([0.05, 0.5, 0.95])).alias("q"))
+    return got.select("var_idx", *[F.round(F.get("q", F.lit(k)), 6).alias(n) for k, n in enumerate(("p5", "p50", "p95"))])
+
+
+@query("with b as (select min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem) select least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19)::int bin, count(*) n from lineitem, b group by 1")
+def histogram(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice")
+    ends = rows.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    placed = rows.crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col("l_extendedprice") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)), F.lit(19)).cast("int").alias("bin"))
+    return placed.groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query()
+def interval_selection(spark, sf_dir):
+    found, chosen, path = selection.ipls(selection.FoldErrors(supervised(spark, sf_dir), "y"), 8, 3)
+    return spark.createDataFrame([(i, f.start, f.end, f.components, round(f.rmsecv, 6), i in chosen) for i, f in enumerate(found)], "interval int, first int, past int, components int, rmsecv double, chosen boolean")
+
+
+@query()
+def adaptive_sampling(spark, sf_dir):
+    df = supervised(spark, sf_dir)
+    columns, error = selection.cars(df, selection.FoldErrors(df, "y"), "y", 3)
+    return spark.createDataFrame([(c, round(error, 6)) for c in columns], "var_idx int, rmsecv double")
+
+
+@query()
+def permutation_test(spark, sf_dir):
+    error, _, p = selection.permutation_test(supervised(spark, sf_dir), "y", 2, 20)
+    return spark.createDataFrame([(round(error, 6), round(p, 6))], "rmsecv double, p double")
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    got = selection.bootstrap_coefficients(supervised(spark, sf_dir).drop("fold"), "y", 2, 50)
+    return got.select("var_idx", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query()
+def nested_selection(spark, sf_dir):
+    error = selection.nested(supervised(spark, sf_dir), "y", 2, lambda e: np.arange(*min(((float(e.rmsecv(np.arange(lo, hi), 2).min()), lo, hi) for lo, hi in selection.interval_bounds(e.width, 4)))[1:]))
+    return spark.createDataFrame([(round(error, 6),)], "rmsecv double")
