@@ -19,7 +19,7 @@ from .words import chunks, mix
 FRAGMENTS = 8
 #: Documents in candidate pairs (24 bytes each) up to which they are broadcast to fetch their texts.
 BROADCAST_ROWS = 2_000_000
-#: Words of 64 bits in a document's parity sketch.
+#: Words of 64 bits in a document's coarse parity sketch; the fine one has a bit for each shingle, rounded up to a power of two.
 SKETCH = 8
 
 
@@ -81,7 +81,14 @@ def fragments_of(hashes: np.ndarray, c: int, classes: Classes) -> np.ndarray:
 _SIGNED = pa.int64()
 
 
-def _signatures(n: int, percent: int):
+def _parity(h: np.ndarray) -> np.ndarray:
+    """Of each bit whether an odd number of hashes falls on it."""
+    bits = max(64 * SKETCH, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _signatures(n: int, percent: int, with_keys: bool):
+    """Size and hashes of each document's set, with its fragments' keys or its parity sketch."""
     classes = Classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,42 +98,50 @@ def _signatures(n: int, percent: int):
                 cuts = np.searchsorted(row, np.arange(c.rows + 1))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h))])
                 xors = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(mix(h ^ np.uint64(0x2545F4914F6CDD1D)))]) if len(h) else np.zeros(1, np.uint64)
-                odd = np.bincount(row * 64 * SKETCH + (h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=c.rows * 64 * SKETCH) & 1
-                sketch = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-                keys = [np.concatenate([fragments_of(h[lo:hi], o, classes) for o in classes.searched(int(hi - lo))]) if hi > lo else h[:0] for lo, hi in zip(cuts, cuts[1:], strict=False)]
-                flat = pa.array(np.concatenate(keys).view(np.int64), _SIGNED)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), flat)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, (c.rows + 1) * SKETCH, SKETCH), pa.int32()), pa.array(sketch, _SIGNED))
+                each = zip(cuts, cuts[1:], strict=False)
+                if with_keys:
+                    lists = [np.concatenate([fragments_of(h[lo:hi], o, classes) for o in classes.searched(int(hi - lo))]).view(np.int64) if hi > lo else h[:0].view(np.int64) for lo, hi in each]
+                else:
+                    lists = [_parity(h[lo:hi]) for lo, hi in each]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.row, c.rows), pa.array(np.diff(cuts), _SIGNED), pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)), pa.array((xors[cuts[1:]] ^ xors[cuts[:-1]]).view(np.int64)), bits, lists],
-                    ["doc_id", "n_shingles", "sum_hash", "xor_hash", "sketch", "keys"],
+                    [batch.column(0).slice(c.row, c.rows), pa.array(np.diff(cuts), _SIGNED), pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)), pa.array((xors[cuts[1:]] ^ xors[cuts[:-1]]).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), _SIGNED))],
+                    ["doc_id", "n_shingles", "sum_hash", "xor_hash", "list"],
                 )
 
     return run
 
 
-def _shared(bits: int):
-    """The keys of documents, packed by bucket; and of a bucket, the keys that two documents or more have."""
+def _shared(n: int, percent: int, bits: int):
+    """The keys of documents, packed by bucket; and of a bucket, the keys that two sets or more have, each with the least document of each set."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
+        for batch in _signatures(n, percent, True)(batches):
+            lists = batch.column(4)
             ids, ends = batch.column(0).to_numpy(), lists.offsets.to_numpy()
             h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-            doc = np.repeat(ids, np.diff(ends))
+            doc, own = np.repeat(ids, np.diff(ends)), np.repeat(batch.column(2).to_numpy().view(np.uint64), np.diff(ends))
+            sign = (mix(own ^ h) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # another one for each key, so that sets can't agree in all
             for lo in range(0, len(h), FLUSH):
                 part = slice(lo, lo + FLUSH)
-                yield from table(bucketed(h[part], bits, doc[part], np.zeros(len(h[part]), np.int32), True)).to_batches()
+                yield from table(bucketed(h[part], bits, doc[part], sign[part], True)).to_batches()
 
     def find(group: pa.Table) -> pa.Table:
         h = np.concatenate([unpacked(x) for x in group.column("keys").to_pylist()])
         doc = np.concatenate([unplanes(x, np.int64) for x in group.column("docs").to_pylist()])
+        sign = np.concatenate([unplanes(x, np.int32) for x in group.column("starts").to_pylist()])
         order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        lead = leads(h)
-        mixed = np.zeros(len(h), bool)
-        mixed[lead[doc != doc[lead]]] = True  # at the first place of each key that two documents have
-        keep = mixed[lead]
+        again = np.zeros(len(h), bool)
+        again[1:] = h[order][1:] == h[order][:-1]
+        again[:-1] |= again[1:]
+        x = order[again]
+        x = x[np.lexsort((doc[x], sign[x], h[x]))]
+        first = np.ones(len(x), bool)  # of the documents of one set the least
+        first[1:] = (h[x][1:] != h[x][:-1]) | (sign[x][1:] != sign[x][:-1])
+        x = x[first]
+        h, doc = h[x], doc[x]
+        count = np.diff(np.append(np.flatnonzero(leads(h) == np.arange(len(h))), len(h)))
+        keep = np.repeat(count > 1, count)
         high = np.array([group.column("bucket")[0].as_py()], np.uint64) << np.uint64(64 - bits)
         low = h & np.uint64((1 << 56) - 1)
         return pa.table([pa.array((mix(high) ^ low)[keep].view(np.int64)), pa.array(doc[keep])], names=["key", "doc"])
@@ -156,22 +171,44 @@ def _fragments(n: int):
     return run
 
 
-def _apart(a: str, b: str, percent: int) -> Column:
-    """Sizes allow a link, and so do the parity sketches: they differ in no more bits than the sets in shingles."""
+def _coarse(fine: Column) -> Column:
+    """The fine sketch folded to SKETCH words."""
+    turns = F.sequence(F.lit(0), F.size(fine) - SKETCH, F.lit(SKETCH))
+    return F.aggregate(turns, F.array_repeat(F.lit(0).cast("bigint"), SKETCH), lambda t, k: F.zip_with(t, F.slice(fine, k + 1, F.lit(SKETCH)), lambda u, v: u.bitwiseXOR(v)))
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Sizes allow a link, and so do the coarse sketches: they differ in no more bits than the sets in shingles."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     bits = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= difference_bound(na, nb, percent))
 
 
+def _nearer(a: str, b: str, percent: int) -> Column:
+    """The same of the fine sketches; sizes that can link differ by one doubling at most."""
+    fine_a, fine_b = F.col(f"{a}.fine"), F.col(f"{b}.fine")
+    size = F.least(F.size(fine_a), F.size(fine_b))
+    folded = [F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda u, v: u.bitwiseXOR(v))).otherwise(x) for x in (fine_a, fine_b)]
+    bits = F.aggregate(F.zip_with(*folded, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
+    return (100 + percent) * bits <= difference_bound(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
+
+
+def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) those whose sizes and sketches allow a link."""
+    p, q = sizes.alias("p"), sizes.alias("q")
+    return pairs.join(p, F.col("a") == F.col("p.doc")).join(q, F.col("b") == F.col("q.doc")).where(_near("p", "q", percent) & _nearer("p", "q", percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) of documents those that link: overlaps are counted in each fragment apart, then summed."""
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     wanted = written(wanted.join(sizes, "doc").select("doc", "n", "sum_hash"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else the texts are shuffled
     parts = docs.join(wanted, docs.doc_id == wanted.doc).select("doc_id", "text", "n", "sum_hash").mapInArrow(_fragments(n), "doc bigint, fragment int, shingles array<bigint>")
-    parts = written(parts.dropDuplicates(["doc", "fragment"]))
+    parts = written(parts)
     left, right = parts.withColumnsRenamed({"doc": "a", "shingles": "left"}), parts.withColumnsRenamed({"doc": "b", "shingles": "right"})
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("left", "right")).alias("both"))
+    partial = partial.groupBy("a", "b", "fragment").agg(F.max("both").alias("both"))  # rows that repeat an id repeat its fragments
     total = partial.groupBy("a", "b").agg(F.sum("both").alias("both"))
     na, nb = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
     return total.join(na, "a").join(nb, "b").where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -198,38 +235,34 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
-    signed = known.mapInArrow(_signatures(n, percent), "doc_id bigint, n_shingles bigint, sum_hash bigint, xor_hash bigint, sketch array<bigint>, keys array<bigint>")
-    signed = written(signed)
+    fields = "doc_id bigint, n_shingles bigint, sum_hash bigint, xor_hash bigint, list array<bigint>"
+    signed = written(known.mapInArrow(_signatures(n, percent, False), fields))
     each = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "sum_hash", "xor_hash")).alias("same"))
     classes = each.where("same.n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
     members = written(each.join(classes, "same", "left").select("doc_id", "same", F.coalesce("rep", "doc_id").alias("rep")))
 
-    size = signed.agg(F.sum(F.size("keys"))).first()[0] or 0
-    bits = bucket_bits(docs.sparkSession, size)
-    pack, find = _shared(bits)
-    held = signed.select("doc_id", "keys").mapInArrow(pack, BLOBS).groupBy("bucket").applyInArrow(find, "key bigint, doc bigint")
-    reps = classes.select(F.col("rep").alias("doc"))
-    shared = written(held.join(reps, "doc").distinct())
+    size = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    pack, find = _shared(n, percent, bucket_bits(docs.sparkSession, size / 2))  # a set has about half as many keys as shingles
+    shared = written(known.mapInArrow(pack, BLOBS).groupBy("bucket").applyInArrow(find, "key bigint, doc bigint"))
     own = classes.select(F.col("rep").alias("doc"), "same")
-    mine = signed.select(F.col("doc_id").alias("doc"), F.struct("n_shingles", "sum_hash", "xor_hash").alias("same"), "sketch")
-    sizes = own.join(shared.select("doc").distinct(), "doc").join(mine, ["doc", "same"]).select("doc", F.col("same.n_shingles").alias("n"), F.col("same.sum_hash").alias("sum_hash"), "sketch")
+    mine = signed.select(F.col("doc_id").alias("doc"), F.struct("n_shingles", "sum_hash", "xor_hash").alias("same"), F.col("list").alias("fine"))
+    sizes = own.join(shared.select("doc").distinct(), "doc").join(mine, ["doc", "same"]).select("doc", F.col("same.n_shingles").alias("n"), F.col("same.sum_hash").alias("sum_hash"), "fine", _coarse(F.col("fine")).alias("sketch"))
     sizes = written(sizes.dropDuplicates(["doc"]))
 
     weight = shared.groupBy("doc").agg(F.count("*").alias("weight")).join(sizes, "doc").select("doc", (F.col("weight") / F.col("n")).alias("weight"))
     centre = shared.join(weight, "doc").groupBy("key").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("centre"))
     star = shared.join(centre, "key").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-    p, q = sizes.alias("p"), sizes.alias("q")
-    star = written(star.join(p, F.col("a") == F.col("p.doc")).join(q, F.col("b") == F.col("q.doc")).where(_apart("p", "q", percent)).select("a", "b"))
+    star = written(_plausible(star, sizes, percent))
     links = written(_verified(star, known, sizes, n, percent))
     found = written(components(links))
 
     placed = shared.join(found, shared.doc == found.vertex, "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(open_keys, "key").join(sizes, "doc"))
+    rest = written(placed.join(open_keys, "key").join(sizes.drop("fine"), "doc"))
     p, q = rest.alias("p"), rest.alias("q")
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _apart("p", "q", percent))
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near("p", "q", percent))
     across = across.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct()
-    across = written(across.join(star, ["a", "b"], "left_anti"))
+    across = written(_plausible(across.join(star, ["a", "b"], "left_anti"), sizes, percent))
     links = written(links.unionByName(_verified(across, known, sizes, n, percent)))
     found = components(links).select(F.col("vertex").alias("rep"), "component")
     result = members.join(found, "rep", "left").select("doc_id", F.col("same.n_shingles").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
