@@ -104,7 +104,7 @@ def by_group(df: DataFrame, group: str, split, **options) -> DataFrame:
     names = [r[0] for r in groups.orderBy(group).collect()]
     table = df.sparkSession.createDataFrame([(k, g) for k, g in enumerate(names)], f"sample_idx bigint, {group} {dict(df.dtypes)[group]}")
     folds = split(table, **options).join(table, "sample_idx").drop("sample_idx")
-    return df.join(folds, group).select("fold", "sample_idx")
+    return df.select("sample_idx", group).join(folds, group).select("fold", "sample_idx")
 
 
 def repeated_k_fold(df: DataFrame, n_splits: int, n_repeats: int, seed: int = 42) -> DataFrame:
