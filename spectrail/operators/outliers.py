@@ -52,7 +52,7 @@ def robust(df: DataFrame, t: str = "t", starts: int = 500, seed: int = 0) -> Dat
         pdf = pdf.sort_values("sample_idx")
         return pd.DataFrame({"sample_idx": pdf["sample_idx"], "d2": kernels.robust_distances(np.stack(pdf["t"].to_list()), lambda p, _: cuts[p], starts, seed)})
 
-    return df.select("sample_idx", F.col(t).alias("t")).groupBy(F.lit(0)).applyInPandas(run, "sample_idx bigint, d2 double")
+    return df.select("sample_idx", F.col(t).alias("t"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "sample_idx bigint, d2 double")
 
 
 def exclude(df: DataFrame, rows: list[int]) -> DataFrame:

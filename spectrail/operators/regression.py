@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,18 +80,19 @@ def cross_validated(df: DataFrame, y: str, fit: Fit, fold: str = "fold", x: str
     models = {k: (fit(m), m.x_mean, float(m.y_mean[0])) for k, m in folds.items()}
     shared = df.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("array<double>")
-    def score(rows: pd.Series, fold_of: pd.Series) -> pd.Series:
-        out: list = [None] * len(rows)
-        for k in fold_of.unique():
-            b, x_mean, y_mean = shared.value[k]
-            at = np.flatnonzero(fold_of == k)
-            values = (np.stack(rows.iloc[at].to_list()) - x_mean) @ b.T + y_mean
-            for i, v in zip(at, values, strict=True):
-                out[i] = v
-        return pd.Series(out, dtype=object)
-
-    return df.select("sample_idx", F.col(fold).alias("fold"), F.col(y).alias("y"), score(F.col(x), F.col(fold)).alias("yhat"))
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list = [None] * len(pdf)
+            for k in pdf["fold"].unique():
+                b, x_mean, y_mean = shared.value[k]
+                at = np.flatnonzero(pdf["fold"] == k)
+                values = (np.stack(pdf["x"].iloc[at].to_list()) - x_mean) @ b.T + y_mean
+                for i, v in zip(at, values, strict=True):
+                    out[i] = v
+            yield pdf[["sample_idx", "fold", "y"]].assign(yhat=pd.Series(out, dtype=object, index=pdf.index))
+
+    rows = df.select("sample_idx", F.col(fold).cast("int").alias("fold"), F.col(y).cast("double").alias("y"), F.col(x).alias("x"))
+    return rows.mapInPandas(score, "sample_idx bigint, fold int, y double, yhat array<double>")
 
 
 def rmsecv_curve(df: DataFrame, y: str, fit: Fit, fold: str = "fold", x: str = "x") -> DataFrame:
