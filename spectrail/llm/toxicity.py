@@ -113,8 +113,9 @@ def _descend(label: np.ndarray, row: np.ndarray, at: np.ndarray, size: int, fact
     theta = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.01, (size, factors))], 1)
     bias, m, s, t = np.log((label.sum() + 1) / (len(label) - label.sum() + 1)), np.zeros_like(theta), np.zeros_like(theta), 0
     ends = np.searchsorted(row, np.arange(len(label) + 1))
+    batch = max(16, min(256, len(label) // 40))
     for epoch in range(epochs):
-        for docs in np.array_split(rng.permutation(len(label)), max(1, len(label) // 256)):
+        for docs in np.array_split(rng.permutation(len(label)), max(1, len(label) // batch)):
             count = ends[docs + 1] - ends[docs]
             r = np.repeat(np.arange(len(docs)), count)
             a = at[np.repeat(ends[docs] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(r))]
