@@ -51,7 +51,7 @@ def _identifiers(reach: int):
             for text in batch.column(0):
                 text = text.as_py() or ""
                 for lo, hi in _sensitive(text):
-                    seen.update(w for w in _IDENTIFIER.findall(text[max(0, lo - reach) : hi + reach]) if len(w) <= 40)
+                    seen.update(w for w in _IDENTIFIER.findall(text[max(0, lo - reach) : hi + reach]) if len(w) < 12 or len(w) <= 40 and w.replace("_", "").isalpha())
             if len(seen) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                 seen.clear()
@@ -61,7 +61,7 @@ def _identifiers(reach: int):
 
 
 def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000, reach: int = 64) -> bytes:
-    """The ``size`` most frequent identifiers within ``reach`` characters of a sensitive word in any document, the most frequent last, where zstandard finds them cheapest."""
+    """The ``size`` most frequent identifiers within ``reach`` characters of a sensitive word in any document, the most frequent last, where zstandard finds them cheapest.  Long ones with a digit are left out: they may be the secrets themselves."""
     counts = docs.select(text_col).mapInArrow(_identifiers(reach), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     return " ".join(r.word for r in reversed(top)).encode()
