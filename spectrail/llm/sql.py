@@ -30,7 +30,38 @@ kept as (select l.doc_id, count(d.line_no) n_dropped, string_agg(line, chr(10) o
 select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, case when text is not null then sha256(coalesce(kept_text, '')) end kept_sha256 from documents d left join kept using (doc_id)
 """
 
+_SUBSTRING_DEDUP = f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} w from documents),
+g as (select doc_id, list_transform(range(1, len(w) - 18), lambda s: array_to_string(w[s:s + 19], ' ')) g from d where doc_id is not null and len(w) >= 20),
+h as (select doc_id, unnest(g) k, generate_subscripts(g, 1) - 1 start from g),
+f as (select k, min((doc_id, start)) first_place from h group by k having count(*) > 1),
+r as (select doc_id, start from h join f using (k) where (doc_id, start) <> first_place),
+gone as (select distinct doc_id, unnest(range(start, start + 20)) p from r),
+u as (select doc_id, unnest(w) x, generate_subscripts(w, 1) - 1 p from d),
+k as (select u.doc_id, count(gone.p) n_removed, string_agg(x, ' ' order by u.p) filter (where gone.p is null) kept from u left join gone on u.doc_id = gone.doc_id and u.p = gone.p group by 1)
+select d.doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join k using (doc_id)
+"""
+
+#: Exact quantiles stand for the sketches, which are exact while a language has fewer rows than the sketches' k.
+_QUALITY_RULES = f"""
+with d as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} w from documents),
+l as (select doc_id, unnest(string_split(t, chr(10))) line from d),
+n as (select doc_id, count(*) n_lines, count(*) - count(distinct line) n_dup_lines from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
+gs as (select doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) g from d where len(w) >= 5),
+g as (select doc_id, unnest(g) k, generate_subscripts(g, 1) p from gs),
+r as (select doc_id, p from (select *, count(*) over (partition by doc_id, k) c from g) where c > 1),
+c as (select doc_id, count(distinct q) n_repeat_words from (select doc_id, unnest(range(p, p + 5)) q from r) group by 1),
+f as (select doc_id, lang, source, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, coalesce(n_lines, 0) n_lines, len(regexp_extract_all(t, '[A-ZÀ-Þ]')) n_upper, len(regexp_extract_all(t, '[A-Za-zÀ-ÿ]')) n_letters from d left join n using (doc_id) left join c using (doc_id)),
+m as (select *, coalesce(n_symbols / nullif(n_words, 0), 0) m1, coalesce(word_chars / nullif(n_words, 0), 0) m2, coalesce(n_upper / nullif(n_letters, 0), 0) m3, coalesce(n_dup_lines / nullif(n_lines, 0), 0) m4, coalesce(n_repeat_words / nullif(n_words, 0), 0) m5 from f),
+s as (select lang, source, count(*) n, {{quantiles}} from m group by all), b as (select lang, count(*) n, {{quantiles}} from m group by all), o as (select {{quantiles}} from m),
+q as (select s.lang, s.source, case when s.n >= 100 then s.q1 when b.n >= 100 then b.q1 else o.q1 end q1, case when s.n >= 100 then s.q2 when b.n >= 100 then b.q2 else o.q2 end q2, case when s.n >= 100 then s.q3 when b.n >= 100 then b.q3 else o.q3 end q3, case when s.n >= 100 then s.q4 when b.n >= 100 then b.q4 else o.q4 end q4, case when s.n >= 100 then s.q5 when b.n >= 100 then b.q5 else o.q5 end q5 from s join b using (lang), o),
+v as (select m.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, m1 <= q1[1] + 6 * greatest(q1[1] - q1[2], 0.02) and m2 between q2[1] - 6 * greatest(q2[1] - q2[2], 0.25) and q2[1] + 6 * greatest(q2[1] - q2[2], 0.25) and m3 <= q3[1] + 6 * greatest(q3[1] - q3[2], 0.03) and m4 <= q4[1] + 6 * greatest(q4[1] - q4[2], 0.1) and m5 <= q5[1] + 6 * greatest(q5[1] - q5[2], 0.03) inside from m join q using (lang, source))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside kept from v
+""".replace("{quantiles}", ", ".join(f"quantile_disc(m{k}, [0.5, 0.1]) q{k}" for k in range(1, 6)))
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _QUALITY_RULES,
+    "op9_substring_dedup": _SUBSTRING_DEDUP,
     "op2_decontamination": _DECONTAMINATION,
     "op10_line_dedup": _LINE_DEDUP,
 }
