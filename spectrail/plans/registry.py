@@ -446,3 +446,45 @@ def bootstrap_intervals(spark, sf_dir):
 def nested_selection(spark, sf_dir):
     error = selection.nested(supervised(spark, sf_dir), "y", 2, lambda e: np.arange(*min(((float(e.rmsecv(np.arange(lo, hi), 2).min()), lo, hi) for lo, hi in selection.interval_bounds(e.width, 4)))[1:]))
     return spark.createDataFrame([(round(error, 6),)], "rmsecv double")
+
+
+@query(f"{_S}, m as (select var_idx, avg(v) m, ntile(10) over (order by var_idx) b from l group by 1) select (b - 1)::int bucket, arg_min(var_idx, (round(m, 12), var_idx))::int low, arg_max(var_idx, (round(m, 12), -var_idx))::int high from m group by 1")
+def decimated_mean(spark, sf_dir):
+    """Of each of ten runs of variables those of the least and the largest mean, for drawing."""
+    from spectrail.functions.arrays import long
+
+    bounds = selection.interval_bounds(64, 10)
+    means = long(spectra(spark, sf_dir)).groupBy("var_idx").agg(F.round(F.avg("value"), 12).alias("m"))
+    bucket = sum((F.when(F.col("var_idx") >= lo, 1).otherwise(0) for lo, _ in bounds[1:]), F.lit(0))
+    return means.groupBy(bucket.cast("int").alias("bucket")).agg(F.min_by("var_idx", F.struct("m", "var_idx")).alias("low"), F.max_by("var_idx", F.struct("m", -F.col("var_idx"))).alias("high"))
+
+
+@query(_DA + " select (j - 1)::int var_idx, round(covar_samp(v, t), 8) covariance, round(corr(v, t), 8) correlation from l join t using (sample_idx) group by 1")
+def s_plot(spark, sf_dir):
+    """Covariance and correlation of each variable with the predictive score of two classes."""
+    from spectrail.functions.arrays import dot, literal, long
+    from spectrail.operators.factors import training_sets
+
+    df = spectra(spark, sf_dir).where(F.col("label").isin(0, 1)).withColumn("y", F.col("label").cast("double")).withColumn("fold", F.lit(0))
+    m, _ = training_sets(df, ["y"])
+    # The class code's sign fixes the score's: the weights are X'y as it stands.
+    w = m.x.T @ m.y[:, 0]
+    w = w / float((w @ w) ** 0.5)
+    scored = df.withColumn("t", dot(F.col("x"), literal(w)) - float(m.x_mean @ w))
+    rows = long(scored).join(scored.select("sample_idx", "t"), "sample_idx")
+    return rows.groupBy("var_idx").agg(F.round(F.covar_samp("value", "t"), 8).alias("covariance"), F.round(F.corr("value", "t"), 8).alias("correlation"))
+
+
+@query("select event_id, user_id, event_type from events order by ts desc, event_id limit 20")
+def run_history(spark, sf_dir):
+    """The newest records of an append-only table; the report is its first 20."""
+    from spectrail.plans import catalog
+
+    return catalog.history(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_id", 20).select("event_id", "user_id", "event_type")
+
+
+@query("select user_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(event_type, (ts, event_id)) event_type from events group by 1")
+def latest_records(spark, sf_dir):
+    from spectrail.plans import catalog
+
+    return catalog.latest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
