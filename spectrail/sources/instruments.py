@@ -123,7 +123,9 @@ FORMATS: dict[str, Callable[[bytes], Iterator[Spectrum]]] = {".jdx": jcamp, ".dx
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """file, part, title, axis, x of every spectrum of the files under a path, by their suffix.  Number the rows with outliers.numbered."""
-    formats = dict(FORMATS)
+    from . import more_instruments
+
+    formats = dict(more_instruments.FORMATS)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

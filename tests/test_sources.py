@@ -42,9 +42,22 @@ def test_instruments(spark, tmp_path):
     struct.pack_into("<i", head, 4, 3)
     struct.pack_into("<ddi", head, 8, 10.0, 30.0, 1)
     (tmp_path / "b.spc").write_bytes(bytes(head) + bytes(32) + np.array([1, 2, 4], "<f4").tobytes())
+    body = bytearray(600)
+    body[30:33] = b"spa"
+    struct.pack_into("<BBii", body, 304, 2, 0, 400, 32)
+    struct.pack_into("<BBii", body, 320, 3, 0, 500, 12)
+    struct.pack_into("<i", body, 404, 3)
+    struct.pack_into("<ff", body, 416, 4000.0, 3998.0)
+    struct.pack_into("<fff", body, 500, 7.0, 8.0, 9.0)
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("two.spa", bytes(body))
+        z.writestr("one.spc", bytes(head) + bytes(32) + np.array([5, 6, 7], "<f4").tobytes())
     rows = {(r.file.rsplit("/", 1)[-1], r.part): r for r in instruments.read(spark, str(tmp_path)).collect()}
     assert rows["a.jdx", 0].x == [50, 50.5, 51.5, 52, 52] and rows["a.jdx", 1].x == [2, 4]
     assert rows["b.spc", 0].axis == [10, 20, 30] and rows["b.spc", 0].x == [1, 2, 4]
+    assert rows["c.zip", 0].x == [5, 6, 7] and rows["c.zip", 1].x == [7, 8, 9] and rows["c.zip", 1].axis == [4000, 3999, 3998] and rows["c.zip", 1].title == "spa"
 
 
 def test_pipeline():
