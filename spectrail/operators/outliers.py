@@ -80,3 +80,24 @@ def numbered(df: DataFrame, by: str) -> DataFrame:
         offset += r["count"]
     offsets = df.sparkSession.createDataFrame(rows, "_part int, _offset bigint")
     return placed.join(F.broadcast(offsets), "_part").withColumn("sample_idx", F.col("_place") + F.col("_offset")).drop("_part", "_place", "_offset")
+
+
+def by_class(df: DataFrame, label: str, components: int, x: str = "x", alpha: float = 0.05) -> DataFrame:
+    """sample_idx, label, t2, t2_limit, spe, spe_limit, leverage, leverage_limit of each sample in its own class's components.
+
+    A class of n samples has at most n - 2 components, which its limits need; fewer than three samples are refused.
+    """
+    from .decomposition import fit_pca, limits, with_scores
+
+    out = None
+    for name, n in df.groupBy(label).count().orderBy(label).collect():
+        if n < 3:
+            raise Refused(f"class {name} has {n} samples")
+        own = df.where(F.col(label) == F.lit(name))
+        a = min(components, n - 2)
+        model, mean = fit_pca(own, a, x)
+        top = limits(model, alpha)
+        rows = with_leverage(with_scores(own, model, mean, x), a)
+        rows = rows.select("sample_idx", F.col(label).alias("label"), "t2", F.lit(top["t2"]).alias("t2_limit"), "spe", F.lit(top["spe"]).alias("spe_limit"), "leverage", F.lit(3 * (a + 1) / n).alias("leverage_limit"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

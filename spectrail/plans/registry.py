@@ -488,3 +488,9 @@ def latest_records(spark, sf_dir):
     from spectrail.plans import catalog
 
     return catalog.latest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query()
+def class_diagnostics(spark, sf_dir):
+    got = outliers.by_class(spectra(spark, sf_dir, list(range(8))), "label", 2)
+    return got.select("sample_idx", "label", *[F.round(c, 6).alias(c) for c in got.columns[2:]])

@@ -151,3 +151,10 @@ def test_searches(table):
 def test_exclusion_numbers_anew(table):
     left = outliers.exclude(table, [0, 5]).orderBy("sample_idx").collect()
     assert [r.sample_idx for r in left] == list(range(38)) and left[0].x == table.where("sample_idx = 1").first().x
+
+
+def test_class_diagnostics(table):
+    rows = outliers.by_class(table, "label", 2).collect()
+    assert len(rows) == 40 and all(np.isclose(sum(r.leverage for r in rows if r.label == c), 3) for c in "abc")
+    with pytest.raises(Refused):
+        outliers.by_class(table.where("sample_idx < 5"), "label", 2)
