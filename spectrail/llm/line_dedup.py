@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least_tokens
     """Each line of at least least_tokens with its leaf: the number of its tokens and the first ones, those with a digit masked."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     rows = rows.select("doc", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens")).where(F.size("tokens") >= least_tokens)
-    lead = [_masked(F.col("tokens")[k]) for k in range(depth)]
+    lead = [_masked(F.get("tokens", F.lit(k))) for k in range(depth)]  # null beyond a short line's end
     return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), *lead))
 
 
@@ -28,6 +30,49 @@ def _documents(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "doc").distinct().groupBy(*keys).agg(F.count("*").alias("n_docs"))
 
 
+def _fewest_fixed(n: Column, agree_percent: int) -> Column:
+    """Fixed positions that a template of ``n`` tokens must keep: ``agree_percent`` % of those that ``agree_percent`` % of all leave, as after one widening."""
+    part = lambda x: F.floor((x * agree_percent + 99) / 100)
+    return part(part(n))
+
+
+def _recurring(found: DataFrame, groups: DataFrame, least_docs: int) -> DataFrame:
+    """The ``leaf, template`` of ``groups`` (``leaf, masked, template``) that ``least_docs`` documents have."""
+    return _documents(found.join(groups, ["leaf", "masked"]), "leaf", "template").where(F.col("n_docs") >= least_docs).select("leaf", "template")
+
+
+def _further_templates(found: DataFrame, groups: DataFrame, least_docs: int, agree_percent: int) -> DataFrame | None:
+    """``leaf, masked, template`` of the lines of ``groups`` (``leaf, masked, n_docs``) that have a recurring template; none left out for their number.
+
+    In each round a line's tokens that fewer than ``least_docs`` documents have
+    at their place in the leaf are variable, as no recurring template can fix
+    them; lines with too few fixed tokens are done.  Equal lines of what is left
+    are a template if enough documents have it.  In a leaf without one, the most
+    frequent line and those that agree with it are taken, or, if they are too
+    few, that line is done.  Rounds go on until every line is placed or done.
+    """
+    out, left, k = [], groups, 0
+    while True:
+        at = left.select("leaf", "masked", "n_docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+        fixed = at.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+        tokens = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("\n").alias("token"))))
+        own = at.join(fixed, ["leaf", "place", "token"], "left").groupBy("leaf", "masked", "n_docs").agg(tokens.alias("t")).select("leaf", "masked", "n_docs", F.col("t.token").alias("t"))
+        kept = F.size(F.filter("t", lambda x: x != "\n"))
+        own = written(own.where(kept >= _fewest_fixed(F.size("t"), agree_percent)).withColumn("template", F.array_join("t", " ")))
+        if own.isEmpty():
+            break
+        same = written(own.join(_recurring(found, own.select("leaf", "masked", "template"), least_docs), ["leaf", "template"], "left_semi").select("leaf", "masked", F.xxhash64(F.lit(f"same {k}"), "template").alias("template")))
+        rest = own.join(same.select("leaf").distinct(), "leaf", "left_anti")
+        seeds = rest.groupBy("leaf", "t", "template").agg(F.sum("n_docs").alias("n")).groupBy("leaf").agg(F.max_by(F.struct(F.col("t").alias("seed_t"), F.col("template").alias("seed")), F.struct("n", "template")).alias("seed")).select("leaf", "seed.*")
+        agree = F.size(F.filter(F.zip_with("t", "seed_t", lambda a, b: (a == b) & (a != "\n")), lambda same: same))
+        star = written(rest.join(seeds, "leaf").where(agree >= _fewest_fixed(F.size("t"), agree_percent)).select("leaf", "masked", (F.col("template") == F.col("seed")).alias("done"), F.xxhash64(F.lit(f"star {k}"), "seed").alias("template")))
+        near = written(star.join(_recurring(found, star.select("leaf", "masked", "template"), least_docs), ["leaf", "template"], "left_semi").select("leaf", "masked", "template"))
+        out += [same, near]
+        gone = same.select("leaf", "masked").union(near.select("leaf", "masked")).union(star.where("done").select("leaf", "masked"))
+        left, k = written(own.join(gone, ["leaf", "masked"], "left_anti").select("leaf", "masked", "n_docs")), k + 1
+    return reduce(DataFrame.union, out) if out else None
+
+
 def recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_tokens: int = 3, agree_percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, drop``: the line numbers, from 0, that repeat a template which ``least_docs`` documents have.
 
@@ -35,18 +80,24 @@ def recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, least
     leading tokens.  A leaf's template is the masked line that most of its
     documents have (the largest of equals); lines that agree with it at
     ``agree_percent`` % of their positions or more belong to it, and where they
-    differ it is variable.  Any other line is its own template.  A template's
-    first line, by document and place, isn't listed.
+    differ it is variable.  If too few documents have it, and for the other
+    lines, further templates of the leaf are looked for.  A template's first line, by document and place, isn't listed.
     """
     lines = _lines(docs, id_col, text_col, depth, least_tokens)
     leaves = written(_documents(lines, "leaf").where(F.col("n_docs") >= least_docs).select("leaf"))
     few = leaves.count() <= BROADCAST_ROWS
     found = lines.join(F.broadcast(leaves) if few else leaves, "leaf")
     found = written(found.select("leaf", "doc", "line_no", F.array_join(F.transform("tokens", _masked), " ").alias("masked")))
-    common = _documents(found, "leaf", "masked").groupBy("leaf").agg(F.max_by("masked", F.struct("n_docs", "masked")).alias("template"))
+    groups = written(_documents(found, "leaf", "masked"))
+    common = groups.groupBy("leaf").agg(F.max_by("masked", F.struct("n_docs", "masked")).alias("template"))
     own, shared = F.split("masked", " "), F.split("template", " ")
     agree = F.size(F.filter(F.zip_with(own, shared, lambda a, b: a == b), lambda same: same))
-    placed = found.join(common, "leaf").select("leaf", "doc", "line_no", F.xxhash64(F.when(100 * agree >= agree_percent * F.size(own), F.col("template")).otherwise(F.col("masked"))).alias("template"))
+    template = F.xxhash64(F.when(100 * agree >= agree_percent * F.size(own), F.col("template")).otherwise(F.col("masked"))).alias("template")
+    own = written(groups.join(common, "leaf").select("leaf", "masked", "n_docs", template))
+    recur = written(_recurring(found, own.drop("n_docs"), least_docs))
+    further = _further_templates(found, own.join(recur, ["leaf", "template"], "left_anti").drop("template"), least_docs, agree_percent)
+    of = own.join(recur, ["leaf", "template"], "left_semi").select("leaf", "masked", "template")
+    placed = written(found.join(of if further is None else of.union(further), ["leaf", "masked"]).select("leaf", "doc", "line_no", "template"))
     counts = _documents(placed, "leaf", "template").where(F.col("n_docs") >= least_docs)
     first = placed.groupBy("leaf", "template").agg(F.min(F.struct("doc", "line_no")).alias("first"))
     drops = placed.join(counts.join(first, ["leaf", "template"]), ["leaf", "template"]).where(F.struct("doc", "line_no") != F.col("first"))
@@ -70,5 +121,6 @@ def line_dedup(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_toke
     left = F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(stay, lambda k: F.get(all_lines, k)), "\n"))
     kept = F.when(F.col("_dedup_drop").isNull(), F.col(text_col)).otherwise(F.get(left, F.lit(0)))
     gone = F.when(F.col("_dedup_drop").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(stay))
-    out = docs.join(drops, F.col(id_col) == F.col("_dedup_doc"), "left")
+    # By shuffle at any size: a broadcast below some size would only make small runs look cheaper.
+    out = docs.join(drops.hint("merge"), F.col(id_col) == F.col("_dedup_doc"), "left")
     return out.withColumns({"n_lines": size.cast("bigint"), "n_dropped": gone.cast("bigint"), text_col: kept}).drop("_dedup_doc", "_dedup_drop")

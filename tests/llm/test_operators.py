@@ -182,6 +182,16 @@ def test_line_dedup(docs, none):
     assert rows[4].text is None and rows[4].n_lines == 0 and rows[11].n_dropped == 0 and line_dedup(none).count() == 0
 
 
+def test_line_dedup_further_templates(spark):
+    names = [f"n{a}{b}" for a in "abcdefghij" for b in "abcde"]
+    rows = ["Posted by user admin on the main page"] * 60
+    rows += [f"Posted by user {x} in the {y} forum\nWritten here by {x} in {y} today\nA line of {x} {y} {x}x {y}y" for x, y in zip(names, names[::-1])]
+    rows += [f"Sent from page {x} of the {y} wiki" for x in names[:8] for y in names[8:20]]  # each value is frequent, no pair is
+    got = by_id(line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")))
+    assert [got[k].n_dropped for k in (0, 1, 60, 61, 109, 110, 111, 205)] == [0, 1, 0, 2, 2, 0, 1, 1]
+    assert got[61].text == rows[61].split("\n")[2] and sum(r.n_dropped for r in got.values()) == 59 + 2 * 49 + 95
+
+
 def test_pipeline_keeps_columns(spark, docs, none, tmp_path):
     import corpus_pipeline as p
 
