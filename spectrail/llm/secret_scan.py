@@ -21,6 +21,7 @@ _ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SENSITIVE = ("passw", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "private_key", "privatekey", "access_key", "accesskey", "session", "signature", "akia")
 _NEAR = re.compile("|".join(_SENSITIVE), re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+_CUT = re.compile(r"=+(?=[^=])")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 
 
@@ -44,6 +45,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _values(text: str, reach: int) -> list[tuple[int, int]]:
+    """Candidates near sensitive words: runs, cut behind each = that isn't at their end, so that KEY=VALUE gives the value.  One that holds a sensitive word itself is taken whole if another word precedes it, else what is beside its words."""
+    words = _sensitive(text)
+    if not words:
+        return []
+    out, first = [], 0
+    for m in _CANDIDATE.finditer(text):
+        cuts = [m.start(), *(m.start() + x.end() for x in _CUT.finditer(m.group())), m.end()]
+        for lo, end in zip(cuts, cuts[1:]):
+            if end < m.end():
+                end -= len(text[lo:end]) - len(text[lo:end].rstrip("="))
+            while first < len(words) and words[first][1] + reach < lo:
+                first += 1
+            near = []
+            for w in words[first:]:
+                if w[0] > end + reach:
+                    break
+                near.append(w)
+            inside = [w for w in near if w[0] < end and w[1] > lo]
+            if near and (not inside or near[0][1] <= lo):
+                out.append((lo, end))
+            elif inside:
+                ends = [lo, *(x for w in inside for x in (max(lo, w[0]), min(end, w[1]))), end]
+                for a, b in zip(ends[::2], ends[1::2]):
+                    part = text[a:b]
+                    out.append((a + len(part) - len(part.lstrip("=+/_.-")), b - (len(part) - len(part.rstrip("+/_.-")) if b < end else 0)))
+    return [(lo, end) for lo, end in out if end - lo >= 12]
+
+
 def _identifiers(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -76,21 +106,17 @@ class Novelty:
         self.reach = reach
 
     def spans(self, text: str, taken: list[tuple[str, int, int]], share: float) -> list[tuple[str, int, int]]:
-        """Strings of 12 characters or more, with a digit, up to 48 characters after a sensitive word, that add ``share`` bytes a character or more and overlap no span taken."""
-        out: dict[tuple[int, int], None] = {}
-        for _, hi in _sensitive(text):
-            for m in _CANDIDATE.finditer(text, max(0, hi - 1), hi + 160):
-                lo, end = m.span()
-                if lo > hi + 48:
-                    break
-                if lo >= hi and any(c.isdigit() for c in m.group()) and not any(lo < b and a < end for _, a, b in taken):
-                    end = next((k for k in range(end, len(text)) if not _CANDIDATE.match("x" * 11 + text[k])), len(text)) if end == hi + 160 else end
-                    before, after = text[max(0, lo - self.reach) : lo].encode(), text[end : end + self.reach].encode()
-                    body = text[lo:end].encode()
-                    added = len(self.pack(before + body + after)) - len(self.pack(before + after))
-                    if added >= share * len(body):
-                        out[lo, end] = None
-        return [("novel", *x) for x in out]
+        """Strings of 12 characters or more, with a digit, within reach on either side of a sensitive word, that add ``share`` bytes a character or more and overlap no span taken."""
+        out = []
+        for lo, end in _values(text, self.reach):
+            if not any(c.isdigit() for c in text[lo:end]) or any(lo < b and a < end for _, a, b in taken):
+                continue
+            before, after = text[max(0, lo - self.reach) : lo].encode(), text[end : end + self.reach].encode()
+            body = text[lo:end].encode()
+            added = len(self.pack(before + body + after)) - len(self.pack(before + after))
+            if added >= share * len(body):
+                out.append(("novel", lo, end))
+        return out
 
 
 def secret_scan(docs: DataFrame, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", identifiers: int = 2000) -> DataFrame:

@@ -92,6 +92,14 @@ def test_secrets(spark, none):
     assert not Novelty(b"token configuration_value1 ").spans("token configuration_value1", [], 0.6)
 
 
+@pytest.mark.parametrize("text", ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "api-key={}", "secret_key={}==", "https://a.b/?session={}&x=1", "{} is the passphrase", "private_key = {}", "session " + "of many words " * 5 + "{}"])
+def test_novel_values(text):
+    value = "wJalrXUtnFEMI7K8MDENGbPxRfiCY"
+    text = text.format(value)
+    got = [text[a:b] for _, a, b in Novelty(b"token session ").spans(text, base_spans(text), 0.6)]
+    assert [x.rstrip("=") for x in got] == [value]
+
+
 def test_html(spark):
     page = """<body><nav><a href=/>Menu</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p>First <i>in</i>line&nbsp;text.<div class="ad">Buy</div><p>Second
  here.<ul><li>item</ul><form>Sign up</form></article><section class="comments"><p>Nice post and many words more</p></section><footer>(c)</footer><script>var a="<p>no</p>"</script>"""
