@@ -200,6 +200,14 @@ def test_line_dedup_further_templates(spark):
     assert got[61].text == rows[61].split("\n")[2] and sum(r.n_dropped for r in got.values()) == 59 + 2 * 49 + 95
 
 
+def test_short_lines_in_the_pipeline(spark):
+    import corpus_pipeline as p
+
+    d = spark.createDataFrame([(k, f"Home\nRead more\nbody{'abcdefghijkl'[k]} alone", "en", "s", 1) for k in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = by_id(p.without_recurring_lines(spark, d, ""))
+    assert got[0].text.startswith("Home\nRead more\n") and all(got[k].text == f"body{'abcdefghijkl'[k]} alone" for k in range(1, 12))
+
+
 def test_pipeline_keeps_columns(spark, docs, none, tmp_path):
     import corpus_pipeline as p
 
