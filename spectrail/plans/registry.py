@@ -317,7 +317,7 @@ def exclusion(spark, sf_dir):
 @query()
 def robust_distances(spark, sf_dir):
     df = spectra(spark, sf_dir)
-    got = outliers.robust(decomposition.with_scores(df, *decomposition.fit_pca(df, 3)), starts=50)
+    got = outliers.robust(decomposition.with_scores(df, *decomposition.fit_pca(df, 3)), starts=500)
     return got.select("sample_idx", F.round("d2", 4).alias("d2"))
 
 
@@ -432,13 +432,13 @@ def adaptive_sampling(spark, sf_dir):
 
 @query()
 def permutation_test(spark, sf_dir):
-    error, _, p = selection.permutation_test(supervised(spark, sf_dir), "y", 2, 20)
+    error, _, p = selection.permutation_test(supervised(spark, sf_dir), "y", 2, 100)
     return spark.createDataFrame([(round(error, 6), round(p, 6))], "rmsecv double, p double")
 
 
 @query()
 def bootstrap_intervals(spark, sf_dir):
-    got = selection.bootstrap_coefficients(supervised(spark, sf_dir).drop("fold"), "y", 2, 50)
+    got = selection.bootstrap_coefficients(supervised(spark, sf_dir).drop("fold"), "y", 2, 200)
     return got.select("var_idx", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -492,5 +492,5 @@ def latest_records(spark, sf_dir):
 
 @query()
 def class_diagnostics(spark, sf_dir):
-    got = outliers.by_class(spectra(spark, sf_dir, list(range(8))), "label", 2)
+    got = outliers.by_class(spectra(spark, sf_dir), "label", 2)
     return got.select("sample_idx", "label", *[F.round(c, 6).alias(c) for c in got.columns[2:]])

@@ -158,3 +158,21 @@ def test_class_diagnostics(table):
     assert len(rows) == 40 and all(np.isclose(sum(r.leverage for r in rows if r.label == c), 3) for c in "abc")
     with pytest.raises(Refused):
         outliers.by_class(table.where("sample_idx < 5"), "label", 2)
+
+
+def test_class_diagnostics_sees_every_variable(spark, tmp_path):
+    from spectrail.plans import registry
+
+    x = np.random.default_rng(3).normal(size=(80, 64))
+    x[5, 40] += 50
+    rows = [(k, k % 2, [float(v) for v in r]) for k, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.sample_idx: r[2:] for r in registry.class_diagnostics(spark, str(tmp_path)).collect()}
+    assert any(got[5][k] > 2 * max(r[k] for s, r in got.items() if s != 5) for k in range(len(got[5])) if isinstance(got[5][k], float))
+
+
+def test_permutation_test_has_a_hundred_draws(spark):
+    from spectrail.plans import registry
+
+    p = registry.permutation_test(spark, "/root/testdata/sf0.001").first().p
+    assert abs(p * 101 - round(p * 101)) < 1e-3
