@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
-from .words import Chunk, chunks, mix
+from .words import Chunk, chunks, mix, per_row
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_LINE_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: For each measure: the least spread that counts, and the sides on which a document can lie too far out.
 MEASURES = {
@@ -27,10 +26,6 @@ MEASURES = {
 }
 
 
-def _per_row(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(mark)])[offsets])
-
-
 def _repeat_words(c: Chunk, n: int = 5) -> np.ndarray:
     """Words inside n-word windows that a row has twice or more."""
     at, h = c.windows(n)
@@ -43,7 +38,7 @@ def _repeat_words(c: Chunk, n: int = 5) -> np.ndarray:
     step = np.zeros(len(c.hash) + 1, np.int64)
     np.add.at(step, at[order[many]], 1)
     np.add.at(step, at[order[many]] + n, -1)
-    return _per_row(np.cumsum(step[:-1]) > 0, c.first)
+    return per_row(np.cumsum(step[:-1]) > 0, c.first)
 
 
 def _dup_lines(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -54,49 +49,46 @@ def _dup_lines(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     full = np.searchsorted(c.starts, hi) > np.searchsorted(c.starts, lo)
     lo, hi = lo[full], hi[full]
     row = np.searchsorted(c.offsets, lo, "right") - 1
-    sums = np.zeros(len(c.data) + 1, np.uint64)
-    up = np.full(len(c.data) + 1, _LINE_BASE, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    np.cumsum((c.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    # Multiplying by the power of what is left of the data puts all lines on one scale, as a division by the start's power would.
-    key = mix((sums[hi] - sums[lo]) * up[len(c.data) - lo]) ^ mix((hi - lo).astype(np.uint64) + row.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    key = mix(c.hash_of(lo, hi) + row.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     order = np.argsort(key, kind="stable")
     dup = np.zeros(len(key), bool)
     dup[order[1:]] = key[order][1:] == key[order][:-1]
     return np.bincount(row[dup], minlength=c.rows), np.bincount(row, minlength=c.rows)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], keep: int = 3) -> Iterator[pa.RecordBatch]:
-    """The counts of each row after its first ``keep`` columns; the fourth column is the text."""
+def counts_of(c: Chunk) -> np.ndarray:
+    """The counts (a row for each of _COUNTS) of a chunk's rows."""
+    upper = (c.data >= 65) & (c.data <= 90)
+    letter = upper | (c.data >= 97) & (c.data <= 122)
+    two = np.zeros(len(c.data), bool)  # the second byte of an accented Latin letter
+    two[1:] = (c.data[:-1] == 0xC3) & (c.data[1:] >= 0x80)
+    upper |= two & (c.data <= 0x9E)
+    point = ((c.data & 0xC0) != 0x80) & ~c.space  # every sign that parts words is one byte
+    dup, lines = _dup_lines(c)
+    each = [np.diff(c.first), per_row(point, c.offsets), per_row(_SYMBOL[c.data], c.offsets), dup, _repeat_words(c), lines, per_row(upper, c.offsets), per_row(letter | two, c.offsets)]
+    return np.stack([x.astype(np.int64) for x in each])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each row after its columns but the last, which is the text."""
     for batch in batches:
-        parts = []
-        for c in chunks(batch.column(3)):
-            upper = (c.data >= 65) & (c.data <= 90)
-            letter = upper | (c.data >= 97) & (c.data <= 122)
-            two = np.zeros(len(c.data), bool)  # the second byte of an accented Latin letter
-            two[1:] = (c.data[:-1] == 0xC3) & (c.data[1:] >= 0x80)
-            upper |= two & (c.data <= 0x9E)
-            point = (c.data & 0xC0) != 0x80
-            word = np.zeros(len(c.data) + 1, np.int64)
-            word[c.starts] += 1
-            word[c.ends] -= 1  # a word never ends where another starts, except at a row's edge, where both cancel
-            dup, lines = _dup_lines(c)
-            each = [np.diff(c.first), _per_row(point & (np.cumsum(word[:-1]) > 0), c.offsets), _per_row(_SYMBOL[c.data], c.offsets), dup, _repeat_words(c), lines, _per_row(upper, c.offsets), _per_row(letter | two, c.offsets)]
-            parts.append(np.stack([x.astype(np.int64) for x in each]))
+        keep = batch.num_columns - 1
+        parts = [counts_of(c) for c in chunks(batch.column(keep))]
         if parts:
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, np.concatenate(parts, 1))], [*batch.schema.names[:keep], *_COUNTS])
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Counts and measures of each document, and its text if asked for; null lang and source as empty strings."""
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text")
-    )
-    counts = (lambda batches: _counts(batches, 4)) if with_text else _counts
-    out = rows.mapInArrow(counts, "doc_id bigint, lang string, source string, " + "text string, " * with_text + ", ".join(f"{c} bigint" for c in _COUNTS))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts and measures of each document; null lang and source as empty strings."""
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), group("lang"), group("source"), F.col(text_col).alias("text"))
+    return with_measures(rows.mapInArrow(_counts, "doc_id bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in _COUNTS)))
+
+
+def with_measures(counts: DataFrame) -> DataFrame:
+    """The rows with what their counts give as shares."""
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return out.withColumns(
+    return counts.withColumns(
         {
             "symbols_per_word": share("n_symbols", "n_words"),
             "mean_word_length": share("word_chars", "n_words"),

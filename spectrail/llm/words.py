@@ -15,8 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; it bounds a task's arrays, and no text is cut: a longer one is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at once.  It bounds a task's arrays: rows of more are a chunk of their own, whose bytes are hashed in pieces.
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -35,15 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
+    """base**i and base**-i modulo 2**64 for i below n at least; only tables of a usual chunk's length are kept."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 2 * CHUNK_BYTES + 2)
         up = np.full(size, base, np.uint64)
         down = np.full(size, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
         up[0] = down[0] = 1
-        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 4 * CHUNK_BYTES:
+        have = (np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down))
+        if size == 2 * CHUNK_BYTES + 2:
             _powers[int(base)] = have
     return have
 
@@ -54,6 +54,15 @@ def _prefix(values: np.ndarray, base: np.uint64) -> np.ndarray:
     return out
 
 
+def per_row(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks between successive offsets."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(mark, offsets[:-1][full], dtype=np.int64)
+    return out
+
+
 class Chunk:
     """Some rows of a batch with their words.
 
@@ -64,7 +73,7 @@ class Chunk:
     def __init__(self, row: int, data: np.ndarray, offsets: np.ndarray, lower: bool):
         self.row, self.rows = row, len(offsets) - 1
         self.data, self.offsets = data, offsets
-        space = _SPACE[data]
+        space = self.space = _SPACE[data]
         new = np.zeros(len(data) + 1, bool)
         new[offsets] = True
         before = np.empty(len(data), bool)
@@ -78,14 +87,28 @@ class Chunk:
         self.ends = np.flatnonzero(after & ~space) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(self.rows), np.diff(self.first))
-        sums = _prefix((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1), _BASE)
-        self._sums = sums
+        self._lower = lower
+        self._sums = self._prefix(0, len(data)) if len(data) <= 2 * CHUNK_BYTES else None
         self.hash = self.hash_of(self.starts, self.ends)
 
+    def _prefix(self, lo: int, hi: int) -> np.ndarray:
+        part = self.data[lo:hi]
+        return _prefix((_LOWER[part] if self._lower else part).astype(np.uint64) + np.uint64(1), _BASE)
+
     def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of stretches of bytes, one for each start and end."""
-        raw = (self._sums[ends] - self._sums[starts]) * _power(_BASE, len(self.data) + 1)[1][starts]
-        return mix(raw ^ (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        """Hashes of stretches of bytes, one for each start (in ascending order) and end."""
+        size = (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        if self._sums is not None:
+            raw = (self._sums[ends] - self._sums[starts]) * _power(_BASE, len(self.data) + 1)[1][starts]
+            return mix(raw ^ size)
+        raw = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(self.data) + CHUNK_BYTES, CHUNK_BYTES))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):  # the stretches that start in one piece; only one that is longer itself needs more
+            if hi > lo:
+                at, until = int(starts[lo]), int(ends[lo:hi].max())
+                sums = self._prefix(at, until)
+                raw[lo:hi] = (sums[ends[lo:hi] - at] - sums[starts[lo:hi] - at]) * _power(_BASE, until - at + 1)[1][starts[lo:hi] - at]
+        return mix(raw ^ size)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every run of n words of one row, in order."""

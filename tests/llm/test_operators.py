@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spectrail.llm import queries
 from spectrail.llm.bpe import Coder, bpe
@@ -14,11 +16,12 @@ from spectrail.llm.decontamination import contained_items
 from spectrail.llm.html_extraction import extract, main_text
 from spectrail.llm.line_dedup import line_dedup
 from spectrail.llm.ngram_join import ngram_components
-from spectrail.llm.quality_classifier import labeller_model, posterior, quality_classifier
-from spectrail.llm.quality_rules import quality_rules
+from spectrail.llm.quality_classifier import PLACES, Scorer, labeller_model, posterior, quality_classifier, training_sample, votes
+from spectrail.llm.quality_rules import counts_of, quality_rules
 from spectrail.llm.secret_scan import Novelty, base_spans, secret_scan
 from spectrail.llm.substring_dedup import substring_dedup
 from spectrail.llm.toxicity import toxicity
+from spectrail.llm.words import chunks
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tokens string, hash int, rep string"
 RNG = np.random.default_rng(5)
@@ -121,13 +124,41 @@ def test_bpe(docs, none):
     assert bpe(none, queries.TOKENIZER).count() == 0
 
 
-def test_quality_classifier(docs, none):
-    votes = np.array([[1, 1, 1], [-1, 1, 1], [1, -1, 0], [0, 0, 0]])
-    prior, chances = labeller_model(votes, np.array([900.0, 60, 40, 5]))
-    assert 0.5 < prior < 1 and (posterior(votes, prior, chances)[:3] > 0.5).tolist() == [True, False, False]
+def test_labeller_model_recovers_known_accuracies():
+    rng = np.random.default_rng(3)
+    good = rng.random(200_000) < 0.8
+    hit, alarm, speaks = np.array([0.9, 0.7, 0.6, 0.8, 0.5]), np.array([0.02, 0.05, 0.1, 0.01, 0.03]), np.array([1.0, 0.9, 1.0, 0.6, 0.8])
+    poor = rng.random((len(good), 5)) < np.where(good[:, None], alarm, hit)
+    votes = np.where(rng.random((len(good), 5)) < speaks, np.where(poor, -1, 1), 0)
+    patterns, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    prior, chances = labeller_model(patterns, n.astype(float))
+    assert abs(prior - 0.8) < 0.01 and np.abs(chances[:, 0] - hit).max() < 0.02 and np.abs(chances[:, 1] - alarm).max() < 0.01
+    assert ((posterior(patterns, prior, chances)[at.ravel()] > 0.5) == good).mean() > 0.97
+
+
+def test_quality_classifier(spark, docs, none):
     got = quality_classifier(docs)
     assert got.columns == [*docs.columns, "quality_score", "kept"] and got.count() == docs.count()
     assert {r.doc_id for r in got.where("not kept").collect()} >= {4, 5, 6} and quality_classifier(none).count() == 0
+    assert quality_classifier(none, Scorer(0.0, np.zeros(PLACES))).count() == 0
+    again = {(r.doc_id, r.quality_score) for r in got.collect()}
+    assert len(again) == docs.count() - 1  # the repeated row scores as the first
+
+
+def test_quality_sample_is_bounded_and_even(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, F.lit("the one text that most rows have")).otherwise(F.concat(F.lit("a text of its own "), "id")).alias("text"))
+    for seed in range(3):
+        sizes = training_sample(rows, 5000, 1000, seed).count()
+        assert 850 <= sizes <= 1000
+
+
+def test_long_text_in_pieces(monkeypatch):
+    text = " ".join(RNG.choice(WORDS, 3000)) + "\nx y\n" + "q" * 9000 + " end\nx y"
+    of = lambda: [np.concatenate(x) for x in zip(*[(c.hash, c.windows(5)[1], c.shingles(4)[1], counts_of(c).ravel(), votes(c).ravel()) for c in chunks(pa.array([text]), True)])]
+    whole = of()
+    monkeypatch.setattr("spectrail.llm.words.CHUNK_BYTES", 500)
+    monkeypatch.setattr("spectrail.llm.words._powers", {})
+    assert all(map(np.array_equal, whole, of()))
 
 
 def brute_components(texts, n, percent):
