@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import BLOBS, FLUSH, bucket_bits, bucketed, leads, table, unpacked, unplanes
+from .blobs import BLOBS, bucket_bits, bucketed, leads, planes, table, unpacked, unplanes
 from .components import components
 from .tables import written
 from .words import chunks, mix
@@ -19,8 +19,10 @@ from .words import chunks, mix
 FRAGMENTS = 8
 #: Documents in candidate pairs (24 bytes each) up to which they are broadcast to fetch their texts.
 BROADCAST_ROWS = 2_000_000
-#: Words of 64 bits in a document's coarse parity sketch; the fine one has a bit for each shingle, rounded up to a power of two.
-SKETCH = 8
+#: Words of 64 bits in a document's coarse parity sketch; the fine one has two bits or more for each shingle, a power of two.
+SKETCH = 16
+#: Keys that a map task settles and packs at once; it bounds memory and changes no result.
+FLUSH = 500_000
 
 
 def difference_bound(a: int | Column, b: int | Column, percent: int) -> int | Column:
@@ -83,7 +85,7 @@ _SIGNED = pa.int64()
 
 def _parity(h: np.ndarray) -> np.ndarray:
     """Of each bit whether an odd number of hashes falls on it."""
-    bits = max(64 * SKETCH, 1 << (len(h) - 1).bit_length())
+    bits = max(64 * SKETCH, 2 << (len(h) - 1).bit_length())
     return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -112,39 +114,70 @@ def _signatures(n: int, percent: int, with_keys: bool):
     return run
 
 
-def _shared(n: int, percent: int, bits: int):
-    """The keys of documents, packed by bucket; and of a bucket, the keys that two sets or more have, each with the least document of each set."""
+def _firsts(h: np.ndarray, doc: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By key: each set's least document; and the number of sets with the same key."""
+    x = np.lexsort((doc, sign, h))
+    h, doc, sign = h[x], doc[x], sign[x]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (sign[1:] != sign[:-1])
+    h, doc, sign = h[first], doc[first], sign[first]
+    count = np.diff(np.append(np.flatnonzero(leads(h) == np.arange(len(h))), len(h)))
+    return h, doc, sign, np.repeat(count, count)
+
+
+def _shared(n: int, percent: int, bits: int, spread: int):
+    """The keys of documents, packed by bucket; and of a bucket, the keys that two sets or more have, each with the least document of each set.
+
+    Exact copies are dropped within a flush.  A key that two sets of a flush
+    have is known to be shared: those rows need no bucket and go to one of
+    ``spread`` others, and one of them stands for the flush in the key's
+    bucket.  So a hot key's bucket has a row for each flush, not for each document.
+    """
+
+    def key_of(h: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - bits)
+        return (mix(h >> shift << shift) ^ (h & np.uint64((1 << 56) - 1))).view(np.int64)
+
+    def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, doc, sign, sets = _firsts(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        lead = leads(h) == np.arange(len(h))
+        many = sets > 1
+        rows = bucketed(h[lead], bits, doc[lead], sign[lead], True)
+        if many.any():
+            rows.append(((1 << bits) + int(h[many][0] % np.uint64(spread)), int(many.sum()), key_of(h[many]).tobytes(), planes(doc[many]), b""))
+        for lo in range(0, len(rows), 1000):
+            yield from table(rows[lo : lo + 1000]).to_batches()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in _signatures(n, percent, True)(batches):
             lists = batch.column(4)
             ids, ends = batch.column(0).to_numpy(), lists.offsets.to_numpy()
             h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
             doc, own = np.repeat(ids, np.diff(ends)), np.repeat(batch.column(2).to_numpy().view(np.uint64), np.diff(ends))
-            sign = (mix(own ^ h) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # another one for each key, so that sets can't agree in all
-            for lo in range(0, len(h), FLUSH):
-                part = slice(lo, lo + FLUSH)
-                yield from table(bucketed(h[part], bits, doc[part], sign[part], True)).to_batches()
+            parts.append((h, doc, mix(own ^ h).view(np.int64)))  # another sign for each key, so that sets can't agree in all
+            held += len(h)
+            if held >= FLUSH:
+                yield from settle(parts)
+                parts, held = [], 0
+        if held:
+            yield from settle(parts)
 
     def find(group: pa.Table) -> pa.Table:
-        h = np.concatenate([unpacked(x) for x in group.column("keys").to_pylist()])
         doc = np.concatenate([unplanes(x, np.int64) for x in group.column("docs").to_pylist()])
-        sign = np.concatenate([unplanes(x, np.int32) for x in group.column("starts").to_pylist()])
+        if group.column("bucket")[0].as_py() >= 1 << bits:
+            return pa.table([pa.array(np.concatenate([np.frombuffer(x, np.int64) for x in group.column("keys").to_pylist()])), pa.array(doc)], names=["key", "doc"])
+        h = np.concatenate([unpacked(x) for x in group.column("keys").to_pylist()])
+        sign = np.concatenate([unplanes(x, np.int64) for x in group.column("starts").to_pylist()])
         order = np.argsort(h, kind="stable")
         again = np.zeros(len(h), bool)
         again[1:] = h[order][1:] == h[order][:-1]
         again[:-1] |= again[1:]
         x = order[again]
-        x = x[np.lexsort((doc[x], sign[x], h[x]))]
-        first = np.ones(len(x), bool)  # of the documents of one set the least
-        first[1:] = (h[x][1:] != h[x][:-1]) | (sign[x][1:] != sign[x][:-1])
-        x = x[first]
-        h, doc = h[x], doc[x]
-        count = np.diff(np.append(np.flatnonzero(leads(h) == np.arange(len(h))), len(h)))
-        keep = np.repeat(count > 1, count)
-        high = np.array([group.column("bucket")[0].as_py()], np.uint64) << np.uint64(64 - bits)
-        low = h & np.uint64((1 << 56) - 1)
-        return pa.table([pa.array((mix(high) ^ low)[keep].view(np.int64)), pa.array(doc[keep])], names=["key", "doc"])
+        h, doc, _, sets = _firsts(h[x], doc[x], sign[x])
+        high = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(64 - bits)
+        key = (mix(np.array([high])) ^ (h & np.uint64((1 << 56) - 1))).view(np.int64)
+        return pa.table([pa.array(key[sets > 1]), pa.array(doc[sets > 1])], names=["key", "doc"])
 
     return pack, find
 
@@ -199,8 +232,8 @@ def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(p, F.col("a") == F.col("p.doc")).join(q, F.col("b") == F.col("q.doc")).where(_near("p", "q", percent) & _nearer("p", "q", percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of documents those that link: overlaps are counted in each fragment apart, then summed."""
+def _distances(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b, apart, link`` of distinct pairs (a, b): Jaccard distance, and whether they link.  Overlaps are counted in each fragment apart, then summed."""
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     wanted = written(wanted.join(sizes, "doc").select("doc", "n", "sum_hash"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else the texts are shuffled
@@ -211,7 +244,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, perce
     partial = partial.groupBy("a", "b", "fragment").agg(F.max("both").alias("both"))  # rows that repeat an id repeat its fragments
     total = partial.groupBy("a", "b").agg(F.sum("both").alias("both"))
     na, nb = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
-    return total.join(na, "a").join(nb, "b").where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    union = F.col("na") + F.col("nb") - F.col("both")
+    return total.join(na, "a").join(nb, "b").select("a", "b", (1 - F.col("both") / union).alias("apart"), (100 * F.col("both") >= percent * union).alias("link"))
+
+
+def _links(distances: DataFrame) -> DataFrame:
+    return distances.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +267,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        share a whole fragment.  Only fragments of two classes or more go on.
     3. Within each such fragment all are compared with one class, the one with
        most shared fragments; then classes of different components so far are
-       compared with each other, if size and parity sketch allow a link.  So all
+       compared with each other, if size, parity sketch and their distances to
+       that one class allow a link (Jaccard distance is a metric).  So all
        links between components are found, and a group of near copies isn't
        expanded into all its pairs.
     """
@@ -238,32 +277,40 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     fields = "doc_id bigint, n_shingles bigint, sum_hash bigint, xor_hash bigint, list array<bigint>"
     signed = written(known.mapInArrow(_signatures(n, percent, False), fields))
     each = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "sum_hash", "xor_hash")).alias("same"))
-    classes = each.where("same.n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    members = written(each.join(classes, "same", "left").select("doc_id", "same", F.coalesce("rep", "doc_id").alias("rep")))
+    full = each.where("same.n_shingles > 0")
+    classes = full.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    members = full.join(classes, "same").select("doc_id", "same", "rep")
+    members = written(members.unionByName(each.where("same.n_shingles = 0").select("doc_id", "same", F.col("doc_id").alias("rep"))))
 
     size = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    pack, find = _shared(n, percent, bucket_bits(docs.sparkSession, size / 2))  # a set has about half as many keys as shingles
-    shared = written(known.mapInArrow(pack, BLOBS).groupBy("bucket").applyInArrow(find, "key bigint, doc bigint"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pack, find = _shared(n, percent, bucket_bits(docs.sparkSession, size / 2), max(parts, size // (8 * FLUSH)))  # a set has about half as many keys as shingles
+    shared = written(known.mapInArrow(pack, BLOBS).groupBy("bucket").applyInArrow(find, "key bigint, doc bigint").distinct())
     own = classes.select(F.col("rep").alias("doc"), "same")
     mine = signed.select(F.col("doc_id").alias("doc"), F.struct("n_shingles", "sum_hash", "xor_hash").alias("same"), F.col("list").alias("fine"))
     sizes = own.join(shared.select("doc").distinct(), "doc").join(mine, ["doc", "same"]).select("doc", F.col("same.n_shingles").alias("n"), F.col("same.sum_hash").alias("sum_hash"), "fine", _coarse(F.col("fine")).alias("sketch"))
     sizes = written(sizes.dropDuplicates(["doc"]))
 
     weight = shared.groupBy("doc").agg(F.count("*").alias("weight")).join(sizes, "doc").select("doc", (F.col("weight") / F.col("n")).alias("weight"))
-    centre = shared.join(weight, "doc").groupBy("key").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("centre"))
+    centre = written(shared.join(weight, "doc").groupBy("key").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("centre")))
     star = shared.join(centre, "key").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
     star = written(_plausible(star, sizes, percent))
-    links = written(_verified(star, known, sizes, n, percent))
+    near = written(_distances(star, known, sizes, n, percent))
+    links = _links(near)
     found = written(components(links))
 
     placed = shared.join(found, shared.doc == found.vertex, "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(open_keys, "key").join(sizes.drop("fine"), "doc"))
+    # Each document's distance to its key's centre: 0 for the centre itself, null where their sketches already rule a link out.
+    apart = near.select(F.col("a").alias("doc"), F.col("b").alias("centre"), "apart").unionByName(near.select(F.col("b").alias("doc"), F.col("a").alias("centre"), "apart"))
+    rest = placed.join(open_keys.join(centre, "key"), "key").join(apart, ["doc", "centre"], "left")
+    rest = rest.join(sizes.drop("fine"), "doc").select("key", "doc", "component", F.when(F.col("doc") == F.col("centre"), 0.0).otherwise(F.col("apart")).alias("apart"), "n", "sketch")
     p, q = rest.alias("p"), rest.alias("q")
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near("p", "q", percent))
+    reach = F.abs(F.col("p.apart") - F.col("q.apart")) <= 1 - percent / 100 + 1e-9
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & F.coalesce(reach, F.lit(True)) & _near("p", "q", percent))
     across = across.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct()
     across = written(_plausible(across.join(star, ["a", "b"], "left_anti"), sizes, percent))
-    links = written(links.unionByName(_verified(across, known, sizes, n, percent)))
+    links = written(links.unionByName(_links(_distances(across, known, sizes, n, percent))))
     found = components(links).select(F.col("vertex").alias("rep"), "component")
     result = members.join(found, "rep", "left").select("doc_id", F.col("same.n_shingles").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     counted = rows.select("doc_id").join(result, "doc_id", "left")
