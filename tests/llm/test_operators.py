@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -106,9 +107,47 @@ def test_novel_values(text):
 def test_html(spark):
     page = """<body><nav><a href=/>Menu</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p>First <i>in</i>line&nbsp;text.<div class="ad">Buy</div><p>Second
  here.<ul><li>item</ul><form>Sign up</form></article><section class="comments"><p>Nice post and many words more</p></section><footer>(c)</footer><script>var a="<p>no</p>"</script>"""
-    got = {r.page_id: r.text for r in extract(spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "a < b <unclosed"), (5, "x", page)], "page_id bigint, url string, html string")).collect()}
-    assert got[1] == "Title & more\nFirst inline text.\nSecond here.\nitem" and got[1] == got[5] and got[2] == got[3] == ""
-    assert main_text("", {}) == ""
+    rows = [(1, "u", page, "t", 0), (2, None, None, "t", 0), (3, "v", "", "t", 0), (4, "w", "a < b <unclosed", "t", 0), (5, "x", page, "t", 0), (None, "y", page, "t", 0), (6, "z", "<p>" + "long words " * 200_000, "t", 0)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    got = {r.page_id: r.text for r in extract(table).collect()}
+    assert got[1] == "Title & more\nFirst inline text.\nSecond here.\nitem" and got[1] == got[5] == got[None] and got[2] == got[3] == "" and got[6] == ("long words " * 200_000).strip()
+    assert main_text("") == "" and extract(table.limit(0)).count() == 0 and extract(table.where("html is null")).count() == 1
+
+
+PROSE = " ".join(f"word{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{PROSE}</p></article><div id=comments><article class=comment><p>first</p></article><article class=comment><p>second {PROSE}</p></article></div>", PROSE),
+        (f"<article><p>{PROSE}</p></article><article class=comment>hi there all of you</article>", PROSE),
+        (f"<article><p>start</p><p class='ad-free share'>kept</p><section id='related'><h2>Related work</h2><p>{PROSE}</p></section></article>", f"start\nkept\nRelated work\n{PROSE}"),
+        (f"<article><header><h1>T</h1></header><p>{PROSE}</p><div class=share>Share this page</div><p>end</p></article><header>site</header>", f"T\n{PROSE}\nend"),
+        (f"<div><p>{PROSE}</p></div><div id='comments'><p>{PROSE} {PROSE}</p></div>", PROSE),
+        (f"<div><a>Home</a> <a>News</a></div><div class=c1><h1>A headline</h1><p>{PROSE}</p></div><div>by us</div>", f"A headline\n{PROSE}"),
+        (f"<head><title>x</title><meta><body><nav>menu {PROSE}<article><p>{PROSE}", PROSE),
+    ],
+)
+def test_html_layouts(page, want):
+    assert main_text(page) == want
+
+
+def test_html_scores_decide(spark):
+    """Class names that no list knows fall out by weights learned from labelled pages, on pages without an article."""
+    labelled = [f"<body><div class=q7>{PROSE} {k}</div><div class=body><article><h1>t</h1><p>{PROSE}</p></article></div><div class=zz>{PROSE}</div>" for k in range(40)]
+    plain = f"<body><div class=q7>{PROSE} other</div><div class=body><h1>A title</h1><p>{PROSE}</p></div><div class=zz>{PROSE}</div>"
+    table = spark.createDataFrame([(k, "u", x) for k, x in enumerate([*labelled, plain])], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract(table).collect()}
+    assert got[40] == f"A title\n{PROSE}" and got[0] == f"t\n{PROSE}"
+    assert main_text(plain).startswith("word0") and "other" in main_text(plain)  # without the learned weights all of it is the best run
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href='", "<!-- ", "<p><b>", "<li><span>", "<div class=ad>", "</p></b>", '<a x="', "<script>"])
+def test_html_is_read_in_linear_time(part):
+    began = time.perf_counter()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 10
 
 
 def test_bpe(docs, none):
