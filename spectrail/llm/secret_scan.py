@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Kinds in the order in which spans that start together are listed (fixed values, with the three patterns).
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -74,42 +76,66 @@ def _values(text: str, reach: int) -> list[tuple[int, int]]:
     return [(lo, end) for lo, end in out if end - lo >= 12]
 
 
+#: Different words that a task counts before it passes them on; it bounds memory and changes no count.
+_HELD = 100_000
+
+
+def _plain(word: str) -> bool:
+    """Short, or of letters only: others may be the secrets themselves."""
+    return len(word) < 12 or len(word) <= 40 and word.replace("_", "").isalpha()
+
+
 def _identifiers(reach: int):
+    """Identifiers of whole texts with their counts, and those within reach of a sensitive word with theirs."""
+
+    def rows(every: Counter, near: Counter) -> pa.RecordBatch:
+        total: Counter = Counter()
+        for token, n in every.items():
+            for w in _IDENTIFIER.findall(token):
+                total[w] += n
+        words = [w for w in total | near if _plain(w)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64()), pa.array([near[w] for w in words], pa.int64())], ["word", "n", "near"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        every, near = Counter(), Counter()
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
+                every.update(text.split())
                 for lo, hi in _sensitive(text):
-                    seen.update(w for w in _IDENTIFIER.findall(text[max(0, lo - reach) : hi + reach]) if len(w) < 12 or len(w) <= 40 and w.replace("_", "").isalpha())
-            if len(seen) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                    near.update(_IDENTIFIER.findall(text[max(0, lo - reach) : hi + reach]))
+                if len(every) > _HELD:
+                    yield rows(every, near)
+                    every.clear()
+                    near.clear()
+        yield rows(every, near)
 
     return run
 
 
 def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000, reach: int = 64) -> bytes:
-    """The ``size`` most frequent identifiers within ``reach`` characters of a sensitive word in any document, the most frequent last, where zstandard finds them cheapest.  Long ones with a digit are left out: they may be the secrets themselves."""
-    counts = docs.select(text_col).mapInArrow(_identifiers(reach), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    return " ".join(r.word for r in reversed(top)).encode()
+    """The ``size`` most frequent identifiers of all documents, and behind them, where zstandard finds them cheapest, the ``size`` most frequent ones within ``reach`` characters of a sensitive word; the most frequent last.  Long ones with a digit are left out: they may be the secrets themselves."""
+    counts = docs.select(text_col).mapInArrow(_identifiers(reach), "word string, n bigint, near bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near")).where("n > 1")
+    counts = written(counts)
+    top = lambda by: [r.word for r in counts.where(F.col(by) > 1).orderBy(F.desc(by), "word").limit(size).collect()]
+    return " ".join(w for words in (top("n"), top("near")) for w in reversed(words)).encode()
 
 
 class Novelty:
     """Marginal compressed bytes against a dictionary and the text around."""
 
-    def __init__(self, dictionary: bytes, reach: int = 96):
+    def __init__(self, dictionary: bytes, reach: int = 96, level: int = 19):
         primed = zstandard.ZstdCompressionDict(dictionary, zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
-        self.pack = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False).compress
+        if primed:
+            primed.precompute_compress(level=level)
+        self.pack = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False).compress
         self.reach = reach
 
     def spans(self, text: str, taken: list[tuple[str, int, int]], share: float) -> list[tuple[str, int, int]]:
-        """Strings of 12 characters or more, with a digit, within reach on either side of a sensitive word, that add ``share`` bytes a character or more and overlap no span taken."""
+        """Strings of 12 characters or more within reach on either side of a sensitive word that add ``share`` bytes a character or more and overlap no span taken."""
         out = []
         for lo, end in _values(text, self.reach):
-            if not any(c.isdigit() for c in text[lo:end]) or any(lo < b and a < end for _, a, b in taken):
+            if any(lo < b and a < end for _, a, b in taken):
                 continue
             before, after = text[max(0, lo - self.reach) : lo].encode(), text[end : end + self.reach].encode()
             body = text[lo:end].encode()
@@ -119,13 +145,15 @@ class Novelty:
         return out
 
 
-def secret_scan(docs: DataFrame, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", identifiers: int = 2000) -> DataFrame:
+def secret_scan(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", text_col: str = "text", identifiers: int = 2000) -> DataFrame:
     """One row for each document: ``doc_id, spans`` with kind, start, end and value of each find, by start, then kind.
 
     Kinds assign, access and hex are patterns; novel are strings near a
-    sensitive word that zstandard, primed with the corpus's identifiers there,
-    can't shrink below ``share`` bytes a character given the text around.  A null
-    or empty text has no spans; repeated rows are each scanned.
+    sensitive word that zstandard, primed with the corpus's identifiers, can't
+    shrink below ``share`` bytes a character given the text around, whatever
+    they consist of.  A null or empty text has no spans; a null id stays null;
+    repeated rows are each scanned; spans that start together are ordered by
+    kind; an empty table gives no rows; other columns aren't read.
     """
     dictionary = identifier_dictionary(docs, text_col, identifiers)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
