@@ -73,7 +73,7 @@ def _further_templates(found: DataFrame, groups: DataFrame, least_docs: int, agr
     return reduce(DataFrame.union, out) if out else None
 
 
-def recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_tokens: int = 3, agree_percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_tokens: int = 1, agree_percent: int = 75, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, drop``: the line numbers, from 0, that repeat a template which ``least_docs`` documents have.
 
     The tree has a level for the number of tokens and ``depth`` levels for the
@@ -81,7 +81,8 @@ def recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, least
     documents have (the largest of equals); lines that agree with it at
     ``agree_percent`` % of their positions or more belong to it, and where they
     differ it is variable.  If too few documents have it, and for the other
-    lines, further templates of the leaf are looked for.  A template's first line, by document and place, isn't listed.
+    lines, further templates of the leaf are looked for.  With ``keep_first`` a
+    template's first line, by document and place, isn't listed.
     """
     lines = _lines(docs, id_col, text_col, depth, least_tokens)
     leaves = written(_documents(lines, "leaf").where(F.col("n_docs") >= least_docs).select("leaf"))
@@ -98,22 +99,28 @@ def recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, least
     further = _further_templates(found, own.join(recur, ["leaf", "template"], "left_anti").drop("template"), least_docs, agree_percent)
     of = own.join(recur, ["leaf", "template"], "left_semi").select("leaf", "masked", "template")
     placed = written(found.join(of if further is None else of.union(further), ["leaf", "masked"]).select("leaf", "doc", "line_no", "template"))
-    counts = _documents(placed, "leaf", "template").where(F.col("n_docs") >= least_docs)
-    first = placed.groupBy("leaf", "template").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    drops = placed.join(counts.join(first, ["leaf", "template"]), ["leaf", "template"]).where(F.struct("doc", "line_no") != F.col("first"))
+    counts = _documents(placed, "leaf", "template").where(F.col("n_docs") >= least_docs).select("leaf", "template")
+    if keep_first:
+        counts = counts.join(placed.groupBy("leaf", "template").agg(F.min(F.struct("doc", "line_no")).alias("first")), ["leaf", "template"])
+    # Both are templates of leaves that least_docs documents have: no more rows than the corpus has lines / least_docs.
+    drops = placed.join(counts, ["leaf", "template"])
+    drops = drops.where(F.struct("doc", "line_no") != F.col("first")) if keep_first else drops
     return drops.groupBy("doc").agg(F.collect_set("line_no").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_tokens: int = 3, agree_percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, least_docs: int = 10, depth: int = 3, least_tokens: int = 1, agree_percent: int = 75, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without recurring lines, and ``n_lines`` and ``n_dropped`` (they replace columns of these names).
 
     Tokens are what single spaces (0x20) separate; lines end at ``\\n``.  Lines
-    of fewer than ``least_tokens`` tokens always stay.  A null text stays null,
+    of fewer than ``least_tokens`` tokens always stay.  Every line of a recurring
+    template goes, or with ``keep_first`` all but its first by id and place, so
+    that a text which many documents copy isn't lost.  A null text stays null,
     with no lines; a row with a null id keeps its lines and isn't counted; rows
     that repeat an id count as one document and lose the same line numbers; a
-    text whose every line goes becomes empty.
+    text whose every line goes becomes empty; an empty table gives no rows.  Of
+    equally frequent masked lines the largest is a leaf's first template.
     """
-    drops = recurring_lines(docs, least_docs, depth, least_tokens, agree_percent, id_col, text_col).withColumnsRenamed({"doc": "_dedup_doc", "drop": "_dedup_drop"})
+    drops = recurring_lines(docs, least_docs, depth, least_tokens, agree_percent, keep_first, id_col, text_col).withColumnsRenamed({"doc": "_dedup_doc", "drop": "_dedup_drop"})
     lines = F.split(F.col(text_col), "\n")
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dedup_drop"))

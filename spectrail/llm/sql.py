@@ -17,15 +17,15 @@ select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from
 _LINE_DEDUP = """
 with lines as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from documents where doc_id is not null and text is not null),
 tokens as (select doc_id, line_no, list_transform(list_filter(string_split(line, ' '), lambda t: t <> ''), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) t from lines),
-leafed as (select *, len(t) k, t[1] a, t[2] b, t[3] c, array_to_string(t, ' ') masked from tokens where len(t) >= 3),
+leafed as (select *, len(t) k, t[1] a, coalesce(t[2], '') b, coalesce(t[3], '') c, array_to_string(t, ' ') masked from tokens where len(t) >= 1),
 leaves as (select k, a, b, c from leafed group by all having count(distinct doc_id) >= 10),
 found as (select leafed.* from leafed join leaves using (k, a, b, c)),
 counted as (select k, a, b, c, masked, count(distinct doc_id) n from found group by all),
 common as (select k, a, b, c, arg_max(masked, (n, masked)) template from counted group by all),
 compared as (select found.*, template, len(list_filter(range(1, k + 1), lambda i: t[i] = string_split(template, ' ')[i])) agree from found join common using (k, a, b, c)),
 placed as (select k, a, b, c, doc_id, line_no, case when 100 * agree >= 75 * k then template else masked end template from compared),
-recurring as (select k, a, b, c, template, min((doc_id, line_no)) first_place from placed group by all having count(distinct doc_id) >= 10),
-dropped as (select distinct doc_id, line_no from placed join recurring using (k, a, b, c, template) where (doc_id, line_no) <> first_place),
+recurring as (select k, a, b, c, template from placed group by all having count(distinct doc_id) >= 10),
+dropped as (select distinct doc_id, line_no from placed join recurring using (k, a, b, c, template)),
 kept as (select l.doc_id, count(d.line_no) n_dropped, string_agg(line, chr(10) order by l.line_no) filter (where d.line_no is null) kept_text, count(*) n_lines from lines l left join dropped d on l.doc_id = d.doc_id and l.line_no = d.line_no group by l.doc_id)
 select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, case when text is not null then sha256(coalesce(kept_text, '')) end kept_sha256 from documents d left join kept using (doc_id)
 """

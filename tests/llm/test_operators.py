@@ -287,11 +287,12 @@ def test_substring_dedup(docs, none):
 
 
 def test_line_dedup(docs, none):
-    got = line_dedup(docs)
+    got = line_dedup(docs, keep_first=True)
     assert set(got.columns) == {*docs.columns, "n_lines", "n_dropped"} and got.count() == docs.count()
     rows = by_id(got)
     assert [rows[k].n_dropped for k in range(12, 26)] == [0] + [1] * 13 and "Licence" in rows[12].text and "Licence" not in rows[13].text
     assert rows[4].text is None and rows[4].n_lines == 0 and rows[11].n_dropped == 0 and line_dedup(none).count() == 0
+    assert [by_id(line_dedup(docs))[k].n_dropped for k in range(11, 26)] == [0] + [1] * 14
 
 
 def test_line_dedup_further_templates(spark):
@@ -299,11 +300,18 @@ def test_line_dedup_further_templates(spark):
     rows = ["Posted by user admin on the main page"] * 60
     rows += [f"Posted by user {x} in the {y} forum\nWritten here by {x} in {y} today\nA line of {x} {y} {x}x {y}y" for x, y in zip(names, names[::-1])]
     rows += [f"Sent from page {x} of the {y} wiki" for x in names[:8] for y in names[8:20]]  # each value is frequent, no pair is
-    got = by_id(line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")))
+    got = by_id(line_dedup(spark.createDataFrame([(k, t, k, [k]) for k, t in enumerate(rows)], "doc_id bigint, text string, doc bigint, spans array<int>"), keep_first=True))
     assert [got[k].n_dropped for k in (0, 1, 60, 61, 109, 110, 111, 205)] == [0, 1, 0, 2, 2, 0, 1, 1]
     assert got[61].text == rows[61].split("\n")[2] and sum(r.n_dropped for r in got.values()) == 59 + 2 * 49 + 95
 
 
+def test_line_dedup_several_templates_a_leaf(spark):
+    names = ["anna", "berta", "carla", "dora", "emma", "frida", "gerda", "hanna", "ida", "jutta", "klara", "lena", "mia", "nora"]
+    rows = [f"Posted by user {x} in the general forum today\nonly {x} wrote this about {x}s" for x in names] + [f"Posted by user admin at noon from Berlin {k}\nbody{chr(97 + k)} x" for k in range(20)]
+    got = by_id(line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")))
+    assert [got[k].text.count("Posted") for k in range(34)] == [0] * 34 and all(got[k].n_dropped == 1 for k in range(14, 34))
+
+
 def test_short_lines_in_the_pipeline(spark):
     import corpus_pipeline as p
 
