@@ -22,8 +22,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates, of any number of tokens; one that loses every line goes."""
-    left = line_dedup(docs, least_tokens=1).where("n_dropped = 0 or trim(text) <> ''")
+    """Documents without lines of recurring templates but each template's first, so that copied texts aren't lost; one that loses every line goes."""
+    left = line_dedup(docs, keep_first=True).where("n_dropped = 0 or trim(text) <> ''")
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
