@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
 from .words import Chunk, chunks, mix
 
 #: Terms are hashed to this many places, one set of places for each of the counts 1, 2, and 3 or more.
@@ -121,7 +122,7 @@ def _descend(label: np.ndarray, row: np.ndarray, at: np.ndarray, size: int, fact
             a = at[np.repeat(ends[docs] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(r))]
             x = theta[a]
             sums = np.stack([np.bincount(r, x[:, k], len(docs)) for k in range(x.shape[1])], 1)
-            squares = np.stack([np.bincount(r, x[:, k] ** 2, len(docs)) for k in range(1, x.shape[1])], 1)
+            squares = np.stack([np.bincount(r, x[:, k] ** 2, len(docs)) for k in range(x.shape[1])], 1)[:, 1:]
             z = bias + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2 - squares).sum(1)
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[docs]
             grad = np.zeros_like(theta)
@@ -136,21 +137,23 @@ def _descend(label: np.ndarray, row: np.ndarray, at: np.ndarray, size: int, fact
     return float(bias), theta[:, 0], theta[:, 1:]
 
 
-def train(texts: DataFrame, most_rows: int = 12_000, most_features: int = 4096, factors: int = 4, epochs: int = 6, seed: int = 7) -> Machine:
-    """A machine from ``text, label`` (0 or 1), label null left out.
+def train(texts: DataFrame, most_rows: int = 12_000, most_features: int = 4096, most_common: int = 512, factors: int = 4, epochs: int = 6, seed: int = 7) -> Machine:
+    """A machine from ``doc_id, text, label`` (0 or 1), other labels left out.
 
-    At most about ``most_rows`` rows, a sample by hash of the text, are learned
-    from; of their features the ``most_features`` whose share differs most
-    between the labels (in standard errors) are used.  Only the sample's chosen
-    features come to the driver.  Without rows of both labels the machine
-    answers with the share of label 1, or 0.5.
+    At most ``most_rows`` rows, a sample by hash of id and text, are learned
+    from.  Of their features those are used whose share differs most between the
+    labels (in standard errors), ``most_features`` of them, and the
+    ``most_common`` most frequent others (one for 16 rows at most), so that terms
+    which tell only in pairs are seen too.  Only the sample's chosen features come to the driver.
+    Without rows of both labels the machine answers with the share of label 1,
+    or 0.5.
     """
-    known = texts.where(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"))
+    known = texts.where(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    n = known.select("label").count()
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)).alias("turn")
+    near = known.select("text", "label", turn).where(F.col("turn") < int(min(1.0, most_rows / max(n, 1)) * (1 << 30)))  # about most_rows; more by chance only
+    known = written(near.orderBy("turn", "text", "label").limit(most_rows).select("text", "label"))
     by_label = dict(known.groupBy("label").count().collect())
-    n = sum(by_label.values())
-    if n > most_rows:
-        known = known.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
-        by_label = dict(known.groupBy("label").count().collect())
     n0, n1 = by_label.get(0, 0), by_label.get(1, 0)
     none = np.zeros(0, np.int64)
     if not n0 or not n1:
@@ -158,7 +161,10 @@ def train(texts: DataFrame, most_rows: int = 12_000, most_features: int = 4096,
     counts = known.mapInArrow(_class_counts, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
     pool = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     gap = F.abs((F.col("n1") + 0.5) / (n1 + 1) - (F.col("n0") + 0.5) / (n0 + 1)) / F.sqrt(pool * (1 - pool) * (1 / n0 + 1 / n1) + 1e-12)
-    features = np.sort(np.array([r.feature for r in counts.select("feature", gap.alias("gap")).orderBy(F.desc("gap"), "feature").limit(most_features).collect()], np.int64))
+    counts = written(counts.select("feature", gap.alias("gap"), (F.col("n0") + F.col("n1")).alias("n")))
+    telling = counts.orderBy(F.desc("gap"), "feature").limit(most_features).select("feature")
+    common = counts.join(F.broadcast(telling), "feature", "left_anti").orderBy(F.desc("n"), "feature").limit(min(most_common, (n0 + n1) // 16)).select("feature")
+    features = np.sort(np.array([r.feature for r in telling.union(common).collect()], np.int64))
     rows = known.mapInArrow(_rows_of(features), "label int, features array<int>").toArrow()
     label = rows.column("label").to_numpy().astype(float)
     lists = rows.column("features").combine_chunks()
@@ -188,12 +194,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, id_col: st
 
     Labels of documents whose crc32 of the id as text leaves 1 when divided by 3
     are held out.  Documents without a label or with a null one, and all if
-    there are no labels, are scored alike; a null id is scored and is not held
-    out; repeated rows are each scored.
+    there are no labels, are scored alike; a null or empty text scores what a
+    text without known terms does; a null id is scored and is not held out;
+    repeated rows are each scored, and learned from once for each of their
+    labels; an empty table gives no rows; other columns aren't read.
     """
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_labelled"), F.col(label_col).alias("label"))
-    learn = docs.where(~held).join(known, F.col(id_col) == F.col("_labelled")).select(F.col(text_col).alias("text"), "label")
-    scored = score(docs, train(learn, **training), id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))  # clashing columns stay behind
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    known = labels.select(F.col(id_col).cast("bigint").alias("_labelled"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
+    learn = rows.where(~held).join(known, F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "label")
+    scored = score(rows, train(learn, **training))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))

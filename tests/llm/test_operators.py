@@ -265,13 +265,32 @@ def test_components(spark):
 
 
 def test_toxicity(spark, none):
-    rows = [(k, " ".join([*RNG.choice(WORDS, 20), *(["scoundrel"] if k % 4 == 0 else [])])) for k in range(600)] + [(600, None), (601, ""), (None, "scoundrel")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)] + [(601, None)], "doc_id bigint, toxic int")
+    rows = [(k, " ".join([*RNG.choice(WORDS, 20), *(["scoundrel"] if k % 4 == 0 else [])]), 0, k) for k in range(600)] + [(600, None, 0, 0), (601, "", 0, 0), (None, "scoundrel", 0, 0), (4, "scoundrel again", 0, 0), (602, "plain " * 200_000, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int, _labelled bigint")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), "x") for k in range(600)] + [(601, None, "x"), (4, 1, "y")], "doc_id bigint, toxic int, text string")
     got = toxicity(docs, labels).collect()
     held = [r for r in got if r.held_out and r.doc_id < 600]
-    assert len(got) == 603 and held and np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
-    assert toxicity(docs, labels.limit(0)).count() == 603 and toxicity(none, labels).count() == 0
+    assert len(got) == 605 and held and np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity(docs, labels.limit(0)).count() == 605 and toxicity(none, labels).count() == 0
+
+
+def auc(score, label):
+    rank = np.empty(len(score))
+    rank[np.argsort(score, kind="stable")] = np.arange(1, len(score) + 1)
+    return (rank[label == 1].sum() - (label == 1).sum() * ((label == 1).sum() + 1) / 2) / ((label == 1).sum() * (label == 0).sum())
+
+
+def test_toxicity_learns_pairs_that_a_refitted_linear_model_misses(spark):
+    insult, group = RNG.random(3000) < 0.5, RNG.random(3000) < 0.5
+    label = (insult == group).astype(int)  # neither word tells anything alone
+    rows = [(k, " ".join(RNG.permutation([*RNG.choice(WORDS[:40], 6), *["idiotic"] * i, *["foreigners"] * g]))) for k, (i, g) in enumerate(zip(insult.tolist(), group.tolist(), strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(label)], "doc_id bigint, toxic int")
+    found = {}
+    for factors in (0, 4):
+        held = [r for r in toxicity(docs, labels, factors=factors, epochs=20).collect() if r.held_out]
+        found[factors] = auc(np.array([r.score for r in held]), label[[r.doc_id for r in held]])
+    assert found[0] < 0.6 and found[4] > 0.9, found
 
 
 def test_substring_dedup(docs, none):
