@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 #: The byte-level pre-tokenizer's pattern (a fixed value of the public format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words whose tokens a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+#: Words whose tokens a worker keeps, and their characters; beyond either the store starts anew.
+KEPT_WORDS, KEPT_CHARS = 400_000, 8_000_000
+#: Bytes of a word from which on its merges are done one by one from a heap, and not in rounds over many words at once.
+LONG_WORD = 1000
 
 
 def _byte_of() -> dict[str, int]:
@@ -63,6 +66,7 @@ class Coder:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.store: dict[str, bytes] = {}
+        self.chars = 0
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens: does encoding their joined bytes give just the two?
@@ -114,6 +118,31 @@ class Coder:
         order = np.argsort(owner, kind="stable")
         return np.split(ids[order].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
 
+    def merged_alone(self, word: bytes) -> np.ndarray:
+        """Exact merging of one long word: the pair of least rank, of equals the leftmost, from a heap."""
+        ids = [self.id_of[bytes([b])] for b in word]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < len(ids) and (found := self.merge.get((ids[i], ids[j]))):
+                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+
+        for i in range(len(ids)):
+            offer(i)
+        while heap:
+            _, i, a, b, to = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= len(ids) or ids[j] != b:
+                continue  # one of the two has merged meanwhile
+            ids[i], ids[j] = to, -1
+            after[i] = after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return np.array([i for i in ids if i >= 0], "<u4")
+
     def greedy(self, word: bytes) -> list[int]:
         ids, at, n = [], 0, len(word)
         while at < n:
@@ -134,8 +163,11 @@ class Coder:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         wrong = np.unique(owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]).tolist()
         self.store.update(zip(words, map(np.ndarray.tobytes, np.split(flat.astype("<u4"), np.cumsum(count)[:-1])), strict=True))
-        if wrong:
-            self.store.update((words[k], x.tobytes()) for k, x in zip(wrong, self.merged([raw[k] for k in wrong]), strict=True))
+        short = [k for k in wrong if len(raw[k]) < LONG_WORD]
+        if short:
+            self.store.update((words[k], x.tobytes()) for k, x in zip(short, self.merged([raw[k] for k in short]), strict=True))
+        self.store.update((words[k], self.merged_alone(raw[k]).tobytes()) for k in wrong if len(raw[k]) >= LONG_WORD)
+        self.chars += sum(map(len, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -148,8 +180,9 @@ class Coder:
             parts.append([*out, self.pattern.findall(text[at:] if at else text)])
         new = {w for x in parts for words in x if type(words) is list for w in words if w not in self.store}
         if new:
-            if len(self.store) + len(new) > KEPT_WORDS:
+            if len(self.store) + len(new) > KEPT_WORDS or self.chars > KEPT_CHARS:
                 self.store.clear()
+                self.chars = 0
                 new = {w for x in parts for words in x if type(words) is list for w in words}
             self.learn(list(new))
         look = self.store.__getitem__
@@ -171,8 +204,9 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     ``decoded`` is the text they decode to, special tokens included.  The
     strings of added tokens in a text become those tokens.  ``tokenizer`` is the
     path of a byte-level BPE file on the driver; its content goes out with the
-    tasks.  A null or empty text has no tokens.  Repeated rows are each encoded;
-    other columns aren't read.
+    tasks.  A null or empty text has no tokens; a null id stays null; repeated
+    rows are each encoded; an empty table gives no rows; other columns, whatever
+    their names, aren't read.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, of a few MB

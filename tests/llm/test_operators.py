@@ -194,6 +194,11 @@ def test_bpe(docs, none):
     coder = Coder(open(queries.TOKENIZER).read())
     odd = ["a<|endoftext|>b", "<|endoftext|>", "aaaaaaa" * 30, "'s'll  \n\n x", "\u0000�", *["".join(RNG.choice(list("abcdefgh ,.é中"), 40)) for _ in range(300)]]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    long = ["".join(RNG.choice(list("abehnorst"), 3000)), "a" * 5001, "é中" * 900, "".join(RNG.choice(WORDS, 700))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(long)] == [library.encode(t, add_special_tokens=False).ids for t in long]
+    began = time.perf_counter()
+    coder.encode(["".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz"), 80_000))])
+    assert time.perf_counter() - began < 8
     assert bpe(none, queries.TOKENIZER).count() == 0
 
 
