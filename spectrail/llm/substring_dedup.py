@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import BLOBS, BUCKET, FLUSH, bucket_bits, bucketed, leads, planes, table, unpacked, unplanes
-from .words import chunks
+from .words import chunks, mix
+
 
 def _search(window: int, bits: int):
     """Each task's windows by bucket of their hash; what repeats within a flush is settled there, so a hot window leaves once a flush."""
@@ -77,7 +78,7 @@ def _later(doc_buckets: int):
             x = x[(doc[x] != doc[lead]) | (start[x] != start[lead])]
             known.append((doc[x], start[x]))
         doc, start = map(np.concatenate, zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        to = np.mod(doc, doc_buckets)
+        to = (mix(doc.view(np.uint64)) % np.uint64(doc_buckets)).astype(np.int64)  # ids may share a divisor
         order = np.lexsort((start, doc, to))
         doc, start, to = doc[order], start[order], to[order]
         edges = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else []
