@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
-#: Sketch rows of all items up to which they are broadcast; beyond, Spark joins by shuffle.
+#: Sketch rows of all items, and candidate pairs, up to which they are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -57,7 +57,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     need.  Candidates share a hash of the item's sketch; all are verified
     with exact shingles.  Null or empty texts contain nothing and aren't
     contained; rows with a null id take no part; of rows that
-    repeat an id the one that shares most counts.
+    repeat an id the one that shares most counts; an empty table on either side
+    gives no rows; other columns, whatever their names, aren't read.  An item of
+    fewer than n words is one shingle, which only a document that equals it has.
     """
     sketches = written(item_sketches(items, n, percent, item_col, item_text_col))
     part = F.floor(F.log2("n_needed"))
@@ -66,8 +68,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"))
     hashed = rows.select("doc_id", _shingle_hashes(F.col("doc_text"), n).alias("doc_hashes"))
     found = hashed.select("doc_id", F.floor(F.log2(F.size("doc_hashes"))).alias("room"), F.explode("doc_hashes").alias("hash"))
-    candidates = found.join(probes, "hash").where(F.col("part") <= F.col("room")).select("doc_id", "item_id").distinct()
-    checked = candidates.join(rows, "doc_id").join(sketches.drop("sketch"), "item_id")
+    candidates = written(found.join(probes, "hash").where(F.col("part") <= F.col("room")).select("doc_id", "item_id").distinct())
+    few = candidates.count() <= BROADCAST_ROWS  # 16 bytes each; then the texts aren't shuffled
+    checked = rows.join(F.broadcast(candidates) if few else candidates, "doc_id").join(sketches.drop("sketch"), "item_id")
     same = _each_shingle(F.col("doc_text"), n, lambda w, k: F.when(F.array_contains("hashes", _hash(w, k, n)), _shingle(w, k, n)))
     checked = checked.select("doc_id", "item_id", "n_item", "n_needed", F.size(F.array_intersect(same, F.col("item_shingles"))).alias("n_shared"))
     checked = checked.groupBy("doc_id", "item_id", "n_item", "n_needed").agg(F.max("n_shared").alias("n_shared")).where(F.col("n_shared") >= F.col("n_needed"))
