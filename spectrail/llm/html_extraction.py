@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 #: A tag ends at the first > outside quotes, or at the first one if its quotes don't match; neither part runs past another <, so that a page is read in linear time.
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"'])*+)>|<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
@@ -347,6 +349,7 @@ def extract(pages: DataFrame, scores: Scores | None = None, id_col: str = "page_
     counts; an empty table gives no rows; a null id or url stays null; repeated
     rows are each extracted; other columns, whatever their names, aren't read.
     """
+    small_batches(pages.sparkSession)
     scores = learned_scores(pages, html_col) if scores is None else scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

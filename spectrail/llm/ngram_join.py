@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .blobs import BLOBS, bucket_bits, bucketed, leads, planes, table, unpacked, unplanes
 from .components import components
-from .tables import written
+from .tables import small_batches, written
 from .words import chunks, mix
 
 #: Fragments in which overlaps of a candidate pair are counted apart.
@@ -272,6 +272,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        links between components are found, and a group of near copies isn't
        expanded into all its pairs.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     fields = "doc_id bigint, n_shingles bigint, sum_hash bigint, xor_hash bigint, list array<bigint>"

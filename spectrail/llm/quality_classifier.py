@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import counts_of
+from .tables import small_batches
 from .words import Chunk, chunks, mix, per_row
 
 #: Each labeller votes good (1) in the first range of its measure, poor (-1) outside the second, and abstains between.
@@ -192,6 +193,7 @@ def train(docs: DataFrame, most_rows: int = 8_000, seed: int = 11, id_col: str =
     hash of id and text, comes to the driver as hashed features.  An empty table
     gives a scorer that answers 0.5.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seen = rows.select("text").mapInArrow(_vote_counts, "votes binary, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     n = sum(r.n for r in seen)
@@ -214,6 +216,7 @@ def quality_classifier(docs: DataFrame, scorer: Scorer | None = None, cutoff: fl
     these documents unless a scorer is given; an empty table gives no rows, with
     or without one.  Other columns pass through unread.
     """
+    small_batches(docs.sparkSession)
     scorer = train(docs, id_col=id_col, text_col=text_col, **training) if scorer is None else scorer
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # PLACES weights
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import small_batches, written
 from .words import Chunk, chunks, mix, per_row
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
@@ -80,6 +80,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and measures of each document; null lang and source as empty strings."""
+    small_batches(docs.sparkSession)
     group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), group("lang"), group("source"), F.col(text_col).alias("text"))
     return with_measures(rows.mapInArrow(_counts, "doc_id bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in _COUNTS)))

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import small_batches, written
 
 #: Kinds in the order in which spans that start together are listed (fixed values, with the three patterns).
 KINDS = ("assign", "access", "hex", "novel")
@@ -155,6 +155,7 @@ def secret_scan(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", te
     repeated rows are each scanned; spans that start together are ordered by
     kind; an empty table gives no rows; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     dictionary = identifier_dictionary(docs, text_col, identifiers)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 

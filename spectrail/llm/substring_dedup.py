@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import BLOBS, BUCKET, FLUSH, bucket_bits, bucketed, leads, planes, table, unpacked, unplanes
+from .tables import small_batches
 from .words import chunks, mix
 
 
@@ -145,6 +146,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a rough word has six bytes
     bits = bucket_bits(spark, size / 6)
     doc_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / (8 * BUCKET)))

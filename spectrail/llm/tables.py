@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch; Python workers and the JVM hold a few of them for each task.
+BATCH_BYTES = 8 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Where no folder is set and Spark runs in one process, the folder made for it.
 _own: dict[str, str] = {}
 
@@ -33,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of texts that go to Python by BATCH_BYTES, in sessions that have Spark's own bound (64 MB)."""
+    if spark.conf.get(_BOUND).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
 def dropped(table: DataFrame) -> None:
     """Delete the files of a table from ``written`` that nothing will read any more."""
     spark = table.sparkSession

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import small_batches, written
 from .words import Chunk, chunks, mix
 
 #: Terms are hashed to this many places, one set of places for each of the counts 1, 2, and 3 or more.
@@ -199,6 +199,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, id_col: st
     repeated rows are each scored, and learned from once for each of their
     labels; an empty table gives no rows; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))  # clashing columns stay behind
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     known = labels.select(F.col(id_col).cast("bigint").alias("_labelled"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())

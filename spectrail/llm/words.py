@@ -154,3 +154,4 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[Chunk]:
         lo = offsets[row]
         yield Chunk(row, data[lo : offsets[stop]], offsets[row : stop + 1] - lo, lower)
         row = stop
+    pa.default_memory_pool().release_unused()  # an idle worker holds no batch's memory
