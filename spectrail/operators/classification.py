@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from spectrail.functions.arrays import Refused, dot, literal
 
 from . import kernels
-from .decomposition import fit_pca, limits, with_scores
+from .decomposition import class_models, fit_pca, limits, row_distances, with_scores
 from .factors import training_sets
 
 
@@ -121,17 +123,27 @@ def knn(train: DataFrame, queries: DataFrame, label: str, k: int, x: str = "x",
 
 
 def simca(df: DataFrame, label: str, components: int, x: str = "x", alpha: float = 0.05) -> DataFrame:
-    """sample_idx, observed, model, t2, spe, h, accepted: every sample against a component model of each class."""
-    out = None
-    for name in classes_of(df, label):
-        own = df.where(F.col(label) == F.lit(name))
-        model, mean = fit_pca(own, components, x)
-        top = limits(model, alpha, new=True)
-        part = with_scores(df, model, mean, x)
-        h = F.greatest(F.col("t2") / top["t2"], F.col("spe") / top["spe"] if top["spe"] else F.lit(0.0))
-        part = part.select("sample_idx", F.col(label).alias("observed"), F.lit(name).alias("model"), "t2", "spe", h.alias("h"), (h <= 1).alias("accepted"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """sample_idx, observed, model, t2, spe, h, accepted: every sample against a component model of each class.
+
+    One pass for all classes' R factors, one for the scores against all of them.
+    """
+    classes_of(df, label)
+    models = []
+    for name, g in class_models(df, label, x).items():
+        model = kernels.pca(g.centred, components, g.n)
+        models.append((name, g.mean, model, limits(model, alpha, new=True)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = np.stack(pdf["x"].to_list()).astype(float) if len(pdf) else np.zeros((0, len(models[0][1])))
+            for name, mean, model, top in models:
+                t2, spe = row_distances(rows, mean, model)
+                h = np.maximum(t2 / top["t2"], spe / top["spe"] if top["spe"] else 0.0)
+                yield pd.DataFrame({"sample_idx": pdf["sample_idx"], "observed": pdf["observed"], "model": name, "t2": t2, "spe": spe, "h": h, "accepted": h <= 1})
+
+    kind = dict(df.dtypes)[label]
+    rows = df.select("sample_idx", F.col(label).alias("observed"), F.col(x).alias("x"))
+    return rows.mapInPandas(run, f"sample_idx bigint, observed {kind}, model {kind}, t2 double, spe double, h double, accepted boolean")
 
 
 def simca_table(decided: DataFrame) -> DataFrame:

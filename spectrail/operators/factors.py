@@ -8,11 +8,12 @@ driver depend on the number of variables and folds only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +24,22 @@ def _triangle(rows: np.ndarray) -> np.ndarray:
     return np.linalg.qr(rows, mode="r")
 
 
-def _stack(parts: list[np.ndarray]) -> np.ndarray:
+def stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """The R factor of all rows from those of parts of them."""
     return _triangle(np.concatenate(parts))
 
 
-def fold_factors(df: DataFrame, targets: list[str], fold: str = "fold", x: str = "x", block: int = 2048) -> DataFrame:
-    """fold, n, width, r (float64 bytes, row by row) of [1, x, targets]."""
+def fold_factors(df: DataFrame, targets: list[str], fold: str = "fold", x: str = "x", block: int = 2048, levels: tuple[int, ...] = (32,)) -> DataFrame:
+    """fold, n, width, r (float64 bytes, row by row) of [1, x, targets].
+
+    The partitions' factors meet in a tree: each of ``levels`` has that many
+    groups a fold, so that with P partitions no task stacks more than about
+    P / 32 or 32 of them; wide tables take more levels, such as (512, 64, 8).
+    """
     width = len(targets) + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part_id = TaskContext.get().partitionId()
         held: dict[int, tuple[int, np.ndarray]] = {}
         for pdf in batches:
             for k, g in pdf.groupby(fold):
@@ -39,16 +47,41 @@ def fold_factors(df: DataFrame, targets: list[str], fold: str = "fold", x: str =
                     part = g.iloc[lo : lo + block]
                     rows = np.column_stack([np.ones(len(part)), np.stack(part[x].to_list()), part[targets].to_numpy(float)])
                     n, r = held.get(k, (0, rows[:0]))
-                    held[k] = n + len(part), _stack([r, rows])
-        yield pd.DataFrame([{"fold": k, "n": n, "width": r.shape[1] - width, "r": r.astype("<f8").tobytes()} for k, (n, r) in held.items()], columns=["fold", "n", "width", "r"])
+                    held[k] = n + len(part), stacked([r, rows])
+        yield pd.DataFrame([{"fold": k, "part": part_id, "n": n, "width": r.shape[1] - width, "r": r.astype("<f8").tobytes()} for k, (n, r) in held.items()], columns=["fold", "part", "n", "width", "r"])
+
+    schema = "fold int, part int, n bigint, width int, r binary"
+    return _merged(df.select(F.col(fold).cast("int").alias(fold), x, *targets).mapInPandas(partial, schema), width, levels)
+
 
-    def final(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merged(parts: DataFrame, width: int, levels: tuple[int, ...]) -> DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = int(pdf["width"].iloc[0])
-        r = _stack([np.frombuffer(b, "<f8").reshape(-1, wide + width) for b in pdf["r"]])
-        return pd.DataFrame([{"fold": key[0], "n": int(pdf["n"].sum()), "width": wide, "r": r.tobytes()}])
+        r = stacked([np.frombuffer(b, "<f8").reshape(-1, wide + width) for b in pdf["r"]])
+        return pd.DataFrame([{"fold": key[0], "part": key[1], "n": int(pdf["n"].sum()), "width": wide, "r": r.tobytes()}])
+
+    for groups in (*levels, 1):
+        parts = parts.withColumn("part", F.col("part") % groups).groupBy("fold", "part").applyInPandas(merge, "fold int, part int, n bigint, width int, r binary")
+    return parts.drop("part")
+
+
+def weighted_factors(df: DataFrame, targets: list[str], weights: Callable[[np.ndarray], np.ndarray], x: str = "x", block: int = 2048, levels: tuple[int, ...] = (32,)) -> DataFrame:
+    """As fold_factors, the fold being a repeat: weights(sample_idx) has a row of whole weights for each repeat, n is their sum."""
+    width = len(targets) + 1
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part_id = TaskContext.get().partitionId()
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for pdf in batches:
+            for lo in range(0, len(pdf), block):
+                part = pdf.iloc[lo : lo + block]
+                rows = np.column_stack([np.ones(len(part)), np.stack(part[x].to_list()), part[targets].to_numpy(float)])
+                for k, w in enumerate(weights(part["sample_idx"].to_numpy())):
+                    n, r = held.get(k, (0, rows[:0]))
+                    held[k] = n + int(w.sum()), stacked([r, rows[w > 0] * np.sqrt(w[w > 0])[:, None]])
+        yield pd.DataFrame([{"fold": k, "part": part_id, "n": n, "width": r.shape[1] - width, "r": r.astype("<f8").tobytes()} for k, (n, r) in held.items()], columns=["fold", "part", "n", "width", "r"])
 
-    schema = "fold int, n bigint, width int, r binary"
-    return df.select(F.col(fold).cast("int").alias(fold), x, *targets).mapInPandas(partial, schema).groupBy("fold").applyInPandas(final, schema)
+    return _merged(df.select("sample_idx", x, *targets).mapInPandas(partial, "fold int, part int, n bigint, width int, r binary"), width, levels)
 
 
 @dataclass
@@ -63,7 +96,7 @@ class Fitted:
 
     @classmethod
     def of(cls, parts: list[tuple[int, np.ndarray]], targets: int) -> Fitted:
-        n, r = sum(p[0] for p in parts), _stack([p[1] for p in parts])
+        n, r = sum(p[0] for p in parts), stacked([p[1] for p in parts])
         if n < 2:
             raise Refused("fewer than two training samples")
         mean, rest = r[0, 1:] / r[0, 0], r[1:, 1:]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.functions import quantiles
 from spectrail.functions.arrays import Refused
 
 from . import kernels
+from .order import numbered  # noqa: F401  (part of this module's interface)
 
 
 def with_leverage(df: DataFrame, components: int, t: str = "t") -> DataFrame:
@@ -44,8 +46,6 @@ def robust(df: DataFrame, t: str = "t", starts: int = 500, seed: int = 0) -> Dat
     Concentration steps need all scores together; the scores (samples x
     components) go to one task, so this is for tables of up to millions of rows.
     """
-    import pandas as pd
-
     cuts = {p: quantiles.chi2(p, len(df.select(t).first()[0])) for p in (0.5, 0.975)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,42 +62,44 @@ def exclude(df: DataFrame, rows: list[int]) -> DataFrame:
     n, named = df.count(), set(rows)
     if min(named) < 0 or max(named) >= n or n - len(named) < 2:
         raise Refused(f"of {n} samples these can't be left out: {sorted(named)[:5]}")
-    gone = df.sparkSession.createDataFrame([(int(i),) for i in named], "sample_idx bigint")
-    kept = df.join(gone, "sample_idx", "left_anti")
-    # The new number is the old one less the samples left out before it, so no global sort is needed.
-    steps = df.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(sorted(named))], "k bigint, gone bigint")
-    before = kept.select("sample_idx").join(F.broadcast(steps), F.col("gone") < F.col("sample_idx"), "left").groupBy("sample_idx").agg(F.count("gone").alias("_less"))
-    return kept.join(before, "sample_idx").withColumn("sample_idx", F.col("sample_idx") - F.col("_less")).drop("_less")
-
-
-def numbered(df: DataFrame, by: str) -> DataFrame:
-    """sample_idx from 0 in order of an id column, by ranges: offsets of each range are added to places within it."""
-    parts = df.repartitionByRange(F.col(by)).withColumn("_part", F.spark_partition_id())
-    placed = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1)
-    offset, rows = 0, []
-    for r in parts.groupBy("_part").count().orderBy("_part").collect():
-        rows.append((r["_part"], offset))
-        offset += r["count"]
-    offsets = df.sparkSession.createDataFrame(rows, "_part int, _offset bigint")
-    return placed.join(F.broadcast(offsets), "_part").withColumn("sample_idx", F.col("_place") + F.col("_offset")).drop("_part", "_place", "_offset")
+    gone = np.array(sorted(named))
+
+    @F.pandas_udf("bigint")
+    def less(idx: pd.Series) -> pd.Series:
+        before, after = np.searchsorted(gone, idx, "left"), np.searchsorted(gone, idx, "right")
+        return pd.Series(np.where(after > before, -1, before))
+
+    # The new number is the old one less the samples left out before it, so no sort and no join is needed.
+    return df.withColumn("_less", less("sample_idx")).where("_less >= 0").withColumn("sample_idx", F.col("sample_idx") - F.col("_less")).drop("_less")
 
 
 def by_class(df: DataFrame, label: str, components: int, x: str = "x", alpha: float = 0.05) -> DataFrame:
     """sample_idx, label, t2, t2_limit, spe, spe_limit, leverage, leverage_limit of each sample in its own class's components.
 
-    A class of n samples has at most n - 2 components, which its limits need; fewer than three samples are refused.
+    One pass for all classes' R factors, one for the scores.  A class of n
+    samples has at most n - 2 components, which its limits need; fewer than
+    three samples are refused.
     """
-    from .decomposition import fit_pca, limits, with_scores
-
-    out = None
-    for name, n in df.groupBy(label).count().orderBy(label).collect():
-        if n < 3:
-            raise Refused(f"class {name} has {n} samples")
-        own = df.where(F.col(label) == F.lit(name))
-        a = min(components, n - 2)
-        model, mean = fit_pca(own, a, x)
-        top = limits(model, alpha)
-        rows = with_leverage(with_scores(own, model, mean, x), a)
-        rows = rows.select("sample_idx", F.col(label).alias("label"), "t2", F.lit(top["t2"]).alias("t2_limit"), "spe", F.lit(top["spe"]).alias("spe_limit"), "leverage", F.lit(3 * (a + 1) / n).alias("leverage_limit"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    from .decomposition import class_models, limits, row_distances
+
+    models = {}
+    for name, g in class_models(df, label, x).items():
+        if g.n < 3:
+            raise Refused(f"class {name} has {g.n} samples")
+        a = min(components, g.n - 2)
+        model = kernels.pca(g.centred, a, g.n)
+        models[name] = (g.mean, model, limits(model, alpha), a)
+
+    def run(batches):
+        for pdf in batches:
+            out = np.zeros((6, len(pdf)))
+            for name in pdf["label"].unique():
+                mean, model, top, a = models[name]
+                at = np.flatnonzero(pdf["label"] == name)
+                t2, spe = row_distances(np.stack(pdf["x"].iloc[at].to_list()).astype(float), mean, model)
+                # scores are centred and uncorrelated, so [1, t] has a diagonal Gram matrix
+                out[:, at] = t2, np.full(len(at), top["t2"]), spe, np.full(len(at), top["spe"]), 1 / model.n + t2 / (model.n - 1), np.full(len(at), 3 * (a + 1) / model.n)
+            yield pdf[["sample_idx", "label"]].assign(**dict(zip(("t2", "t2_limit", "spe", "spe_limit", "leverage", "leverage_limit"), out, strict=True)))
+
+    rows = df.where(F.col(label).isNotNull()).select("sample_idx", F.col(label).alias("label"), F.col(x).alias("x"))
+    return rows.mapInPandas(run, f"sample_idx bigint, label {dict(df.dtypes)[label]}, t2 double, t2_limit double, spe double, spe_limit double, leverage double, leverage_limit double")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrail.functions import quantiles
 from spectrail.functions.arrays import Refused, dot, literal
 
 from . import kernels
@@ -35,7 +36,8 @@ def pcr_path(components: int) -> Fit:
 
 
 def opls_path(orthogonal: int) -> Fit:
-    return pls_path(1 + orthogonal)
+    """One row for 0, 1, ... orthogonal components; a later one that finds none repeats the row before."""
+    return lambda m: np.stack([kernels.opls(m.x, m.y[:, 0], a, m.n)[0] for a in range(orthogonal + 1)])
 
 
 def ridge_path(alphas: list[float]) -> Fit:
@@ -107,6 +109,45 @@ def predict(df: DataFrame, b: np.ndarray, x_mean: np.ndarray, y_mean: float, x:
     return df.withColumn("p", dot(F.col(x), literal(b)) + F.lit(float(y_mean - x_mean @ b)))
 
 
+def pls_explained(df: DataFrame, y: str, components: int, x: str = "x") -> DataFrame:
+    """a (from 1), x and y: shares of the total sum of squares that each component explains, and x_total and y_total, those of all up to it."""
+    model, m = _whole_pls(df, y, components, x)
+    share_x = model.t_size * (model.p**2).sum(0) / (m.x * m.x).sum()
+    share_y = model.t_size * model.q**2 / (m.y * m.y).sum()
+    rows = zip(range(1, len(share_x) + 1), share_x.tolist(), share_y.tolist(), np.cumsum(share_x).tolist(), np.cumsum(share_y).tolist(), strict=True)
+    return df.sparkSession.createDataFrame(list(rows), "a int, x double, y double, x_total double, y_total double")
+
+
+def _whole_pls(df: DataFrame, y: str, components: int, x: str) -> tuple[kernels.Latent, Fitted]:
+    m, _ = training_sets(df.withColumn("_all", F.lit(0)), [y], "_all", x)
+    return kernels.pls(m.x, m.y[:, 0], components, m.n), m
+
+
+def pls_distances(df: DataFrame, y: str, components: int, x: str = "x", alpha: float = 0.05) -> DataFrame:
+    """sample_idx, t2, t2_limit, spe, spe_limit of each row in the components of partial least squares.
+
+    The limit of spe is that of a chi-squared variable with the mean and the
+    variance (n - 1) of the rows' values, two sums of another pass; residuals
+    that are rounding noise of the variables have no limit and are refused.
+    """
+    model, m = _whole_pls(df, y, components, x)
+    rotations, loadings, spread = model.rotations, model.p, model.t_size / (m.n - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            c = np.stack(pdf["x"].to_list()).astype(float) - m.x_mean if len(pdf) else np.zeros((0, len(m.x_mean)))
+            t = c @ rotations
+            e = c - t @ loadings.T
+            yield pdf[["sample_idx"]].assign(t2=(t**2 / spread).sum(1), spe=(e * e).sum(1))
+
+    rows = df.select("sample_idx", F.col(x).alias("x")).mapInPandas(run, "sample_idx bigint, t2 double, spe double")
+    got = rows.agg(F.avg("spe").alias("m"), F.var_samp("spe").alias("v")).first()
+    if not got["v"] or got["m"] * m.n <= (kernels.STORED_EPS * max(m.x.shape[1], 1)) ** 2 * (m.x * m.x).sum():
+        raise Refused("no residual limit: what the components leave is rounding noise")
+    spe_top = quantiles.chi2(1 - alpha, 2 * got["m"] ** 2 / got["v"]) * got["v"] / (2 * got["m"])
+    return rows.select("sample_idx", "t2", F.lit(quantiles.t2_limit(m.n, len(spread), alpha)).alias("t2_limit"), "spe", F.lit(float(spe_top)).alias("spe_limit"))
+
+
 def svr(df: DataFrame, y: str, components: int, c: float = 1.0, epsilon: float = 0.1, kind: str = "rbf", gamma: float | None = None, fold: str = "fold", x: str = "x") -> DataFrame:
     """sample_idx, y, p: epsilon-insensitive regression on component scores, refitted without each fold.
 

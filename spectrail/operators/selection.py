@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused
 
 from . import kernels
-from .factors import Fitted, fold_factors, training_sets
+from .factors import Fitted, fold_factors, training_sets, weighted_factors
+from .order import numbered, shuffled_key
 
 
 def interval_bounds(width: int, k: int) -> list[tuple[int, int]]:
@@ -107,22 +109,41 @@ def by_threshold(values: np.ndarray, cut: float = 1.0) -> list[int]:
     return np.flatnonzero(np.abs(values) >= cut).tolist()
 
 
+def _permuted(df: DataFrame, y: str, repeats: int, seed: int) -> DataFrame:
+    """The rows with columns _p0, _p1, ...: y in as many random orders.
+
+    Rows are numbered once in order of a hash.  In repeat k, place i takes the
+    value of place (a_k i + b_k) mod n within the order of another hash, a and b
+    drawn for the repeat and a prime to n; each repeat's value comes by a join
+    on the place, and the repeats of a row meet again by its sample_idx.
+    """
+    placed = numbered(df.withColumn("_key", shuffled_key(seed, "sample_idx")), "_key", "sample_idx", into="_at").drop("_key")
+    other = numbered(df.select("sample_idx", y, shuffled_key(seed + 1, "sample_idx").alias("_key")), "_key", "sample_idx", into="_from").select("_from", F.col(y).alias("_value"))
+    n = df.count()
+    rng, steps = np.random.default_rng(seed), []
+    while len(steps) < repeats:
+        a = int(rng.integers(1, n)) if n > 1 else 1
+        if np.gcd(a, n) == 1:
+            steps.append((len(steps), a, int(rng.integers(0, n))))
+    table = df.sparkSession.createDataFrame(steps, "_k int, _a bigint, _b bigint")  # a row for each repeat
+    # Products are taken as decimals: a and i can each have 63 bits.
+    source = F.pmod(F.col("_a").cast("decimal(19,0)") * F.col("_at") + F.col("_b"), F.lit(n)).cast("bigint")
+    long = placed.select("sample_idx", "_at").crossJoin(F.broadcast(table)).select("sample_idx", "_k", source.alias("_from")).join(other, "_from")
+    wide = long.groupBy("sample_idx").agg(*[F.max(F.when(F.col("_k") == k, F.col("_value"))).alias(f"_p{k}") for k in range(repeats)])
+    return df.join(wide, "sample_idx")
+
+
 def permutation_test(df: DataFrame, y: str, components: int, repeats: int = 100, seed: int = 0, fold: str = "fold", x: str = "x") -> tuple[float, list[float], float]:
     """Cross-validated error, errors with permuted responses, and (1 + as good) / (repeats + 1).
 
     All permuted responses are further columns of one pass: R factors of
-    [1, X, y, y_1, ..., y_repeats].
+    [1, X, y, y_1, ..., y_repeats].  Nothing of the samples' number comes to
+    the driver but the sizes of ranges.
     """
-    n = df.count()
-    rng = np.random.default_rng(seed)
-    orders = np.stack([rng.permutation(n) for _ in range(repeats)])
-    values = df.orderBy("sample_idx").select(y).toArrow().column(0).to_numpy()  # 8 bytes a sample: permutations are drawn on the driver
-    import pandas as pd
-
-    shuffled = pd.DataFrame({"sample_idx": np.arange(n)} | {f"_p{k}": values[o] for k, o in enumerate(orders)})
     targets = [y, *[f"_p{k}" for k in range(repeats)]]
-    joined = df.join(df.sparkSession.createDataFrame(shuffled), "sample_idx")
+    joined = _permuted(df.select("sample_idx", F.col(fold).alias(fold), F.col(y).cast("double").alias(y), F.col(x).alias(x)), y, repeats, seed)
     got = {r.fold: (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + len(targets) + 1)) for r in fold_factors(joined, targets, fold, x).collect()}
+    n = sum(v[0] for v in got.values())
     width = next(iter(got.values()))[1].shape[1] - len(targets) - 1
     sse = np.zeros(len(targets))
     for k, (_, r) in got.items():
@@ -139,20 +160,20 @@ def bootstrap_coefficients(df: DataFrame, y: str, components: int, repeats: int
     """var_idx, lo, hi: percentile intervals of the coefficients.
 
     Rows drawn with replacement are Poisson weights of each row and repeat,
-    from a hash of both; each repeat's R factor is one group of a single pass.
+    from a hash of both; a task scales its rows for each repeat, so that no row
+    is copied, and each repeat's R factor is one group of a single pass.
     """
-    import pandas as pd
-
-    u = F.pmod(F.xxhash64("sample_idx", "fold", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps, p, acc = F.lit(0), np.exp(-1.0), 0.0
-    for k in range(1, 9):
-        acc += p
-        steps = F.when(u >= acc, k).otherwise(steps)
-        p /= k
-    spread = df.crossJoin(F.broadcast(df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("fold"))))
-    rows = spread.withColumn("_times", steps).where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), "_times")))
+    cuts = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 9)]))
+
+    def weights(ids: np.ndarray) -> np.ndarray:
+        """Of each repeat a row of Poisson(1) numbers, one for each sample."""
+        h = ids.astype(np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(repeats, dtype=np.uint64)[:, None] + np.uint64(seed * 1_000_003)) * np.uint64(0xD1342543DE82EF95)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+        return np.searchsorted(cuts, (h >> np.uint64(11)) / 2.0**53)
+
     out = []
-    for r in fold_factors(rows, [y], "fold", x).collect():
+    for r in weighted_factors(df, [y], weights, x).collect():
         m = Fitted.of([(r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 2))], 1)
         out.append(kernels.pls(m.x, m.y[:, 0], components, m.n).coefficients())
     lo, hi = np.quantile(np.stack(out), [(1 - level) / 2, (1 + level) / 2], axis=0)

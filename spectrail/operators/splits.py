@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused
 
+from .order import numbered, shuffled_key
+
 
 def _count(df: DataFrame) -> int:
     n = df.count()
@@ -25,85 +27,71 @@ def _folds(n: int, k: int):
     return F.when(pos < extra * (size + 1), F.floor(pos / (size + 1))).otherwise(F.floor((pos - extra * (size + 1)) / size) + extra).cast("int")
 
 
-def _positions(df: DataFrame, n: int, seed: int | None) -> DataFrame:
+def _positions(df: DataFrame, n: int, seed: int | None, order: str = "numpy") -> DataFrame:
     """sample_idx (0 to n - 1) with its place in a seeded permutation, or itself.
 
-    The permutation is NumPy's of that seed, so that folds can be repeated
-    elsewhere; it is drawn on the driver, eight bytes a sample.
+    order "numpy" is NumPy's permutation of that seed, so that folds can be
+    repeated elsewhere; it is drawn on the driver, eight bytes a sample, for
+    tables of up to some millions.  "hash", for tables of any size, ranks rows by
+    a hash of seed and sample_idx, dealt by ranges.
     """
     if seed is None:
         return df.select("sample_idx", F.col("sample_idx").alias("pos"))
-    order = np.random.default_rng(seed).permutation(n)
-    place = df.sparkSession.createDataFrame(_pairs(order), "sample_idx bigint, pos bigint")
-    return df.select("sample_idx").join(place, "sample_idx")
-
-
-def _pairs(order: np.ndarray):
+    if order == "hash":
+        return numbered(df.select("sample_idx", shuffled_key(seed, "sample_idx").alias("_key")), "_key", "sample_idx", into="pos").drop("_key")
+    if order != "numpy":
+        raise Refused(f"the order {order} isn't known")
     import pandas as pd
 
-    return pd.DataFrame({"sample_idx": order.astype("int64"), "pos": np.arange(len(order), dtype="int64")})
+    place = pd.DataFrame({"sample_idx": np.random.default_rng(seed).permutation(n).astype("int64"), "pos": np.arange(n, dtype="int64")})
+    return df.select("sample_idx").join(df.sparkSession.createDataFrame(place), "sample_idx")
 
 
-def k_fold(df: DataFrame, n_splits: int, shuffle: bool = True, seed: int = 42) -> DataFrame:
-    """fold, sample_idx: each sample is held out once."""
+def k_fold(df: DataFrame, n_splits: int, shuffle: bool = True, seed: int = 42, order: str = "numpy") -> DataFrame:
+    """fold, sample_idx: each sample is held out once.  order: see _positions."""
     n = _count(df)
-    return _positions(df, n, seed if shuffle else None).select(_folds(n, n_splits).alias("fold"), "sample_idx")
+    return _positions(df, n, seed if shuffle else None, order).select(_folds(n, n_splits).alias("fold"), "sample_idx")
 
 
 def leave_one_out(df: DataFrame) -> DataFrame:
-    _count(df)
+    if _count(df) > 2**31 - 1:
+        raise Refused("as many folds as that have no number")
     return df.select(F.col("sample_idx").cast("int").alias("fold"), "sample_idx")
 
 
-def train_test(df: DataFrame, test_size: float = 0.25, shuffle: bool = True, seed: int = 42) -> DataFrame:
+def train_test(df: DataFrame, test_size: float = 0.25, shuffle: bool = True, seed: int = 42, order: str = "numpy") -> DataFrame:
     """One fold; the first ceil(test_size * n) of the permutation are held out."""
     n = _count(df)
     held = int(np.ceil(test_size * n))
     if not 0 < held < n:
         raise Refused(f"a test size of {test_size} leaves one side of {n} samples empty")
-    return _positions(df, n, seed if shuffle else None).where(F.col("pos") < held).select(F.lit(0).alias("fold"), "sample_idx")
+    return _positions(df, n, seed if shuffle else None, order).where(F.col("pos") < held).select(F.lit(0).alias("fold"), "sample_idx")
 
 
 def stratified_k_fold(df: DataFrame, level: str, n_splits: int, seed: int | None = None) -> DataFrame:
-    """Levels in Unicode order end to end, each permuted if a seed is given; the fold is the place modulo n_splits."""
-    counts = df.groupBy(level).count().orderBy(level).collect()
-    for r in counts:
-        if r["count"] < 2:
-            raise Refused(f"level {r[0]} has one sample")
-    if seed is None:
-        # places within a level come from a window of that level alone, the levels' offsets from their counts
-        within = F.row_number().over(Window.partitionBy(level).orderBy("sample_idx")) - 1
-    else:
-        rng = np.random.default_rng(seed)
-        import pandas as pd
-
-        drawn = pd.concat([pd.DataFrame({"_level": r[0], "_rank": rng.permutation(r["count"]).astype("int64"), "_place": np.arange(r["count"], dtype="int64")}) for r in counts])
-        places = df.sparkSession.createDataFrame(drawn)
-        ranked = df.withColumn("_rank", (F.row_number().over(Window.partitionBy(level).orderBy("sample_idx")) - 1).cast("bigint"))
-        df, within = ranked.join(places, (ranked[level] == places["_level"]) & (ranked["_rank"] == places["_rank"])), F.col("_place")
-    offset, before = [], 0
-    for r in counts:
-        offset += [F.lit(r[0]), F.lit(before)]
-        before += r["count"]
-    return df.select(F.pmod(within + F.element_at(F.create_map(*offset), F.col(level)), F.lit(n_splits)).cast("int").alias("fold"), "sample_idx")
+    """Levels in Unicode order end to end, each in a seeded order if a seed is given; the fold is the place modulo n_splits."""
+    small = df.groupBy(level).count().where("count < 2").limit(1).collect()
+    if small:
+        raise Refused(f"level {small[0][0]} has one sample")
+    rows = df.select("sample_idx", level, (F.col("sample_idx") if seed is None else shuffled_key(seed, "sample_idx")).alias("_key"))
+    return numbered(rows, level, "_key", "sample_idx", into="_pos").select(F.pmod("_pos", F.lit(n_splits)).cast("int").alias("fold"), "sample_idx")
 
 
 def stratified_train_test(df: DataFrame, level: str, test_size: float = 0.25) -> DataFrame:
     """The first ceil(test_size * n) samples of each level; a level that would be emptied is refused."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(level).orderBy("sample_idx")))
-    sizes = df.groupBy(level).agg(F.count("*").alias("_n"))
-    for r in sizes.collect():
-        if int(np.ceil(test_size * r["_n"])) >= r["_n"]:
-            raise Refused(f"level {r[0]} would have no training sample")
-    return ranked.join(sizes, level).where(F.col("_rank") <= F.ceil(test_size * F.col("_n"))).select(F.lit(0).alias("fold"), "sample_idx")
+    placed = numbered(df.select("sample_idx", level), level, "sample_idx", into="_pos")
+    sizes = placed.groupBy(level).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    bad = sizes.where(F.ceil(test_size * F.col("_n")) >= F.col("_n")).limit(1).collect()
+    if bad:
+        raise Refused(f"level {bad[0][0]} would have no training sample")
+    held = F.col("_pos") - F.col("_first") < F.ceil(test_size * F.col("_n"))
+    return placed.join(sizes, level).where(held).select(F.lit(0).alias("fold"), "sample_idx")
 
 
 def by_group(df: DataFrame, group: str, split, **options) -> DataFrame:
     """A split of the distinct groups, in Unicode order, spread to their rows."""
-    groups = df.select(group).distinct()
-    names = [r[0] for r in groups.orderBy(group).collect()]
-    table = df.sparkSession.createDataFrame([(k, g) for k, g in enumerate(names)], f"sample_idx bigint, {group} {dict(df.dtypes)[group]}")
-    folds = split(table, **options).join(table, "sample_idx").drop("sample_idx")
+    table = numbered(df.select(group).distinct(), group)
+    folds = split(table.select("sample_idx"), **options).join(table, "sample_idx").drop("sample_idx")
     return df.select("sample_idx", group).join(folds, group).select("fold", "sample_idx")
 
 

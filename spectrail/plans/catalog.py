@@ -35,8 +35,14 @@ def versions_of(datasets: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def stored_matrix(df: DataFrame, pipeline: Pipeline, node: str, version: str, warehouse: str) -> DataFrame:
-    """A node's rows under its recipe key: read if the key is stored, else written first."""
+    """The rows of ``node``, which ``df`` must be, under its recipe key: read if they are stored whole, else written first.
+
+    A folder without the mark that Spark leaves when all tasks have committed
+    is what a lost job left, and is written anew.
+    """
     spark: SparkSession = df.sparkSession
     path = f"{warehouse}/nodes/{pipeline.keys(version)[node].split(':')[1]}"
-    df.write.mode("ignore").parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

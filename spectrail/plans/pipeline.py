@@ -11,9 +11,9 @@ from spectrail.operators.preprocess import STEPS, from_spec
 
 SPLITS = {"kfold", "loo", "train_test", "repeated_kfold", "external"}
 ESTIMATORS = {"pca", "pls", "pcr", "ridge", "elastic_net", "mlr", "opls", "oplsda", "svr", "svm", "plsda", "simca", "lda", "qda", "knn", "logistic"}
-#: Steps that learn from the samples, and models that take centred variables.
+#: Steps that learn from the samples, and linear models, which take centred variables (components centre by themselves).
 FITTED = {"mean_centre", "autoscale", "msc"}
-CENTRED = {"pca", "pls", "pcr", "ridge", "elastic_net", "opls"}
+CENTRED = {"pls", "pcr", "ridge", "elastic_net", "mlr", "opls", "plsda", "oplsda"}
 
 
 @dataclass(frozen=True)

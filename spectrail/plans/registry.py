@@ -132,7 +132,7 @@ def grouped_k_fold(spark, sf_dir):
 
 @query()
 def shuffled_k_fold(spark, sf_dir):
-    return splits.k_fold(spectra(spark, sf_dir), 5, shuffle=True, seed=42)
+    return splits.k_fold(spectra(spark, sf_dir), 5, shuffle=True, seed=42, order="hash")
 
 
 _SUP = f"""with s as (select vec_id sample_idx, row_number() over (order by vec_id) - 1 pos, count(*) over () n, list_transform(embedding, lambda v: v::double) e from embeddings),
