@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.operators import classification, decomposition, metrics, outliers, regression, selection, splits
+from spectrail.operators import classification, crossval, decomposition, metrics, outliers, regression, selection, splits
 from spectrail.operators import preprocess as pre
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,6 +401,83 @@ def logistic(spark, sf_dir):
     return metrics.accuracy(classification.logistic(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 4).alias("accuracy"))
 
 
+def _labelled(spark, sf_dir, two: bool = False) -> DataFrame:
+    rows = spectra(spark, sf_dir)
+    rows = rows.where(F.col("label").isin(0, 1)) if two else rows
+    return rows.join(splits.k_fold(spectra(spark, sf_dir), 5, shuffle=False), "sample_idx")
+
+
+def _held_out(name: str, build: Callable[[], crossval.Builder], two: bool = False) -> None:
+    def run(spark, sf_dir):
+        return crossval.cross_validated(_labelled(spark, sf_dir, two), "label", build()).select("sample_idx", "fold", "observed", "predicted")
+
+    run.__name__ = name
+    query()(run)
+
+
+# Every sample by a model of all 64 variables refitted without its fold.
+_held_out("pls_da_held_out", lambda: crossval.pls_da(5))
+_held_out("opls_da_held_out", lambda: crossval.opls_da(2), two=True)
+_held_out("linear_discriminant_held_out", lambda: crossval.discriminant(5))
+_held_out("quadratic_discriminant_held_out", lambda: crossval.discriminant(5, quadratic=True))
+
+
+@query()
+def knn_held_out(spark, sf_dir):
+    return crossval.knn_cross_validated(_labelled(spark, sf_dir), "label", 5, 5)
+
+
+@query()
+def logistic_held_out(spark, sf_dir):
+    return crossval.logistic_cross_validated(_labelled(spark, sf_dir), "label", 5)
+
+
+@query()
+def simca_class_metrics(spark, sf_dir):
+    """Held-out rows of all classes, each against every class's model."""
+    got = crossval.simca_class_metrics(crossval.accepted(_labelled(spark, sf_dir), "label", 3))
+    return got.select("class", "n", F.round("sensitivity", 8).alias("sensitivity"), F.round("specificity", 8).alias("specificity"))
+
+
+@query()
+def dummy_rmse(spark, sf_dir):
+    df = _labelled(spark, sf_dir)
+    got = crossval.dummy_rmse(crossval.cross_validated(df, "label", crossval.pls_da(5)), "observed", classification.classes_of(df, "label"))
+    return got.select(F.round("rmse", 8).alias("rmse"))
+
+
+@query()
+def pls_explained(spark, sf_dir):
+    got = regression.pls_explained(supervised(spark, sf_dir), "y", 5)
+    return got.select("a", *[F.round(c, 8).alias(c) for c in ("x", "y", "x_total", "y_total")])
+
+
+@query()
+def pls_distances(spark, sf_dir):
+    got = regression.pls_distances(supervised(spark, sf_dir), "y", 3)
+    return got.select("sample_idx", *[F.round(c, 6).alias(c) for c in ("t2", "t2_limit", "spe", "spe_limit")])
+
+
+@query()
+def pca_eigenvalues_whole(spark, sf_dir):
+    """All 64 variables."""
+    model, _ = decomposition.fit_pca(spectra(spark, sf_dir), 64)
+    total = model.explained.cumsum()
+    return spark.createDataFrame([(k + 1, round(float(v), 8), round(float(x), 8), round(float(t), 8)) for k, (v, x, t) in enumerate(zip(model.eigenvalues, model.explained, total, strict=True))], "k int, eigenvalue double, explained double, total double")
+
+
+@query()
+def pca_distances_whole(spark, sf_dir):
+    df = spectra(spark, sf_dir)
+    return decomposition.with_scores(df, *decomposition.fit_pca(df, 5)).select("sample_idx", F.round("t2", 6).alias("t2"), F.round("spe", 6).alias("spe"))
+
+
+@query()
+def simca_distances_whole(spark, sf_dir):
+    got = classification.simca(spectra(spark, sf_dir), "label", 3)
+    return got.select("sample_idx", "observed", "model", *[F.round(c, 6).alias(c) for c in ("t2", "spe", "h")], "accepted")
+
+
 @query(f"{_S} select var_idx::int var_idx, round(quantile_cont(v, 0.05), 6) p5, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95 from l group by 1")
 def spectra_band(spark, sf_dir):
     from spectrail.functions.arrays import long
