@@ -252,16 +252,45 @@ class MedianFilter(Step):
         return df.withColumn(self.x, block(run, self.x))
 
 
-def _asls(y: np.ndarray, lam: float, p: float) -> tuple[np.ndarray, int, bool]:
-    d = np.diff(np.eye(len(y)), 2, axis=0)
-    penalty, w = lam * d.T @ d, np.ones(len(y))
-    for k in range(20):
-        z = np.linalg.solve(penalty + np.diag(w), w * y)
-        new = np.where(y > z, p, 1 - p)
-        if np.array_equal(new, w):
-            return z, k + 1, True
-        w = new
-    return z, 20, False
+def _smoothed(w: np.ndarray, y: np.ndarray, lam: float) -> np.ndarray:
+    """z with (W + lam D'D) z = W y for every row at once: five diagonals, factored and solved place by place."""
+    width = y.shape[1]
+    main, one, two = np.zeros(width), np.zeros(max(width - 1, 0)), np.full(max(width - 2, 0), lam)
+    if width > 2:
+        main[:-2] += lam
+        main[1:-1] += 4 * lam
+        main[2:] += lam
+        one[:-1] -= 2 * lam
+        one[1:] -= 2 * lam
+    d, e, f = (np.zeros((width + 2, len(y))) for _ in range(3))  # places are shifted by two, so that the first have neighbours
+    z = np.zeros((width + 4, len(y)))
+    for i in range(width):
+        k = i + 2
+        d[k] = w[:, i] + main[i] - (d[k - 1] * e[k - 1] ** 2 + d[k - 2] * f[k - 2] ** 2)
+        if i < width - 1:
+            e[k] = (one[i] - d[k - 1] * e[k - 1] * f[k - 1]) / d[k]
+        if i < width - 2:
+            f[k] = two[i] / d[k]
+        z[k] = w[:, i] * y[:, i] - e[k - 1] * z[k - 1] - f[k - 2] * z[k - 2]
+    for k in range(width + 1, 1, -1):
+        z[k] = z[k] / d[k] - e[k] * z[k + 1] - f[k] * z[k + 2]
+    return z[2 : width + 2].T
+
+
+def asls(y: np.ndarray, lam: float, p: float, most: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baselines of rows, their iterations, and whether their weights came to rest."""
+    z, rounds, rest = np.zeros_like(y), np.full(len(y), most), np.zeros(len(y), bool)
+    w, live = np.ones_like(y), np.arange(len(y))
+    for k in range(most):
+        z[live] = _smoothed(w[live], y[live], lam)
+        new = np.where(y[live] > z[live], p, 1 - p)
+        same = (new == w[live]).all(1)
+        rounds[live[same]], rest[live[same]] = k + 1, True
+        w[live] = new
+        live = live[~same]
+        if not len(live):
+            break
+    return z, rounds, rest
 
 
 def _lower_hull(y: np.ndarray) -> np.ndarray:
@@ -286,7 +315,9 @@ class Baseline(Step):
         if self.method == "polynomial":
             v = np.vander(np.linspace(-1, 1, rows.shape[1]), self.order + 1)
             return rows @ (v @ np.linalg.pinv(v)).T
-        return np.stack([_asls(r, self.lam, self.p)[0] if self.method == "asls" else _lower_hull(r) for r in rows])
+        if self.method == "asls":
+            return np.concatenate([asls(rows[lo : lo + 256], self.lam, self.p)[0] for lo in range(0, len(rows), 256)])
+        return np.stack([_lower_hull(r) for r in rows])
 
     def transform(self, df):
         return df.withColumn(self.x, block(lambda rows: rows - self.baseline(rows), self.x))
@@ -309,12 +340,21 @@ def from_spec(spec: dict) -> Step:
         raise Refused(f"{kind}: the window must be odd and 3 or more")
     if kind == "savgol" and not 0 <= spec.get("deriv", 0) <= min(2, spec.get("polyorder", 2)) < spec.get("window_length", 11):
         raise Refused("savgol: deriv must be 0, 1 or 2 and at most polyorder, which must be below the window")
+    spec = {k: np.array(v, float) if k in ("mean", "scale", "spectrum") and v is not None else tuple(v) if isinstance(v, list) else v for k, v in spec.items()}
     try:
         return STEPS[kind](**spec)
     except TypeError as wrong:
         raise Refused(f"{kind}: {wrong}") from None
 
 
+def to_spec(step: Step) -> dict:
+    """Kind and parameters of a step, those it was fitted with as lists: what from_spec takes."""
+    kind = next((k for k, c in STEPS.items() if type(step) is c), None)
+    if kind is None:
+        raise Refused(f"{type(step).__name__} is no step that can be written down")
+    return {"kind": kind} | {k: v.tolist() if isinstance(v, np.ndarray) else list(v) if isinstance(v, tuple) else v for k, v in vars(step).items()}
+
+
 def fused(steps: list[Step], width: int) -> tuple[np.ndarray, np.ndarray]:
     """M and c with x -> x M + c for a chain of fitted affine steps."""
     m, c = np.eye(width), np.zeros(width)

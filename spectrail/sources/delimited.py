@@ -72,6 +72,14 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     table = [_cells(x, delimiter) for x in lines]
     flat = [c for row in table for c in row]
     comma = delimiter != "," and sum(bool(_COMMA_NUMBER.fullmatch(c)) for c in flat) > sum("." in c and bool(_NUMBER.fullmatch(c)) for c in flat)
+    return layout_of(table, delimiter, comma, path, list(fits))
+
+
+def layout_of(table: list[list[str]], delimiter: str, comma: bool, path: str, fits: list[str] | None = None) -> Layout:
+    """The layout of the first rows of a table of cells."""
+    if not table:
+        raise Refused(f"{path} is empty")
+    fits = fits or [delimiter]
     number = lambda c: _number(c, comma)
     titled = any(number(c) is None for c in table[0])
     header = table[0] if titled else [str(k) for k in range(len(table[0]))]
@@ -96,7 +104,7 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     if not spectrum:
         raise Refused(f"{path} has no spectrum columns")
     axis = tuple(number(h) if number(h) is not None else float(k) for k, h in enumerate(spectrum))
-    return Layout(delimiter, comma, tuple(header), ids, axis, tuple(spectrum), tuple(targets), tuple(metadata), False, {"ids": [ids, None], "delimiter": list(fits)})
+    return Layout(delimiter, comma, tuple(header), ids, axis, tuple(spectrum), tuple(targets), tuple(metadata), False, {"ids": [ids, None], "delimiter": fits})
 
 
 def read(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
@@ -106,14 +114,18 @@ def read(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFr
     them; the first that hasn't is named.
     """
     layout = layout or sniff(spark, path)
-    titled = not all(h == str(k) for k, h in enumerate(layout.header))
     sep = layout.delimiter if layout.delimiter == _SPACE else re.escape(layout.delimiter)
     text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     placed = text.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF("line bigint, value string")  # file order needs a place in each partition
+    return laid_out(placed.select("line", F.split(F.trim(F.regexp_replace("value", "^\ufeff", "")), sep).alias("c")), layout)
+
+
+def laid_out(placed: DataFrame, layout: Layout, *keep: str) -> DataFrame:
+    """The samples of rows of cells (``line`` from 0, ``c``, and columns to keep) in a layout."""
+    titled = not all(h == str(k) for k, h in enumerate(layout.header))
     rows = placed.where(F.col("line") > 0) if titled else placed
-    cells = F.split(F.trim(F.regexp_replace("value", "^﻿", "")), sep)
-    checked = F.when(F.size(cells) != len(layout.header), F.raise_error(F.concat(F.lit("line "), (F.col("line") + 1).cast("string"), F.lit(": wrong number of cells")))).otherwise(cells)
-    rows = rows.select((F.col("line") - int(titled)).alias("sample_idx"), F.transform(checked, lambda c: F.trim(c)).alias("c"))
+    checked = F.when(F.size("c") != len(layout.header), F.raise_error(F.concat(F.lit("line "), (F.col("line") + 1).cast("string"), F.lit(": wrong number of cells")))).otherwise(F.col("c"))
+    rows = rows.select(*keep, (F.col("line") - int(titled)).alias("sample_idx"), F.transform(checked, lambda c: F.trim(c)).alias("c"))
 
     def number(h: str):
         cell = F.get("c", F.lit(layout.header.index(h)))
@@ -121,10 +133,11 @@ def read(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFr
         return F.coalesce(value.try_cast("double"), F.raise_error(F.concat(F.lit(f"column {h}, sample "), F.col("sample_idx").cast("string"), F.lit(": not a number"))).cast("double"))
 
     if layout.transposed:
-        long = rows.select(F.col("sample_idx").alias("k"), F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("sample_idx"), F.lit(h).alias("sample_id"), number(h).alias("v")) for i, h in enumerate(layout.spectrum)])).alias("s"))
-        return long.groupBy("s.sample_idx", "s.sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s.v"))), lambda z: z["v"]).alias("x"))
+        long = rows.select(*keep, F.col("sample_idx").alias("k"), F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("sample_idx"), F.lit(h).alias("sample_id"), number(h).alias("v")) for i, h in enumerate(layout.spectrum)])).alias("s"))
+        return long.groupBy(*keep, "s.sample_idx", "s.sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s.v"))), lambda z: z["v"]).alias("x"))
     ids = F.get("c", F.lit(layout.header.index(layout.ids))) if layout.ids else F.concat(F.lit("S"), F.lpad((F.col("sample_idx") + 1).cast("string"), 4, "0"))
     return rows.select(
+        *keep,
         "sample_idx",
         ids.alias("sample_id"),
         F.array(*[number(h) for h in layout.spectrum]).alias("x"),

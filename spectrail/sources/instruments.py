@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused
 
@@ -138,3 +139,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "part", "title", "axis", "x"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, part int, title string, axis array<double>, x array<double>")
+
+
+def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """file, size, sha256 (lowercase hex) of every file under a path: what two copies of a file agree in."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The samples of the files under a path by the suffix of the first: tables (delimited text, workbooks), MATLAB matrices, or instrument files."""
+    from . import delimited, matlab, workbook
+
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    if first is None:
+        raise Refused(f"{path} has no files")
+    suffix = "." + first.rsplit(".", 1)[-1].lower()
+    reader = {".csv": delimited.read, ".tsv": delimited.read, ".txt": delimited.read, ".xlsx": workbook.read, ".mat": matlab.read}.get(suffix, read)
+    return reader(spark, path, **options)

@@ -61,9 +61,10 @@ def test_instruments(spark, tmp_path):
 
 
 def test_pipeline():
-    nodes = (Node.of("s", "source"), Node.of("c", "mean_centre", "s"), Node.of("k", "kfold", "c", n_splits=5), Node.of("p", "pls", "k", n_components=3), Node.of("q", "pca", "s"))
+    nodes = (Node.of("s", "source"), Node.of("c", "mean_centre", "s"), Node.of("k", "kfold", "c", n_splits=5), Node.of("p", "pls", "k", n_components=3), Node.of("q", "mlr", "s"))
     p = Pipeline(nodes)
     assert [w[0] for w in p.warnings()] == ["c", "q"] and [n.id for n in p.descendants("c")] == ["k", "p"]
+    assert not Pipeline((nodes[0], Node.of("q", "pca", "s"))).warnings()  # components centre by themselves
     other = Pipeline((*nodes[:2], Node.of("k", "kfold", "c", n_splits=4), nodes[3]))
     a, b = p.keys("v"), other.keys("v")
     assert a["c"] == b["c"] and a["k"] != b["k"] and a["p"] != b["p"] and p.state("v", {a["c"]})["p"] == "stale"
