@@ -11,7 +11,7 @@ from spectrail.functions import quantiles
 from spectrail.functions.arrays import Refused
 
 from . import kernels
-from .order import numbered  # noqa: F401  (part of this module's interface)
+from .order import numbered, shuffled_key  # noqa: F401  (numbered is part of this module's interface)
 
 
 def with_leverage(df: DataFrame, components: int, t: str = "t") -> DataFrame:
@@ -40,19 +40,63 @@ def flags(df: DataFrame, rules: dict[str, tuple[str, float]]) -> DataFrame:
     return df.select("sample_idx", broken.alias("broken")).where(F.size("broken") > 0).withColumn("n_broken", F.size("broken")).orderBy(F.desc("n_broken"), "sample_idx")
 
 
-def robust(df: DataFrame, t: str = "t", starts: int = 500, seed: int = 0) -> DataFrame:
-    """sample_idx, d2: robust distances of scores.
+def robust(df: DataFrame, components: int | None = None, t: str = "t", starts: int = 500, seed: int = 0, most_rows: int = 1500, best: int = 10, most_steps: int = 50) -> DataFrame:
+    """sample_idx, d2: squared robust distances of scores by the minimum covariance determinant.
 
-    Concentration steps need all scores together; the scores (samples x
-    components) go to one task, so this is for tables of up to millions of rows.
+    A sample of at most ``most_rows`` rows, by hash, gives the ``best`` of
+    ``starts`` random starts after two concentration steps each.  They
+    concentrate further over all rows: in each step the h nearest rows of each,
+    by a percentile of the distances, give its next mean and covariance, all in
+    sums that Spark adds up.  The one of least determinant is reweighted once.
+    The percentile is exact up to 100,000 rows and within 1/100,000 of a rank
+    beyond.
     """
-    cuts = {p: quantiles.chi2(p, len(df.select(t).first()[0])) for p in (0.5, 0.975)}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        return pd.DataFrame({"sample_idx": pdf["sample_idx"], "d2": kernels.robust_distances(np.stack(pdf["t"].to_list()), lambda p, _: cuts[p], starts, seed)})
-
-    return df.select("sample_idx", F.col(t).alias("t"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "sample_idx bigint, d2 double")
+    size = components or len(df.select(t).first()[0])
+    rows = df.select("sample_idx", F.col(t).alias("t"))
+    n = rows.count()
+    h = -(-(n + size + 1) // 2)
+    drawn = np.array([r.t for r in rows.select("sample_idx", "t", shuffled_key(seed, "sample_idx").alias("_key")).orderBy("_key", "sample_idx").limit(most_rows).collect()], float)
+    if n <= size or np.linalg.matrix_rank(drawn - drawn.mean(0)) < size:
+        raise Refused(f"{n} samples whose scores don't span {size} dimensions have no robust distance")
+    found = kernels.concentrated(drawn, starts, seed, best)
+
+    def distances(fits: list[tuple[np.ndarray, np.ndarray]]):
+        inverse = [(m, np.linalg.pinv(c)) for m, c in fits]
+
+        @F.pandas_udf("array<double>")
+        def run(block: pd.Series) -> pd.Series:
+            v = np.stack(block.to_list()).astype(float) if len(block) else np.zeros((0, size))
+            return pd.Series(list(np.stack([((v - m) @ i * (v - m)).sum(1) for m, i in inverse], 1)))
+
+        return run(F.col("t"))
+
+    def moments(near: list, d: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Mean and covariance of the rows within each limit."""
+        v = lambda i: F.get("t", F.lit(i))
+        sums = []
+        for k, limit in enumerate(near):
+            use = F.get("d", F.lit(k)) <= float(limit)
+            sums += [F.avg(F.when(use, v(i))).alias(f"m{k}_{i}") for i in range(size)] + [F.covar_pop(F.when(use, v(i)), F.when(use, v(j))).alias(f"c{k}_{i}_{j}") for i in range(size) for j in range(i, size)]
+        r = d.agg(*sums).first()
+        return [(np.array([r[f"m{k}_{i}"] for i in range(size)]), np.array([[r[f"c{k}_{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])) for k in range(len(near))]
+
+    def ranked(d: DataFrame, rank: int, fits: int) -> list[float]:
+        """The value of this rank, from 1, among each fit's distances."""
+        return list(d.agg(*[F.percentile_approx(F.get("d", F.lit(k)), F.lit((rank - 0.5) / n), F.lit(100_000)).alias(f"p{k}") for k in range(fits)]).first())
+
+    det = lambda fits: [np.linalg.slogdet(c)[1] for _, c in fits]
+    worth = [np.inf] * len(found)
+    for _ in range(most_steps):
+        d = rows.withColumn("d", distances(found))
+        new = moments(ranked(d, h, len(found)), d)
+        if all(a >= b - 1e-12 for a, b in zip(det(new), worth, strict=True)):
+            break
+        found, worth = new, det(new)
+    one = found[int(np.argmin(det(found)))]
+    d = rows.withColumn("d", distances([one]))
+    scale = quantiles.chi2(0.5, size) / ((ranked(d, (n + 1) // 2, 1)[0] + ranked(d, n // 2 + 1, 1)[0]) / 2)
+    final = moments([quantiles.chi2(0.975, size) / scale], d)
+    return rows.select("sample_idx", F.get(distances(final), F.lit(0)).alias("d2"))
 
 
 def exclude(df: DataFrame, rows: list[int]) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.operators import classification, crossval, decomposition, metrics, outliers, regression, selection, splits
+from spectrail.operators import classification, crossval, decomposition, kernel_machines, metrics, outliers, regression, selection, splits
 from spectrail.operators import preprocess as pre
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,7 +198,7 @@ _curve("mlr_error", lambda: regression.mlr_fit)
 
 @query()
 def svr_held_out(spark, sf_dir):
-    got = regression.svr(supervised(spark, sf_dir), "y", 5)
+    got = kernel_machines.svr(supervised(spark, sf_dir), "y", 5)
     return metrics.regression_metrics(got).select("n", F.round("rmse", 4).alias("rmse"))
 
 
@@ -317,7 +317,7 @@ def exclusion(spark, sf_dir):
 @query()
 def robust_distances(spark, sf_dir):
     df = spectra(spark, sf_dir)
-    got = outliers.robust(decomposition.with_scores(df, *decomposition.fit_pca(df, 3)), starts=500)
+    got = outliers.robust(decomposition.with_scores(df, *decomposition.fit_pca(df, 3)), 3, starts=500)
     return got.select("sample_idx", F.round("d2", 4).alias("d2"))
 
 
@@ -393,7 +393,7 @@ def simca_acceptance(spark, sf_dir):
 
 @query()
 def svm(spark, sf_dir):
-    return metrics.accuracy(classification.svm(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 4).alias("accuracy"))
+    return metrics.accuracy(kernel_machines.svm(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 4).alias("accuracy"))
 
 
 @query()

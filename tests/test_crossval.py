@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from spectrail.functions.arrays import Refused
-from spectrail.operators import classification, crossval, decomposition, kernels, order, outliers, regression, selection, splits
+from spectrail.operators import classification, crossval, decomposition, kernel_machines, kernels, order, outliers, regression, selection, splits
 from spectrail.operators.factors import fold_factors
 
 
@@ -217,3 +217,58 @@ def test_logistic_and_svm_on_training_rows(table):
     for got in (classification.logistic(table, "label", 5), classification.svm(table, "label", 5)):
         rows = got.collect()
         assert len(rows) == 90 and np.mean([r.observed == r.predicted for r in rows]) > 0.5
+
+
+def descended(t, value, slope, n=60_000):
+    """Weights and constant of least |w|^2 / 2 + 1/2 sum of squared losses, by plain gradient descent."""
+    w, b = np.zeros(t.shape[1]), 0.0
+    rate = 1 / (1 + np.linalg.norm(np.column_stack([t, np.ones(len(t))]), 2) ** 2)
+    for _ in range(n):
+        g = slope(value, t @ w + b)
+        w, b = w - rate * (w + t.T @ g), b - rate * g.sum()
+    return w, b
+
+
+def test_kernel_machines_with_a_linear_kernel(table, data):
+    x, of, fold, y = data
+    m, p = front(x, 3)
+    t = (x - m) @ p
+    votes = np.zeros((90, 3))
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        use = (of == i) | (of == j)
+        w, b = descended(t[use], np.where(of[use] == i, 1.0, -1.0), lambda s, f: -s * np.maximum(1 - s * f, 0))
+        votes[np.arange(90), np.where(t @ w + b > 0, i, j)] += 1
+    got = predicted(kernel_machines.svm(table, "label", 3, kind="linear"))
+    assert sum(got[k] == "abc"[votes[k].argmax()] for k in range(90)) >= 89
+    rows = {r.sample_idx: r.p for r in kernel_machines.svr(table, "y", 3, kind="linear").collect()}
+    for k in range(5):
+        m, p = front(x[fold != k], 3)
+        w, b = descended((x[fold != k] - m) @ p, y[fold != k], lambda v, f: -np.sign(v - f) * np.maximum(np.abs(v - f) - 0.1, 0))
+        at = np.flatnonzero(fold == k)
+        assert np.allclose([rows[i] for i in at], (x[at] - m) @ p @ w + b, atol=1e-3)
+
+
+def test_kernel_machines_bend(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    rows = [(i, v.tolist(), "in" if v @ v < 1.2 else "out", float(np.sin(2 * v[0]) + v[1] ** 2), i % 4) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "sample_idx bigint, x array<double>, label string, y double, fold int")
+    got = kernel_machines.svm(df, "label", 2, c=10.0).collect()
+    assert np.mean([r.observed == r.predicted for r in got]) > 0.95
+    held = kernel_machines.svr(df, "y", 2, c=10.0, gamma=1.0).collect()
+    assert np.sqrt(np.mean([(r.y - r.p) ** 2 for r in held])) < 0.35 * np.std([r.y for r in held])
+
+
+def test_robust_distances(spark):
+    rng = np.random.default_rng(4)
+    t = rng.normal(size=(300, 2)) @ np.array([[2.0, 0.5], [0, 1]])
+    t[:40] += [15, -9]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(t)], "sample_idx bigint, t array<double>").repartition(3)
+    got = {r.sample_idx: r.d2 for r in outliers.robust(df, 2).collect()}
+    chi = {0.5: 1.3862943611198906, 0.975: 7.377758908227871}
+    want = kernels.robust_distances(t, lambda p, _: chi[p], 500, 0)
+    assert np.allclose([got[i] for i in range(300)], want, rtol=0.05, atol=0.05) and min(got[i] for i in range(40)) > 20 * np.median(list(got.values()))
+    far = {r.sample_idx for r in outliers.robust(df, 2, most_rows=100).collect() if r.d2 > 25}  # the starts come from a sample
+    assert far == set(range(40))
+    with pytest.raises(Refused):
+        outliers.robust(df.limit(2), 2)
