@@ -28,17 +28,14 @@ _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 
 
 def _sensitive(text: str) -> list[tuple[int, int]]:
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
+    low = text.lower()  # the letters of ASCII among others; the patterns decide
     return [m.span() for m in _NEAR.finditer(text)] if any(w in low for w in _SENSITIVE) else []
 
 
-_LOWER = {k: k + 32 for k in range(65, 91)}
-
-
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the three patterns, leftmost and non-overlapping in each kind."""
     out = []
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
+    low = text.lower()  # the letters of ASCII among others; the patterns decide
     if any(w in low for w in _ASSIGNED):
         out += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 12]
     if "AKIA" in text:
