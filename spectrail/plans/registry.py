@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spectrail.operators import classification, crossval, decomposition, kernel_machines, metrics, outliers, regression, selection, splits
 from spectrail.operators import preprocess as pre
+from spectrail.plans import results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -458,6 +459,61 @@ def pls_distances(spark, sf_dir):
     return got.select("sample_idx", *[F.round(c, 6).alias(c) for c in ("t2", "t2_limit", "spe", "spe_limit")])
 
 
+@query()
+def regression_result(spark, sf_dir):
+    """All numbers of a model of three components, in and out of sample."""
+    got = results.regression_result(supervised(spark, sf_dir), "y", regression.pls_path(5), 2)
+    return got.select("part", "metric", F.round("value", 8).alias("value"))
+
+
+@query()
+def classifier_result(spark, sf_dir):
+    got = results.classifier_result(_labelled(spark, sf_dir), "label", crossval.discriminant(5))
+    return got.select("part", "metric", F.round("value", 8).alias("value"))
+
+
+@query()
+def ridge_tuning(spark, sf_dir):
+    got = results.tuning_result(supervised(spark, sf_dir), "y", "ridge")
+    return got.select(F.round("alpha", 8).alias("alpha"), F.round("rmsecv", 8).alias("rmsecv"), F.round("q2", 8).alias("q2"))
+
+
+@query()
+def elastic_net_tuning(spark, sf_dir):
+    got = results.tuning_result(supervised(spark, sf_dir), "y", "elastic_net")
+    return got.select(F.round("alpha", 8).alias("alpha"), F.round("rmsecv", 8).alias("rmsecv"), F.round("q2", 8).alias("q2"))
+
+
+@query()
+def leverage_whole(spark, sf_dir):
+    """Of five components of all 64 variables."""
+    df = spectra(spark, sf_dir)
+    scored = decomposition.with_scores(df, *decomposition.fit_pca(df, 5))
+    return outliers.with_leverage(scored, 5).select("sample_idx", F.round("leverage", 8).alias("leverage"))
+
+
+@query()
+def outlier_flags_whole(spark, sf_dir):
+    """Samples over the limits of t2, spe or leverage in five components of all 64 variables."""
+    df = spectra(spark, sf_dir)
+    model, mean = decomposition.fit_pca(df, 5)
+    top = decomposition.limits(model)
+    rows = outliers.with_leverage(decomposition.with_scores(df, model, mean), 5)
+    got = outliers.flags(rows, {"t2": ("t2", top["t2"]), "spe": ("spe", top["spe"]), "leverage": ("leverage", 3 * 6 / model.n)})
+    return got.select("sample_idx", F.array_join("broken", ",").alias("broken"), "n_broken")
+
+
+@query()
+def lasso_whole(spark, sf_dir):
+    """Coefficients of all 63 variables along four penalties."""
+    from spectrail.operators.factors import training_sets
+
+    m, _ = training_sets(supervised(spark, sf_dir), ["y"])
+    alphas = [0.1, 0.01, 0.001, 0.0001]
+    b = regression.elastic_net_path(alphas, 1.0)(m)
+    return spark.createDataFrame([(a, j, round(float(v), 8)) for a, row in zip(alphas, b, strict=True) for j, v in enumerate(row)], "alpha double, var_idx int, b double")
+
+
 @query()
 def pca_eigenvalues_whole(spark, sf_dir):
     """All 64 variables."""

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from spectrail.functions.arrays import Refused
-from spectrail.operators import kernels, regression, selection, splits
+from spectrail.operators import crossval, kernels, regression, selection, splits
+from spectrail.plans import results
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +117,27 @@ def test_repeated_folds(table):
     assert sorted({r.fold for r in rows}) == list(range(15)) and all(sorted(r.sample_idx for r in rows if r.fold // 5 == k) == list(range(60)) for k in range(3))
     with pytest.raises(Refused):
         splits.k_fold(table, 5, order="other")
+
+
+def test_results(table, data):
+    x, y, fold = data
+    got = {(r.part, r.metric): r.value for r in results.regression_result(table, "y", regression.pls_path(3), 1).collect()}
+    curve = errors_by_hand(data, components(3))
+    assert np.allclose([got["cross_validation", f"rmsecv_a{k}"] for k in (1, 2, 3)], curve) and np.isclose(got["cross_validation", "rmsecv"], curve[1])
+    e = y - y.mean() - (x - x.mean(0)) @ kernels.pls(x - x.mean(0), y - y.mean(), 2).coefficients()
+    assert np.isclose(got["calibration", "rmsec"], np.sqrt((e * e).mean())) and np.isclose(got["calibration", "sec"], np.sqrt(((e - e.mean()) ** 2).sum() / 57))
+    assert np.isclose(got["cross_validation", "q2"], 1 - curve[1] ** 2 / y.var()) and sum(m.startswith("rmsecv_fold_") for _, m in got) == 4
+    assert np.isclose(got["cross_validation", "rmsecv_std"], np.std([got["cross_validation", f"rmsecv_fold_{k}"] for k in range(4)], ddof=1))
+    alpha, error = zip(*[(r.alpha, r.rmsecv) for r in results.tuning_result(table, "y", "ridge", 5).orderBy("alpha").collect()])
+    want = lambda u, v: np.stack([np.linalg.solve(u.T @ u + a * np.eye(8), u.T @ v) for a in alpha])
+    assert np.isclose(alpha[-1], np.linalg.norm(x - x.mean(0), 2) ** 2) and np.allclose(error, errors_by_hand(data, want))
+    assert len(results.tuning_result(table, "y", "elastic_net", 4).collect()) == 4
+
+
+def test_classifier_result(spark, data):
+    x, y, fold = data
+    df = spark.createDataFrame([(i, x[i].tolist(), "ab"[int(y[i] > np.median(y))], int(fold[i])) for i in range(60)], "sample_idx bigint, x array<double>, label string, fold int")
+    held = {r.sample_idx: (r.observed, r.predicted) for r in crossval.cross_validated(df, "label", crossval.discriminant(3)).collect()}
+    got = {(r.part, r.metric): r.value for r in results.classifier_result(df, "label", crossval.discriminant(3)).collect()}
+    assert np.isclose(got["cross_validation", "accuracy"], np.mean([o == p for o, p in held.values()]))
+    assert np.isclose(got["class a", "sensitivity"], np.mean([p == "a" for o, p in held.values() if o == "a"]))
