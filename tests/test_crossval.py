@@ -175,6 +175,9 @@ def test_contributions_sum_to_the_distances(table, data):
 def test_positions_and_permutations(spark, table):
     rows = spark.range(1000).selectExpr("(id * 37) % 1000 as sample_idx", "id % 3 as level", "id as v").repartition(7)
     assert sorted((r.place, r.sample_idx) for r in order.numbered(rows, "sample_idx", into="place").collect()) == [(k, k) for k in range(1000)]
+    odd = rows.selectExpr("case when sample_idx % 10 > 0 then sample_idx % 7 end as a", "concat('x', sample_idx % 5) as b", "sample_idx")
+    got = [r.place for r in sorted(order.numbered(odd, "a", "b", "sample_idx", into="place", rows_a_range=30).collect(), key=lambda r: (r.a is not None, r.a, r.b, r.sample_idx))]
+    assert got == list(range(1000))
     folds = splits.k_fold(rows, 7, order="hash")
     splits.validate_partition(rows, folds)
     assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [142] * 1 + [143] * 6
