@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,7 @@ class FoldErrors:
         self.parts = {r.fold: (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 2)) for r in got}
         if len(self.parts) < 2:
             raise Refused("a search needs two folds or more")
-        self.width = got[0].width
+        self.width, self.df, self.y, self.x = got[0].width, df, y, x
         self.training = {k: Fitted.of([v for j, v in self.parts.items() if j != k], 1) for k in self.parts}
 
     def rmsecv(self, columns: np.ndarray, components: int) -> np.ndarray:
@@ -133,6 +134,40 @@ def _permuted(df: DataFrame, y: str, repeats: int, seed: int) -> DataFrame:
     return df.join(wide, "sample_idx")
 
 
+#: From the folds' errors of a training set to the columns it selects.
+Selector = Callable[[FoldErrors], np.ndarray]
+
+
+def _whole(errors: FoldErrors, components: int) -> kernels.Latent:
+    m = Fitted.of(list(errors.parts.values()), 1)
+    return kernels.pls(m.x, m.y[:, 0], min(components, errors.width), m.n)
+
+
+def vip_selector(components: int, cut: float = 1.0) -> Selector:
+    """Variables whose importance in projection is the cut or more."""
+    return lambda errors: np.array(by_threshold(_whole(errors, components).vip(), cut))
+
+
+def coefficient_selector(components: int, cut: float) -> Selector:
+    """Variables whose coefficient is the cut or more by size."""
+    return lambda errors: np.array(by_threshold(_whole(errors, components).coefficients(), cut))
+
+
+def ipls_selector(intervals: int, components: int) -> Selector:
+    """The variables of the intervals that forward selection joins."""
+
+    def select(errors: FoldErrors) -> np.ndarray:
+        bounds = interval_bounds(errors.width, intervals)
+        return np.concatenate([np.arange(*bounds[i]) for i in sorted(ipls(errors, intervals, components)[1])])
+
+    return select
+
+
+def cars_selector(components: int, runs: int = 50, seed: int = 0) -> Selector:
+    """The variables that competitive adaptive reweighted sampling keeps."""
+    return lambda errors: np.array(cars(errors.df, errors, errors.y, components, runs, seed, errors.x)[0])
+
+
 def permutation_test(df: DataFrame, y: str, components: int, repeats: int = 100, seed: int = 0, fold: str = "fold", x: str = "x") -> tuple[float, list[float], float]:
     """Cross-validated error, errors with permuted responses, and (1 + as good) / (repeats + 1).
 

@@ -120,6 +120,13 @@ def read(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFr
     return laid_out(placed.select("line", F.split(F.trim(F.regexp_replace("value", "^\ufeff", "")), sep).alias("c")), layout)
 
 
+def preview(spark: SparkSession, path: str, rows: int = 20, layout: Layout | None = None) -> tuple[Layout, list[list[str]]]:
+    """The layout, and the cells of the first lines that aren't empty, the header included."""
+    layout = layout or sniff(spark, path)
+    lines = [r.value for r in spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(rows).collect()]
+    return layout, [_cells(x.removeprefix("\ufeff"), layout.delimiter) for x in lines]
+
+
 def laid_out(placed: DataFrame, layout: Layout, *keep: str) -> DataFrame:
     """The samples of rows of cells (``line`` from 0, ``c``, and columns to keep) in a layout."""
     titled = not all(h == str(k) for k, h in enumerate(layout.header))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from spectrail.functions.arrays import Refused
-from spectrail.operators import crossval, kernels, regression, selection, splits
+from spectrail.operators import crossval, kernels, regression, roles, selection, splits
 from spectrail.plans import results
+from spectrail.sources import delimited
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +142,32 @@ def test_classifier_result(spark, data):
     got = {(r.part, r.metric): r.value for r in results.classifier_result(df, "label", crossval.discriminant(3)).collect()}
     assert np.isclose(got["cross_validation", "accuracy"], np.mean([o == p for o, p in held.values()]))
     assert np.isclose(got["class a", "sensitivity"], np.mean([p == "a" for o, p in held.values() if o == "a"]))
+
+
+def test_selectors(table, data):
+    x, y, _ = data
+    errors = selection.FoldErrors(table, "y")
+    m = kernels.pls(x - x.mean(0), y - y.mean(), 3)
+    assert selection.vip_selector(3)(errors).tolist() == np.flatnonzero(m.vip() >= 1).tolist()
+    assert selection.coefficient_selector(3, 0.1)(errors).tolist() == np.flatnonzero(np.abs(m.coefficients()) >= 0.1).tolist()
+    chosen = selection.ipls(errors, 4, 2)[1]
+    assert selection.ipls_selector(4, 2)(errors).tolist() == [c for i in sorted(chosen) for c in (2 * i, 2 * i + 1)]
+    assert selection.cars_selector(3, 15)(errors).tolist() == selection.cars(table, errors, "y", 3, 15)[0]
+
+
+def test_roles(spark):
+    df = spark.createDataFrame([(0, "s0", 1.0, "5.5", "a"), (1, "s1", 2.5, "6", "a")], "sample_idx bigint, sample_id string, t_fat double, m_water string, m_kind string")
+    got = roles.change_roles(df, {"fat": "class", "water": "target"})
+    assert roles.roles_of(got) == {"fat": "class", "water": "target", "kind": "metadata"} and sorted((r.c_fat, r.t_water) for r in got.collect()) == [("1", 5.5), ("2.5", 6.0)]
+    assert "m_kind" not in roles.change_roles(df, {"kind": "ignore"}).columns
+    for bad, what in (({"kind": "class"}, "one value"), ({"none": "class"}, "no column"), ({"kind": "metadata"}, "already"), ({"kind": "x"}, "no role")):
+        with pytest.raises(Refused, match=what):
+            roles.change_roles(df, bad)
+    with pytest.raises(Exception, match="column kind, sample s"):
+        roles.change_roles(df, {"kind": "target"}).collect()
+
+
+def test_preview(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;1000;1010;fat\ns1;0,1;0,2;3\ns2;0,3;0,4;5\n")
+    layout, cells = delimited.preview(spark, str(tmp_path / "a.csv"), 2)
+    assert layout.delimiter == ";" and layout.decimal_comma and cells == [["id", "1000", "1010", "fat"], ["s1", "0,1", "0,2", "3"]]
