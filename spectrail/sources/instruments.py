@@ -124,7 +124,7 @@ FORMATS: dict[str, Callable[[bytes], Iterator[Spectrum]]] = {".jdx": jcamp, ".dx
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """file, part, title, axis, x of every spectrum of the files under a path, by their suffix.  Number the rows with outliers.numbered."""
-    from . import more_instruments
+    from . import more_instruments, opus
 
     formats = dict(more_instruments.FORMATS)
 
@@ -133,14 +133,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 suffix = "." + name.rsplit(".", 1)[-1].lower()
-                if suffix not in formats:
+                parser = opus.opus if content[:4] == opus.MAGIC else formats.get(suffix)  # OPUS files end in a number
+                if parser is None:
                     raise Refused(f"{name}: no reader for {suffix}")
-                rows += [(name, k, title, axis.tolist(), y.tolist()) for k, (title, axis, y) in enumerate(formats[suffix](content))]
+                rows += [(name, k, title, axis.tolist(), y.tolist()) for k, (title, axis, y) in enumerate(parser(content))]
             yield pd.DataFrame(rows, columns=["file", "part", "title", "axis", "x"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, part int, title string, axis array<double>, x array<double>")
 
 
+def aligned(spectra: DataFrame) -> DataFrame:
+    """The spectra on the axis of the first file and part.
+
+    Instruments drift by parts of a point between measurements; a spectrum of
+    another number of points, or whose axis lies more than one point spacing
+    off at either end, is another measurement and is refused by name.
+    """
+    first = spectra.orderBy("file", "part").select("axis").first()
+    if first is None:
+        raise Refused("no spectra")
+    axis = first["axis"]
+    step = abs(axis[1] - axis[0]) if len(axis) > 1 else 0.0
+    off = F.greatest(F.abs(F.get("axis", F.lit(0)) - axis[0]), F.abs(F.get("axis", F.size("axis") - 1) - axis[-1]))
+    bad = (F.size("axis") != len(axis)) | (off > step * (1 + 1e-9))
+    said = F.raise_error(F.concat(F.col("file"), F.lit(": its axis isn't that of the first file"))).cast("array<double>")
+    return spectra.withColumn("x", F.when(bad, said).otherwise(F.col("x"))).withColumn("axis", F.array(*[F.lit(float(v)) for v in axis]))
+
+
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """file, size, sha256 (lowercase hex) of every file under a path: what two copies of a file agree in."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

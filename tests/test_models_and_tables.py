@@ -17,7 +17,7 @@ from spectrail.operators.factors import training_sets
 from spectrail.plans import catalog
 from spectrail.plans.models import Model
 from spectrail.plans.pipeline import Node, Pipeline
-from spectrail.sources import instruments, matlab, workbook
+from spectrail.sources import instruments, matlab, opus, workbook
 
 
 @pytest.fixture(scope="module")
@@ -205,3 +205,38 @@ def test_catalog(spark, table, tmp_path):
 
     os.remove(f"{folder}/_SUCCESS")  # what a job leaves that was lost half-way
     assert catalog.stored_matrix(table.limit(7), p, "s", "v1", at).count() == 7
+
+
+def opus_file(blocks, name="soil 1", drift=0.0):
+    """blocks: (kind, channel, extra, values, scale)."""
+
+    def parameter(key, kind, value):
+        value += b"\0" * (len(value) % 2)
+        return key.encode() + b"\0" + struct.pack("<hh", kind, len(value) // 2) + value
+
+    bodies = [(160, 0, 0, parameter("SNM", 2, name.encode() + b"\0") + b"END\0" + bytes(4))]
+    for kind, channel, extra, values, scale in blocks:
+        bodies.append((kind, channel, extra, np.array(values, "<f4").tobytes() + bytes(8)))
+        described = parameter("NPT", 0, struct.pack("<i", len(values))) + parameter("FXV", 1, struct.pack("<d", 4000 + drift)) + parameter("LXV", 1, struct.pack("<d", 3990 + drift)) + parameter("CSF", 1, struct.pack("<d", scale))
+        bodies.append((kind + 16, channel, extra, described + b"END\0" + bytes(4)))
+    head, at, entries, data = opus.MAGIC + struct.pack("<diii", 920622.0, 24, 40, len(bodies)), 24 + 12 * 40, b"", b""
+    for kind, channel, extra, body in bodies:
+        body += bytes(-len(body) % 4)
+        entries += struct.pack("<4Bii", kind, channel, 0, extra, len(body) // 4, at + len(data))
+        data += body
+    return head + entries.ljust(12 * 40, b"\0") + data
+
+
+def test_opus(spark, tmp_path):
+    (tmp_path / "a.0").write_bytes(opus_file([(7, 4, 0, [9, 9, 9], 1.0), (15, 16, 64, [1, 2, 3], 1.0), (15, 16, 0, [2, 4, 6], 0.5)]))
+    (tmp_path / "b.1").write_bytes(opus_file([(15, 16, 64, [5, 6, 7], 2.0)], "soil 2", 0.3))
+    rows = instruments.aligned(instruments.read(spark, str(tmp_path))).orderBy("file").collect()
+    assert [r.x for r in rows] == [[1, 2, 3], [10, 12, 14]] and all(r.axis == [4000, 3995, 3990] for r in rows) and [r.title for r in rows] == ["soil 1", "soil 2"]
+    content = (tmp_path / "a.0").read_bytes()
+    assert next(opus.opus(content, "ScSm"))[2].tolist() == [9, 9, 9]
+    for bad, block, what in ((content, "Refl", "no block"), (b"abcd" + content[4:], None, "not an OPUS"), (opus_file([]), None, "no block")):
+        with pytest.raises(Refused, match=what):
+            next(opus.opus(bad, block))
+    (tmp_path / "c.2").write_bytes(opus_file([(15, 16, 64, [5, 6, 7], 2.0)], drift=6.0))
+    with pytest.raises(Exception, match="c.2: its axis"):
+        instruments.aligned(instruments.read(spark, str(tmp_path))).collect()
