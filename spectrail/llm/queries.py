@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .decontamination import contained_items
 from .html_extraction import extract
+from .language_id import language_id
+from .lexical_search import lexical_search
 from .line_dedup import line_dedup
+from .merkle_manifest import merkle_manifest
 from .ngram_join import ngram_components
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -79,4 +82,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_html_extraction, op5_bpe, op6_quality_classifier, op7_ngram_join, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=50)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(_table(spark, sf_dir, "documents"), now={"text": tampered})
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_decontamination, op3_secret_scan, op4_html_extraction, op5_bpe, op6_quality_classifier, op7_ngram_join, op8_toxicity, op9_substring_dedup, op10_line_dedup,
+        op11_lexical_search, op12_merkle_manifest, op13_language_id,
+    )
+}

@@ -59,9 +59,57 @@ v as (select m.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_faile
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside kept from v
 """.replace("{quantiles}", ", ".join(f"quantile_disc(m{k}, [0.5, 0.1]) q{k}" for k in range(1, 6)))
 
+_LEXICAL_SEARCH = r"""
+with w as (select rowid_, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from (select row_number() over () rowid_, * from documents where doc_id is not null)),
+b as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark where item_id is not null),
+n as (select rowid_, count(*) n from w group by all),
+s as (select count(*) n_docs, sum(n)::bigint n_terms from n),
+tf as (select rowid_, doc_id, term, count(*) tf from w where term in (select term from b) group by all),
+df as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint weight from tf, s group by term),
+g as (select tf.rowid_, tf.doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) gain from tf join n using (rowid_) join df using (term), s),
+r as (select item_id, doc_id, sum(gain)::bigint score from b join g using (term) group by item_id, rowid_, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer "rank", doc_id, score from r where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50
+"""
+
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+#: The checksum bit by bit; trees, and the folding of leaves, a level a step.
+_MERKLE = f"""
+with recursive
+d as (select *, coalesce('=' || source, '') tree, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) crc from documents),
+l as (select doc_id, tree, {_LEAF.format(text="text")} leaf, case when xor(crc, 4294967295) % 2 = 0 then {_LEAF.format(text="replace(text, chr(10), '')")} else {_LEAF.format(text="text")} end later from d),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 idx, count(*) over (partition by tree) n from l),
+nodes as (
+  select tree, 0 height, idx, n, leaf h from placed
+  union all
+  select tree, height + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from nodes where n > 1 group by tree, height, idx // 3, n),
+tops as (select tree, height, h, row_number() over (order by tree) - 1 idx, count(*) over () n from nodes where n = 1),
+upper as (
+  select 0 height, idx, n, h from tops
+  union all
+  select height + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from upper where n > 1 group by height, idx // 3, n),
+root as (select h root from upper where n = 1),
+whole as (
+  select n.tree, n.height, n.idx, coalesce(string_agg(s.h, '' order by s.idx) filter (where s.idx < n.idx), '') lefts, coalesce(string_agg(s.h, '' order by s.idx) filter (where s.idx > n.idx), '') rights
+  from nodes n join nodes s on n.tree = s.tree and n.height = s.height and n.idx // 3 = s.idx // 3 where n.n > 1 group by all
+  union all
+  select t.tree, t.height + n.height, t.idx // (3 ** n.height)::bigint, coalesce(string_agg(s.h, '' order by s.idx) filter (where s.idx < n.idx), ''), coalesce(string_agg(s.h, '' order by s.idx) filter (where s.idx > n.idx), '')
+  from tops t join upper n on n.idx = t.idx // (3 ** n.height)::bigint join upper s on n.height = s.height and n.idx // 3 = s.idx // 3 where n.n > 1 group by all),
+folded as (
+  select doc_id, p.tree, t.height top_height, t.idx top_idx, leaf, p.idx, 0 height, '' proof, later h from placed p join tops t using (tree)
+  union all
+  select doc_id, f.tree, top_height, top_idx, leaf, f.idx, f.height + 1, proof || lefts || rights, sha256(lefts || h || rights)
+  from folded f join whole w on f.tree = w.tree and f.height = w.height and w.idx = case when f.height < top_height then f.idx // (3 ** f.height)::bigint else top_idx // (3 ** (f.height - top_height))::bigint end)
+select f.doc_id, f.leaf, t.h subroot, root, sha256(proof) proof_sha256, f.h folded_root, f.h = root verified
+from folded f join tops t using (tree), root qualify f.height = max(f.height) over (partition by f.tree, f.doc_id, f.leaf, f.idx)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _QUALITY_RULES,
     "op9_substring_dedup": _SUBSTRING_DEDUP,
     "op2_decontamination": _DECONTAMINATION,
     "op10_line_dedup": _LINE_DEDUP,
+    "op11_lexical_search": _LEXICAL_SEARCH,
+    "op12_merkle_manifest": _MERKLE,
 }
