@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrail.functions.arrays import Refused, dot, literal
+from spectrail.functions.arrays import Refused, block, dot, literal
 
-from . import kernels
+from . import dual, kernels
 from .decomposition import class_models, fit_pca, limits, row_distances, with_scores
 from .factors import training_sets
 
@@ -93,35 +93,6 @@ def discriminant(df: DataFrame, label: str, components: int, quadratic: bool = F
     return out.select("sample_idx", F.col(label).alias("observed"), F.get(F.lit(list(groups)), first_largest(F.col("scores")).cast("int")).alias("predicted"), "scores")
 
 
-def knn(train: DataFrame, queries: DataFrame, label: str, k: int, x: str = "x", block: int = 4096) -> DataFrame:
-    """sample_idx, observed, predicted: votes of the k nearest training rows, the earlier row nearer on ties.
-
-    Training rows are cut into blocks; each block finds its k nearest for every
-    query with a matrix product, and the blocks' findings are merged.  Queries
-    meet each block once; only k rows a query and block are shuffled.
-    """
-    if k > train.count():
-        raise Refused(f"k is {k}, more than the training samples")
-    left = train.select(F.floor(F.col("sample_idx") / block).alias("block"), F.lit(True).alias("known"), "sample_idx", F.col(label).alias("label"), F.col(x).alias("x"))
-    right = queries.select("sample_idx", F.col(x).alias("x")).join(F.broadcast(left.select("block").distinct()), how="cross").select("block", F.lit(False).alias("known"), "sample_idx", F.lit(None).cast(dict(train.dtypes)[label]).alias("label"), "x")
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, q = pdf[pdf["known"]].sort_values("sample_idx"), pdf[~pdf["known"]]
-        if not len(q) or not len(a):
-            return pd.DataFrame({"sample_idx": [], "neighbour": [], "label": [], "d2": []})
-        m, rows = np.stack(a["x"].to_list()).astype(float), np.stack(q["x"].to_list()).astype(float)
-        d = np.maximum((rows**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * rows @ m.T, 0)
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"sample_idx": np.repeat(q["sample_idx"].to_numpy(), at.shape[1]), "neighbour": a["sample_idx"].to_numpy()[at].ravel(), "label": a["label"].to_numpy()[at].ravel(), "d2": np.take_along_axis(d, at, 1).ravel()})
-
-    kind = dict(train.dtypes)[label]
-    found = left.unionByName(right).groupBy("block").applyInPandas(nearest, f"sample_idx bigint, neighbour bigint, label {kind}, d2 double")
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("sample_idx").orderBy(F.round("d2", 12), "neighbour"))).where(F.col("_r") <= k)
-    votes = ranked.groupBy("sample_idx", "label").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("sample_idx").agg(F.min(F.struct(-F.col("votes"), F.col("label").alias("predicted"))).alias("b"))
-    return queries.select("sample_idx", F.col(label).alias("observed")).join(best, "sample_idx").select("sample_idx", "observed", F.col("b.predicted").alias("predicted"))
-
-
 def simca(df: DataFrame, label: str, components: int, x: str = "x", alpha: float = 0.05) -> DataFrame:
     """sample_idx, observed, model, t2, spe, h, accepted: every sample against a component model of each class.
 
@@ -153,28 +124,20 @@ def simca_table(decided: DataFrame) -> DataFrame:
     return per.unionByName(none.withColumn("model", F.lit(None).cast(dict(per.dtypes)["model"])).select("observed", "model", "n"))
 
 
-def svm(df: DataFrame, label: str, components: int, c: float = 1.0, kind: str = "rbf", gamma: float | None = None, x: str = "x") -> DataFrame:
-    """One machine a pair of classes on component scores, a task a pair; majority vote."""
-    classes = classes_of(df, label)
-    scored = with_scores(df, *fit_pca(df, components, x), x).select("sample_idx", F.col(label).alias("label"), "t")
-    pairs = [(i, j) for i in range(len(classes)) for j in range(i + 1, len(classes))]
-    spread = scored.crossJoin(F.broadcast(df.sparkSession.createDataFrame(pairs, "i int, j int")))  # classes are few
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        pdf = pdf.sort_values("sample_idx")
-        t, of = np.stack(pdf["t"].to_list()), pdf["label"].to_numpy()
-        rows = (of == classes[i]) | (of == classes[j])
-        sign = np.where(of[rows] == classes[i], 1.0, -1.0)
-        g = gamma or 1 / (components * t.var())
-        alpha, rho = kernels.smo(kernels.kernel(t[rows], t[rows], kind, g), sign, -np.ones(int(rows.sum())), c)
-        decision = kernels.kernel(t, t[rows], kind, g) @ (alpha * sign) - rho
-        return pd.DataFrame({"sample_idx": pdf["sample_idx"], "label": of, "vote": np.where(decision > 0, i, j)})
-
-    kind_of = dict(df.dtypes)[label]
-    votes = spread.groupBy("i", "j").applyInPandas(fit, f"sample_idx bigint, label {kind_of}, vote int").groupBy("sample_idx", "label", "vote").count()
-    best = votes.groupBy("sample_idx", "label").agg(F.min(F.struct(-F.col("count"), F.col("vote").alias("v"))).alias("b"))
-    return best.select("sample_idx", F.col("label").alias("observed"), F.get(F.lit(classes), F.col("b.v")).alias("predicted"))
+def score_variance(model: kernels.Pca) -> float:
+    """The variance of all score values of the fitted rows together; its inverse, a component, is the usual width of a kernel."""
+    a = model.loadings.shape[1]
+    return float(model.eigenvalues[:a].sum() * (model.n - 1) / model.n / a)
+
+
+def svm(df: DataFrame, label: str, components: int, c: float = 1.0, kind: str = "rbf", gamma: float | None = None, x: str = "x", tol: float = 1e-3) -> DataFrame:
+    """sample_idx, observed, predicted: one machine a pair of classes on component scores, hinge loss, majority vote; ties go to the first class."""
+    rows = df.where(F.col(label).isNotNull())
+    classes = classes_of(rows, label)
+    model, mean = fit_pca(rows, components, x)
+    scored = rows.select("sample_idx", F.lit(0).alias("machine"), block(lambda r: (r - mean) @ model.loadings, x).alias("t"), F.lit(True).alias("learns"), F.col(label).alias("label"))
+    votes = dual.svm_votes(scored, "label", classes, kind, {0: gamma or 1 / (components * score_variance(model))}, c, tol)
+    return votes.select("sample_idx", "observed", "predicted")
 
 
 def logistic(df: DataFrame, label: str, components: int, c: float = 1.0, x: str = "x") -> DataFrame:

@@ -22,9 +22,10 @@ from spectrail.functions.arrays import Refused
 from spectrail.functions.quantiles import spe_limit, t2_limit
 
 from . import kernels
-from .classification import classes_of, knn
+from .classification import classes_of
 from .decomposition import Group
 from .factors import Fitted, fold_factors, stacked
+from .neighbours import knn
 
 
 @dataclass

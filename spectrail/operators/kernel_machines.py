@@ -6,8 +6,9 @@ linear in them.  Losses are the squared hinge and the squared
 epsilon-insensitive one, so that each Newton step is a regression on the rows
 that lie on the wrong side: one pass adds up their cross products, and the
 driver holds landmarks squared numbers a machine, whatever the table's size.
-For small tables, ``classification.svm`` and ``regression.svr`` solve the plain
-losses with the whole kernel in one task.
+They are models of their own; ``classification.svm`` and ``regression.svr`` have
+the plain losses and the whole kernel, and take more passes the more support
+vectors there are.
 """
 
 from __future__ import annotations

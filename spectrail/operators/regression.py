@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spectrail.functions import quantiles
 from spectrail.functions.arrays import Refused, dot, literal
 
-from . import kernels
+from . import dual, kernels
 from .factors import Fitted, training_sets
 
 #: A fit gives coefficients of the centred variables, one row for each number of components or grid value.
@@ -148,31 +148,41 @@ def pls_distances(df: DataFrame, y: str, components: int, x: str = "x", alpha: f
     return rows.select("sample_idx", "t2", F.lit(quantiles.t2_limit(m.n, len(spread), alpha)).alias("t2_limit"), "spe", F.lit(float(spe_top)).alias("spe_limit"))
 
 
-def svr(df: DataFrame, y: str, components: int, c: float = 1.0, epsilon: float = 0.1, kind: str = "rbf", gamma: float | None = None, fold: str = "fold", x: str = "x") -> DataFrame:
-    """sample_idx, y, p: epsilon-insensitive regression on component scores, refitted without each fold.
-
-    A kernel machine needs its training rows together: each fold's task holds
-    the scores of the other folds, samples x components.
-    """
+def svr_machines(df: DataFrame, y: str, components: int, fold: str = "fold", x: str = "x") -> tuple[DataFrame, dict[int, float]]:
+    """``sample_idx, machine, t, learns, y``, each row once for every fold, on component scores refitted without it; and each fold's usual gamma."""
     _, folds = training_sets(df, [y], fold, x)
-    fronts = {k: (kernels.pca(m.x, components, m.n, 0.0).loadings, m.x_mean) for k, m in folds.items()}
-    spread = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(int(k),) for k in fronts], "left_out int")))
+    if not folds:
+        raise Refused("cross-validation needs two folds or more")
+    fronts, gamma = {}, {}
+    for k, m in folds.items():
+        model = kernels.pca(m.x, components, m.n, 0.0)
+        fronts[k] = model.loadings, m.x_mean
+        gamma[k] = 1 / float(model.eigenvalues[:components].sum() * (m.n - 1) / m.n)
 
     @F.pandas_udf("array<double>")
     def scores(rows: pd.Series, out: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(r) - fronts[k][1]) @ fronts[k][0] for r, k in zip(rows, out, strict=True)])
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        held = (pdf["fold"] == key[0]).to_numpy()
-        t, v = np.stack(pdf["t"].to_list()), pdf["y"].to_numpy(float)
-        a, b, target = t[~held], t[held], v[~held]
-        g = gamma or 1 / (components * a.var())
-        k = kernels.kernel(a, a, kind, g)
-        sign = np.repeat([1.0, -1.0], len(a))
-        alpha, rho = kernels.smo(np.tile(k, (2, 2)), sign, np.concatenate([epsilon - target, epsilon + target]), c)
-        beta = alpha[: len(a)] - alpha[len(a) :]
-        return pd.DataFrame({"sample_idx": pdf["sample_idx"].to_numpy()[held], "y": v[held], "p": kernels.kernel(b, a, kind, g) @ beta - rho})
-
-    long = spread.select("sample_idx", F.col(fold).cast("int").alias("fold"), F.col(y).cast("double").alias("y"), "left_out", scores(F.col(x), F.col("left_out")).alias("t"))
-    return long.groupBy("left_out").applyInPandas(fit, "sample_idx bigint, y double, p double")
+        found: list = [None] * len(rows)
+        for k in out.unique():
+            at = np.flatnonzero(out == k)
+            for i, t in zip(at, (np.stack(rows.iloc[at].to_list()).astype(float) - fronts[k][1]) @ fronts[k][0], strict=True):
+                found[i] = t
+        return pd.Series(found, dtype=object, index=rows.index)
+
+    each = df.select("sample_idx", F.col(fold).cast("int").alias("fold"), F.col(y).cast("double").alias("y"), F.col(x).alias("x"), F.explode(F.lit([int(k) for k in fronts])).alias("machine"))
+    return each.select("sample_idx", "machine", scores("x", "machine").alias("t"), (F.col("fold") != F.col("machine")).alias("learns"), "y"), gamma
+
+
+def svr(df: DataFrame, y: str, components: int, c: float = 1.0, epsilon: float = 0.1, kind: str = "rbf", gamma: float | None = None, fold: str = "fold", x: str = "x", tol: float = 1e-3) -> DataFrame:
+    """sample_idx, fold, y, p: epsilon-insensitive regression on component scores, refitted without each fold; the response isn't centred."""
+    rows, usual = svr_machines(df, y, components, fold, x)
+    solved = dual.solve(dual.svr_rows(rows, "y", c, epsilon), kind, {k: gamma or g for k, g in usual.items()}, tol)
+    return solved.decided().where("asked and not learns").select("sample_idx", F.col("machine").alias("fold"), "y", F.col("decision").alias("p"))
+
+
+def svr_curve(df: DataFrame, y: str, components: int, epsilon: float = 0.1, kind: str = "rbf", gamma: float | None = None, points: int = 13, fold: str = "fold", x: str = "x", tol: float = 1e-3) -> DataFrame:
+    """c, rmsecv, q2 over bounds in three decades up to the response's range (``points`` of them)."""
+    span = df.agg((F.max(y) - F.min(y)).cast("double")).first()[0]
+    if not span:
+        raise Refused("a response without range has no grid of bounds")
+    rows, usual = svr_machines(df, y, components, fold, x)
+    return dual.svr_curve(rows, "y", (span * np.logspace(-3, 0, points)).tolist(), kind, {k: gamma or g for k, g in usual.items()}, epsilon, tol)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.operators import classification, crossval, decomposition, kernel_machines, metrics, outliers, regression, selection, splits
+from spectrail.operators import classification, crossval, decomposition, kernel_machines, metrics, neighbours, outliers, regression, selection, splits
 from spectrail.operators import preprocess as pre
 from spectrail.plans import results
 
@@ -199,6 +199,19 @@ _curve("mlr_error", lambda: regression.mlr_fit)
 
 @query()
 def svr_held_out(spark, sf_dir):
+    got = regression.svr(supervised(spark, sf_dir), "y", 5, tol=1e-5)
+    return metrics.regression_metrics(got).select("n", F.round("rmse", 4).alias("rmse"))
+
+
+@query()
+def svr_curve(spark, sf_dir):
+    """Held-out errors over the bounds of support vector regression, each going on from the one before."""
+    got = regression.svr_curve(supervised(spark, sf_dir), "y", 5)
+    return got.select(F.round("c", 6).alias("c"), F.round("rmsecv", 3).alias("rmsecv"), F.round("q2", 3).alias("q2"))
+
+
+@query()
+def svr_landmarks_held_out(spark, sf_dir):
     got = kernel_machines.svr(supervised(spark, sf_dir), "y", 5)
     return metrics.regression_metrics(got).select("n", F.round("rmse", 4).alias("rmse"))
 
@@ -358,7 +371,7 @@ def pls_da_many(spark, sf_dir):
 def knn(spark, sf_dir):
     """Every row whose id is divisible by 50 against all rows."""
     rows = spectra(spark, sf_dir)
-    return classification.knn(rows, rows.where(F.col("sample_idx") % 50 == 0), "label", 5)
+    return neighbours.knn(rows, rows.where(F.col("sample_idx") % 50 == 0), "label", 5)
 
 
 _GROUPS = f"{_TWO}, g as (select label, count(*) n, avg(a) ma, avg(b) mb, var_pop(a) * count(*) saa, var_pop(b) * count(*) sbb, covar_pop(a, b) * count(*) sab from s group by 1)"
@@ -394,6 +407,11 @@ def simca_acceptance(spark, sf_dir):
 
 @query()
 def svm(spark, sf_dir):
+    return metrics.accuracy(classification.svm(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 3).alias("accuracy"))
+
+
+@query()
+def svm_landmarks(spark, sf_dir):
     return metrics.accuracy(kernel_machines.svm(spectra(spark, sf_dir), "label", 5)).select("n", F.round("accuracy", 4).alias("accuracy"))
 
 

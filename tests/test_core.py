@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from spectrail.functions.arrays import Refused, finite
-from spectrail.operators import classification, decomposition, kernels, outliers, regression, selection, splits
+from spectrail.operators import classification, decomposition, kernels, neighbours, outliers, regression, selection, splits
 from spectrail.operators import preprocess as pre
 from spectrail.operators.factors import training_sets
 
@@ -129,9 +129,9 @@ def test_smo_meets_its_conditions(data):
 
 
 def test_classifiers(table):
-    for got in (classification.pls_da(table, "label", 2), classification.discriminant(table, "label", 2), classification.svm(table, "label", 2), classification.knn(table, table, "label", 1)):
+    for got in (classification.pls_da(table, "label", 2), classification.discriminant(table, "label", 2), classification.svm(table, "label", 2), neighbours.knn(table, table, "label", 1)):
         assert got.count() == 40
-    assert classification.knn(table, table, "label", 1).where("observed <> predicted").count() == 0
+    assert neighbours.knn(table, table, "label", 1).where("observed <> predicted").count() == 0
     assert classification.simca_table(classification.simca(table, "label", 1)).count() == 12
     with pytest.raises(Refused):
         classification.classes_of(table.where("label = 'a'"), "label")
