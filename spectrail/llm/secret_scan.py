@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,10 +59,10 @@ def _values(text: str, reach: int) -> list[tuple[int, int]]:
             while first < len(words) and words[first][1] + reach < lo:
                 first += 1
             near = []
-            for w in words[first:]:
-                if w[0] > end + reach:
+            for k in range(first, len(words)):
+                if words[k][0] > end + reach:
                     break
-                near.append(w)
+                near.append(words[k])
             inside = [w for w in near if w[0] < end and w[1] > lo]
             if near and (not inside or near[0][1] <= lo):
                 out.append((lo, end))
@@ -82,38 +83,62 @@ def _plain(word: str) -> bool:
     return len(word) < 12 or len(word) <= 40 and word.replace("_", "").isalpha()
 
 
-def _identifiers(reach: int):
-    """Identifiers of whole texts with their counts, and those within reach of a sensitive word with theirs."""
+def _measured(text: str, reach: int) -> Iterator[str]:
+    """The tokens between white space that hold a candidate, each once."""
+    last = 0
+    for lo, end in _values(text, reach):
+        if lo >= last:
+            while lo > last and not text[lo - 1].isspace():
+                lo -= 1
+            last = end
+            while last < len(text) and not text[last].isspace():
+                last += 1
+            yield text[lo:last]
 
-    def rows(every: Counter, near: Counter) -> pa.RecordBatch:
+
+def _identifiers(reach: int, candidate_reach: int):
+    """Identifiers of whole texts: their sightings, those in tokens that hold a candidate, and those within reach of a sensitive word."""
+
+    def of(tokens: Counter) -> Counter:
         total: Counter = Counter()
-        for token, n in every.items():
+        for token, n in tokens.items():
             for w in _IDENTIFIER.findall(token):
                 total[w] += n
+        return total
+
+    def rows(every: Counter, measured: Counter, near: Counter) -> pa.RecordBatch:
+        total, held = of(every), of(measured)
         words = [w for w in total | near if _plain(w)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64()), pa.array([near[w] for w in words], pa.int64())], ["word", "n", "near"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (total, held, near))], ["word", "n", "held", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, near = Counter(), Counter()
+        every, measured, near = Counter(), Counter(), Counter()
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
                 every.update(text.split())
+                measured.update(_measured(text, candidate_reach))
                 for lo, hi in _sensitive(text):
                     near.update(_IDENTIFIER.findall(text[max(0, lo - reach) : hi + reach]))
                 if len(every) > _HELD:
-                    yield rows(every, near)
+                    yield rows(every, measured, near)
                     every.clear()
+                    measured.clear()
                     near.clear()
-        yield rows(every, near)
+        yield rows(every, measured, near)
 
     return run
 
 
-def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000, reach: int = 64) -> bytes:
-    """The ``size`` most frequent identifiers of all documents, and behind them, where zstandard finds them cheapest, the ``size`` most frequent ones within ``reach`` characters of a sensitive word; the most frequent last.  Long ones with a digit are left out: they may be the secrets themselves."""
-    counts = docs.select(text_col).mapInArrow(_identifiers(reach), "word string, n bigint, near bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near")).where("n > 1")
-    counts = written(counts)
+def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000, reach: int = 64, candidate_reach: int = 96) -> bytes:
+    """The ``size`` most frequent identifiers of all documents, and behind them, where zstandard finds them cheapest, the ``size`` most frequent ones within ``reach`` characters of a sensitive word; the most frequent last.
+
+    Those that may be the secrets themselves are left out, as a copied document
+    would vouch for its own: long ones with a digit, and those of 12 characters
+    or more that are seen nowhere but in what is measured.
+    """
+    counts = docs.select(text_col).mapInArrow(_identifiers(reach, candidate_reach), "word string, n bigint, held bigint, near bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "held", "near")])
+    counts = written(counts.where((F.col("n") > 1) & ((F.length("word") < 12) | (F.col("n") > F.col("held")))))
     top = lambda by: [r.word for r in counts.where(F.col(by) > 1).orderBy(F.desc(by), "word").limit(size).collect()]
     return " ".join(w for words in (top("n"), top("near")) for w in reversed(words)).encode()
 
@@ -121,7 +146,10 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 2
 class Novelty:
     """Marginal compressed bytes against a dictionary and the text around."""
 
-    def __init__(self, dictionary: bytes, reach: int = 96, level: int = 19):
+    #: Characters on either side of a sensitive word in which strings are measured.
+    REACH = 96
+
+    def __init__(self, dictionary: bytes, reach: int = REACH, level: int = 19):
         primed = zstandard.ZstdCompressionDict(dictionary, zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
         if primed:
             primed.precompute_compress(level=level)
@@ -130,9 +158,14 @@ class Novelty:
 
     def spans(self, text: str, taken: list[tuple[str, int, int]], share: float) -> list[tuple[str, int, int]]:
         """Strings of 12 characters or more within reach on either side of a sensitive word that add ``share`` bytes a character or more and overlap no span taken."""
-        out = []
+        out, last, ends = [], 0, []
+        starts = sorted(a for _, a, _ in taken)
+        for _, _, b in sorted(taken, key=lambda x: x[1]):  # ends[k]: how far the first k + 1 spans reach
+            last = max(last, b)
+            ends.append(last)
         for lo, end in _values(text, self.reach):
-            if any(lo < b and a < end for _, a, b in taken):
+            k = bisect_left(starts, end)
+            if k and ends[k - 1] > lo:
                 continue
             before, after = text[max(0, lo - self.reach) : lo].encode(), text[end : end + self.reach].encode()
             body = text[lo:end].encode()
@@ -153,7 +186,7 @@ def secret_scan(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", te
     kind; an empty table gives no rows; other columns aren't read.
     """
     small_batches(docs.sparkSession)
-    dictionary = identifier_dictionary(docs, text_col, identifiers)
+    dictionary = identifier_dictionary(docs, text_col, identifiers, candidate_reach=Novelty.REACH)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,6 +130,31 @@ def test_novelty_finds_planted_strings_of_any_letters():
     assert sum(bool(scan.spans(t, [], 0.75)) for t in plain) <= 15
 
 
+@pytest.mark.parametrize("copies", [1, 3, 40])
+def test_secrets_of_copied_documents(spark, copies):
+    """Copies of a document don't vouch for the secrets in it, also not for those of letters only."""
+    rng = np.random.default_rng(copies)
+    secret = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 16)) for _ in range(40)]
+    told = ["the session password is {} for the host", "authentication {} of the session", "set bearer_{} here", "{} is the passphrase"]
+    plain = [(1000 + k, " ".join(RNG.choice(WORDS, 50)) + " authentication of configuration_values") for k in range(60)]
+    rows = [(k * copies + c, " ".join(RNG.choice(WORDS, 30)) + " " + told[k % 4].format(s)) for k, s in enumerate(secret) for c in range(copies)]
+    got = by_id(secret_scan(spark.createDataFrame([*rows, *[(10_000 + k, t) for k, t in plain]], "doc_id bigint, text string")))
+    found = sum(any(s in x["value"] for x in got[k * copies + c]["spans"]) for k, s in enumerate(secret) for c in range(copies))
+    assert found >= 30 * copies  # as many as of single documents; some random strings of small letters compress
+    assert not any(x["kind"] == "novel" and "authentication" in x["value"] for r in got.values() for x in r["spans"])
+
+
+def test_secrets_of_long_texts_in_linear_time():
+    novelty, took = Novelty(b"some words of a dictionary"), []
+    for size in (200_000, 2_000_000):
+        text = "token = abcdefghijklm\n" * (size // 22)
+        began = time.perf_counter()
+        spans = base_spans(text)
+        assert novelty.spans(text, spans, 0.75) == [] and len(spans) == size // 22
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("text", ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "api-key={}", "secret_key={}==", "https://a.b/?session={}&x=1", "{} is the passphrase", "private_key = {}", "session " + "of many words " * 5 + "{}"])
 def test_novel_values(text):
     value = "wJalrXUtnFEMI7K8MDENGbPxRfiCY"
