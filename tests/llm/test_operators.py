@@ -130,18 +130,22 @@ def test_novelty_finds_planted_strings_of_any_letters():
     assert sum(bool(scan.spans(t, [], 0.75)) for t in plain) <= 15
 
 
-@pytest.mark.parametrize("copies", [1, 3, 40])
-def test_secrets_of_copied_documents(spark, copies):
-    """Copies of a document don't vouch for the secrets in it, also not for those of letters only."""
-    rng = np.random.default_rng(copies)
+def test_secrets_of_copied_documents(spark):
+    """Copies of a document don't vouch for the secrets in it, also not for those of letters only: what is found in single documents is found in copies."""
+    rng = np.random.default_rng(1)
     secret = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 16)) for _ in range(40)]
     told = ["the session password is {} for the host", "authentication {} of the session", "set bearer_{} here", "{} is the passphrase"]
-    plain = [(1000 + k, " ".join(RNG.choice(WORDS, 50)) + " authentication of configuration_values") for k in range(60)]
-    rows = [(k * copies + c, " ".join(RNG.choice(WORDS, 30)) + " " + told[k % 4].format(s)) for k, s in enumerate(secret) for c in range(copies)]
-    got = by_id(secret_scan(spark.createDataFrame([*rows, *[(10_000 + k, t) for k, t in plain]], "doc_id bigint, text string")))
-    found = sum(any(s in x["value"] for x in got[k * copies + c]["spans"]) for k, s in enumerate(secret) for c in range(copies))
-    assert found >= 30 * copies  # as many as of single documents; some random strings of small letters compress
-    assert not any(x["kind"] == "novel" and "authentication" in x["value"] for r in got.values() for x in r["spans"])
+    around = [" ".join(rng.choice(WORDS, 30)) for _ in secret]
+    plain = [(100_000 + k, " ".join(rng.choice(WORDS, 50)) + " authentication of configuration_values") for k in range(60)]
+    found = {}
+    for copies in (1, 3, 40):
+        rows = [(k * copies + c, around[k] + " " + told[k % 4].format(s)) for k, s in enumerate(secret) for c in range(copies)]
+        got = by_id(secret_scan(spark.createDataFrame([*rows, *plain], "doc_id bigint, text string")))
+        seen = [[any(s in x["value"] for x in got[k * copies + c]["spans"]) for c in range(copies)] for k, s in enumerate(secret)]
+        assert all(len(set(x)) == 1 for x in seen)
+        found[copies] = {k for k, x in enumerate(seen) if x[0]}
+        assert not any(x["kind"] == "novel" and "authentication" in x["value"] for r in got.values() for x in r["spans"])
+    assert len(found[1]) >= 28 and all(len(found[1] - found[c]) <= 2 for c in (3, 40))
 
 
 def test_secrets_of_long_texts_in_linear_time():
