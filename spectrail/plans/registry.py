@@ -6,6 +6,7 @@ label the class; where a response is needed it is element 6, left out of x.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.operators import classification, crossval, decomposition, kernel_machines, metrics, neighbours, outliers, regression, selection, splits
+from spectrail.functions.tables import shared_folder
 from spectrail.operators import preprocess as pre
-from spectrail.plans import results
+from spectrail.operators.order import numbered
+from spectrail.plans import results, routing
+from spectrail.plans.execution import Execution
+from spectrail.plans.pipeline import Node, Pipeline
+from spectrail.plans.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -216,6 +222,72 @@ def svr_landmarks_held_out(spark, sf_dir):
     return metrics.regression_metrics(got).select("n", F.round("rmse", 4).alias("rmse"))
 
 
+
+def _executed(spark: SparkSession, rows: DataFrame, nodes: tuple[Node, ...], version: str) -> Execution:
+    """A pipeline over rows with a store of its own, run once."""
+    run = Execution(Pipeline((Node.of("source", "source"), *nodes)), rows, version, Store(spark, f"{shared_folder(spark)}/pipelines-{uuid.uuid4().hex}"))
+    run.ran = run.run()
+    return run
+
+
+@query(
+    f"{_S}, n as (select count(*) n from s), v as (select sample_idx, label, var_idx, (v - avg(v) over (partition by sample_idx)) / stddev_samp(v) over (partition by sample_idx) v, (sample_idx // ceil(n / 5)::bigint)::int fold from l, n), w as (select fold, var_idx, sum(v) f, count(*) k from v group by all), t as (select var_idx, sum(f) f, sum(k) k from w group by all) select sample_idx, var_idx::int var_idx, round(v.v - (t.f - w.f) / (t.k - w.k), 6) + 0.0 as value from v join w using (fold, var_idx) join t using (var_idx)"
+)
+def executed_display(spark, sf_dir):
+    """What is shown of a centring below a split: each sample less the means of the other folds, read from the stored folds."""
+    nodes = (Node.of("snv", "snv", "source"), Node.of("split", "kfold", "snv", n_splits=5, shuffle=False), Node.of("centre", "mean_centre", "split"))
+    return exploded(_executed(spark, spectra(spark, sf_dir), nodes, "embeddings").matrix("centre").display())
+
+
+FOREST = (
+    Node.of("snv", "snv", "source"), Node.of("snv_centre", "mean_centre", "snv"), Node.of("snv_pca", "pca", "snv_centre", n_components=5),
+    Node.of("msc", "msc", "source"), Node.of("msc_centre", "mean_centre", "msc"), Node.of("msc_pca", "pca", "msc_centre", n_components=5),
+    Node.of("savgol", "savgol", "source", window_length=11, polyorder=2, deriv=1), Node.of("scale", "autoscale", "savgol"), Node.of("scale_pca", "pca", "scale", n_components=5),
+    Node.of("snv_savgol", "savgol", "snv", window_length=11, polyorder=2, deriv=1), Node.of("split", "kfold", "snv_savgol", n_splits=10), Node.of("centre", "mean_centre", "split"), Node.of("held_pca", "pca", "centre", n_components=5),
+)
+
+
+@query()
+def executed_forest(spark, sf_dir):
+    """Four chains with shared prefixes, run twice: what each node did in either run, and its numbers."""
+    first = _executed(spark, spectra(spark, sf_dir), FOREST, "embeddings")
+    second = Execution(first.pipeline, first.source, "embeddings", first.store).run()
+    rows = [(n.id, first.ran.outcome[n.id], second.outcome[n.id], part, name, value) for n in FOREST for part, name, value in second.metrics.get(n.id, [[None, None, None]])]
+    out = spark.createDataFrame(rows, "node string, first_run string, second_run string, part string, metric string, value double")
+    return out.withColumn("value", F.round("value", 6))
+
+
+_FOLD_SUMS = ", ".join(f"sum({a}) {n}" for n, a in (("n", "1"), ("sa", "a"), ("sb", "b"), ("sy", "y"), ("saa", "a * a"), ("sab", "a * b"), ("sbb", "b * b"), ("say", "a * y"), ("sby", "b * y")))
+
+
+@query(f"""
+with s as (select dense_rank() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) r, * from lineitem),
+l as (select l_quantity a, l_discount b, l_extendedprice y, l_suppkey % 5 g from s),
+f as (select g, {_FOLD_SUMS} from l group by g),
+t as (select x.g, {", ".join(f"sum(o.{c}) {c}" for c in ("n", "sa", "sb", "sy", "saa", "sab", "sbb", "say", "sby"))} from f x join f o on o.g <> x.g group by x.g),
+c as (select g, sa / n ma, sb / n mb, sy / n my, saa - sa * sa / n aa, sab - sa * sb / n ab, sbb - sb * sb / n bb, say - sa * sy / n ay, sby - sb * sy / n cy from t),
+b as (select *, (ay * bb - cy * ab) / (aa * bb - ab * ab) b0, (cy * aa - ay * ab) / (aa * bb - ab * ab) b1 from c),
+p as (select l.g, y, my + b0 * (a - ma) + b1 * (b - mb) p from l join b using (g))
+select 'rmsecv' metric, round(sqrt(avg((y - p) * (y - p))), 4) as value from p
+union all select 'q2', round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) from p
+union all select 'rmsecv_fold_' || (dense_rank() over (order by g) - 1), round(sqrt(avg((y - p) * (y - p))), 4) from p group by g
+""")
+def executed_regression(spark, sf_dir):
+    """A regression below a split by groups (supplier modulo 5, in Unicode order), centred without each fold."""
+    at = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    lines = numbered(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*at), *at)
+    rows = lines.select("sample_idx", F.array("l_quantity", "l_discount").alias("x"), F.col("l_extendedprice").alias("price"), (F.col("l_suppkey") % 5).cast("string").alias("depot"))
+    run = _executed(spark, rows, (Node.of("split", "loo", "source", group_by="depot"), Node.of("centre", "mean_centre", "split"), Node.of("model", "mlr", "centre", target="price")), "lineitem")
+    numbers = [(name, round(value, 6 if name == "q2" else 4)) for part, name, value in run.ran.metrics["model"] if part == "cross_validation" and name.startswith(("rmsecv", "q2")) and name != "rmsecv_std"]
+    return spark.createDataFrame(numbers, "metric string, value double")
+
+
+@query(ORACLE_SQL["stratified_train_test"])
+def routed_split(spark, sf_dir):
+    """The declared split picks its way by its columns."""
+    return routing.folds_of(spectra(spark, sf_dir), "train_test", {"test_size": 0.25, "stratify_by": "label"})
+
+
 _LINE = "with l as (select l_extendedprice y, l_quantity a, l_discount b from lineitem), m as (select avg(y) my, avg(a) ma, avg(b) mb, count(*) n from l), c as (select sum((a - ma) * (a - ma)) aa, sum((a - ma) * (b - mb)) ab, sum((b - mb) * (b - mb)) bb, sum((a - ma) * (y - my)) ay, sum((b - mb) * (y - my)) cy from l, m)"
 
 
