@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused
@@ -60,6 +60,11 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     if not lines:
         raise Refused(f"{path} is empty")
     lines[0] = lines[0].removeprefix("﻿")
+    return guessed(lines, path)
+
+
+def guessed(lines: list[str], path: str) -> Layout:
+    """The layout of the first lines of a table, none of them empty."""
     fits = {}
     for d in (",", ";", "\t", "|", _SPACE):
         sizes = [len(_cells(x, d)) for x in lines]
@@ -115,11 +120,25 @@ def read(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFr
     """
     layout = layout or sniff(spark, path)
     sep = layout.delimiter if layout.delimiter == _SPACE else re.escape(layout.delimiter)
-    text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    placed = text.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF("line bigint, value string")  # file order needs a place in each partition
+    placed = numbered_lines(spark, path)
     return laid_out(placed.select("line", F.split(F.trim(F.regexp_replace("value", "^\ufeff", "")), sep).alias("c")), layout)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, value``: the lines that aren't blank, numbered from 0 by file, then place.
+
+    A task reads a stretch of a file from front to back, so a line's place in it
+    is how far its running number is from the stretch's least; the lines of the
+    stretches before give the rest.  There is one row a stretch to add up.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    text = text.where(F.length(F.trim("value")) > 0).withColumn("running", F.monotonically_increasing_id())
+    stretches = text.groupBy("file", "at").agg(F.min("running").alias("least"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = stretches.select("file", "at", (before - F.col("least")).alias("shift"))
+    return text.join(F.broadcast(known), ["file", "at"]).select((F.col("running") + F.col("shift")).alias("line"), "value")
+
+
 def preview(spark: SparkSession, path: str, rows: int = 20, layout: Layout | None = None) -> tuple[Layout, list[list[str]]]:
     """The layout, and the cells of the first lines that aren't empty, the header included."""
     layout = layout or sniff(spark, path)

@@ -82,10 +82,13 @@ def jcamp(content: bytes) -> Iterator[Spectrum]:
 
 
 def spc(content: bytes) -> Iterator[Spectrum]:
-    """New-format files with even or shared x, one spectrum or many."""
+    """Files of the new format with even or shared x, and of the old one; one spectrum or many."""
     flags, version = content[0], content[1]
+    if version == 0x4D:
+        yield from _old_spc(content, bool(flags & 0x01), bool(flags & 0x04))
+        return
     if version != 0x4B:
-        raise Refused(f"SPC version {version:#x} isn't read")
+        raise Refused("big-endian SPC files aren't read" if version == 0x4C else f"SPC version {version:#x} isn't read")
     if flags & 0x40:
         raise Refused("files with an x array for each spectrum aren't read")
     exponent, points = struct.unpack_from("<b", content, 3)[0], struct.unpack_from("<i", content, 4)[0]
@@ -108,6 +111,27 @@ def spc(content: bytes) -> Iterator[Spectrum]:
         yield str(k), x, y
 
 
+def _old_spc(content: bytes, short: bool, many: bool) -> Iterator[Spectrum]:
+    """The old format: even x, a header of 256 bytes of which the last 32 are the first spectrum's own, as many spectra as the file has room for.
+
+    Integers are two words of 16 bits, the high one first, or a single word;
+    either way a fraction, times two to the exponent: the file's, or, where
+    there are many spectra, each one's own.
+    """
+    exponent, points, first, last = struct.unpack_from("<hfff", content, 2)
+    points, unit = int(points), "<i2" if short else "<u2"
+    size = 32 + points * (2 if short else 4)
+    room = (len(content) - 224) // size if points > 0 else 0
+    if room < 1:
+        raise Refused(f"an old SPC file of {len(content)} bytes has no room for {points} points")
+    for k in range(room if many else 1):
+        start = 224 + k * size
+        scale = struct.unpack_from("<b", content, start + 1)[0] if many else exponent
+        words = np.frombuffer(content, unit, points * (1 if short else 2), start + 32)
+        whole = words / 2.0**16 if short else np.ascontiguousarray(words.reshape(-1, 2)[:, ::-1]).view("<i4").ravel() / 2.0**32
+        yield str(k), np.linspace(first, last, points), whole * 2.0**scale
+
+
 def asd(content: bytes) -> Iterator[Spectrum]:
     """Reflectance is the spectrum over the white reference, where the file holds one."""
     if content[:3] not in (b"ASD", b"as2", b"as3", b"as4", b"as5", b"as6", b"as7", b"as8"):
