@@ -11,7 +11,7 @@ folds only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,19 +21,21 @@ from pyspark.sql import functions as F
 from spectrail.functions.arrays import Refused
 from spectrail.functions.quantiles import spe_limit, t2_limit
 
-from . import kernels
+from . import kernels, scorers
 from .classification import classes_of
 from .decomposition import Group
-from .factors import Fitted, fold_factors, stacked
+from .factors import Fitted, factor, fold_factors, stacked
 from .neighbours import knn
 
 
 @dataclass
 class Model:
-    """scores(X), a column for each class (or one, cut at 0.5), and the classes' positions in order of preference."""
+    """scores(X), a column for each class (or one, cut at 0.5), the largest (or least) of which counts; what it is made of, to be stored."""
 
     scores: Callable[[np.ndarray], np.ndarray]
     largest: bool = True
+    kind: str = ""
+    arrays: dict[str, np.ndarray] = field(default_factory=dict)
 
     def picked(self, scores: np.ndarray) -> np.ndarray:
         if scores.shape[1] == 1:
@@ -49,7 +51,7 @@ def training_groups(df: DataFrame, label: str, fold: str = "fold", x: str = "x")
     """The classes, and for each fold every class's rows outside it; a fold that leaves a class or all but one without rows is refused."""
     classes = classes_of(df, label)
     cell = F.col(fold).cast("int") * len(classes) + F.array_position(F.lit(classes), F.col(label)).cast("int") - 1
-    cells = {divmod(r.fold, len(classes)): (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 1)) for r in fold_factors(df.where(F.col(label).isNotNull()).withColumn("_cell", cell), [], "_cell", x).collect()}
+    cells = {divmod(r.fold, len(classes)): factor(r, 0) for r in fold_factors(df.where(F.col(label).isNotNull()).withColumn("_cell", cell), [], "_cell", x).collect()}
     folds = sorted({k for k, _ in cells})
     if len(folds) < 2:
         raise Refused("cross-validation needs two folds or more")
@@ -77,8 +79,8 @@ def coded(groups: list[Group]) -> Fitted:
 
 
 def _linear(m: Fitted, b: np.ndarray) -> Model:
-    b = b.reshape(len(m.x_mean), -1)
-    return Model(lambda x: (x - m.x_mean) @ b + m.y_mean)
+    arrays = {"b": b.reshape(len(m.x_mean), -1), "x_mean": m.x_mean, "y_mean": m.y_mean}
+    return Model(scorers.linear(arrays), True, "classes", arrays)
 
 
 def pls_da(components: int) -> Builder:
@@ -124,11 +126,9 @@ def discriminant(components: int, quadratic: bool = False, reg: float = 0.0) ->
                 raise Refused(f"the covariance of class number {k} is singular")
             forms.append((vectors / values @ vectors.T, prior[k] - 0.5 * np.log(values).sum()))
 
-        def scores(x: np.ndarray) -> np.ndarray:
-            t = (x - whole.mean) @ p
-            return np.stack([constant - 0.5 * (((t - m) @ inverse) * (t - m)).sum(1) for m, (inverse, constant) in zip(means, forms, strict=True)], 1)
-
-        return Model(scores)
+        inverses, constants = (np.stack(v) for v in zip(*forms, strict=True))
+        arrays = {"x_mean": whole.mean, "loadings": p, "centres": np.stack(means), "inverses": inverses, "constants": constants}
+        return Model(scorers.discriminant(arrays), True, "discriminant", arrays)
 
     return build
 
@@ -141,18 +141,9 @@ def simca(components: int, alpha: float = 0.05) -> Builder:
         for g in groups:
             model = kernels.pca(g.centred, components, g.n)
             spe = spe_limit(model.eigenvalues, components, alpha) if components < len(model.eigenvalues) else 0.0
-            parts.append((g.mean, model.loadings, model.eigenvalues[:components], t2_limit(g.n, components, alpha, True), spe))
-
-        def scores(x: np.ndarray) -> np.ndarray:
-            out = []
-            for mean, p, values, t2_top, spe_top in parts:
-                c = x - mean
-                t = c @ p
-                h = (t**2 / values).sum(1) / t2_top
-                out.append(np.maximum(h, np.maximum((c * c).sum(1) - (t * t).sum(1), 0) / spe_top) if spe_top else h)
-            return np.stack(out, 1)
-
-        return Model(scores, largest=False)
+            parts.append((g.mean, model.loadings, model.eigenvalues[:components], np.array([t2_limit(g.n, components, alpha, True), spe])))
+        arrays = dict(zip(("means", "loadings", "eigenvalues", "limits"), (np.stack(v) for v in zip(*parts, strict=True)), strict=True))
+        return Model(scorers.simca(arrays), False, "simca", arrays)
 
     return build
 

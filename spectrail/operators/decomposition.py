@@ -14,7 +14,7 @@ from spectrail.functions.arrays import dot, literal
 from spectrail.functions.quantiles import spe_limit, t2_limit
 
 from . import kernels
-from .factors import fold_factors, training_sets
+from .factors import factor, fold_factors, training_sets
 
 
 def fit_pca(df: DataFrame, components: int, x: str = "x", centre: bool = True) -> tuple[kernels.Pca, np.ndarray]:
@@ -61,7 +61,7 @@ def class_models(df: DataFrame, label: str, x: str = "x") -> dict[object, Group]
     """The rows of every class from one pass; rows without a label are left out."""
     names = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]  # classes are few
     coded = df.where(F.col(label).isNotNull()).withColumn("_class", F.array_position(F.lit(names), F.col(label)).cast("int") - 1)
-    found = {r.fold: Group(r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 1)) for r in fold_factors(coded, [], "_class", x).collect()}
+    found = {r.fold: Group(*factor(r, 0)) for r in fold_factors(coded, [], "_class", x).collect()}
     return {name: found[k] for k, name in enumerate(names)}
 
 

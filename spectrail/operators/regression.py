@@ -13,7 +13,7 @@ from spectrail.functions import quantiles
 from spectrail.functions.arrays import Refused, dot, literal
 
 from . import dual, kernels
-from .factors import Fitted, training_sets
+from .factors import Fitted, fold_fits, training_sets
 
 #: A fit gives coefficients of the centred variables, one row for each number of components or grid value.
 Fit = Callable[[Fitted], np.ndarray]
@@ -76,10 +76,10 @@ def cross_validated(df: DataFrame, y: str, fit: Fit, fold: str = "fold", x: str
     Centring is part of the fit.  The folds' coefficients go out with the
     scoring tasks; they don't grow with the samples.
     """
-    _, folds = training_sets(df, [y], fold, x)
-    if not folds:
+    found = fold_fits(df, [y], fit, fold, x)
+    if len(found) < 2:
         raise Refused("cross-validation needs two folds or more")
-    models = {k: (fit(m), m.x_mean, float(m.y_mean[0])) for k, m in folds.items()}
+    models = {k: (b, x_mean, float(y_mean[0])) for k, (b, x_mean, y_mean) in found.items()}
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spectrail.functions.arrays import Refused
 
 from . import kernels
-from .factors import Fitted, fold_factors, training_sets, weighted_factors
+from .factors import Fitted, factor, fold_factors, training_sets, weighted_factors
 from .order import numbered, shuffled_key
 
 
@@ -33,7 +33,7 @@ class FoldErrors:
 
     def __init__(self, df: DataFrame, y: str, fold: str = "fold", x: str = "x"):
         got = fold_factors(df, [y], fold, x).collect()
-        self.parts = {r.fold: (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 2)) for r in got}
+        self.parts = {r.fold: factor(r, 1) for r in got}
         if len(self.parts) < 2:
             raise Refused("a search needs two folds or more")
         self.width, self.df, self.y, self.x = got[0].width, df, y, x
@@ -85,7 +85,7 @@ def cars(df: DataFrame, errors: FoldErrors, y: str, components: int, runs: int =
     Rows are sampled by leaving out a fifth of fine folds of rows, so that each
     run's fit is again a sum of R factors.
     """
-    fine = {r.fold: (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 2)) for r in fold_factors(df.withColumn("_fine", F.pmod(F.col("sample_idx"), F.lit(20)).cast("int")), [y], "_fine", x).collect()}
+    fine = {r.fold: factor(r, 1) for r in fold_factors(df.withColumn("_fine", F.pmod(F.col("sample_idx"), F.lit(20)).cast("int")), [y], "_fine", x).collect()}
     rng, p = np.random.default_rng(seed), errors.width
     rate = np.log(p / 2) / (runs - 1)
     left, best = np.arange(p), (np.inf, [])
@@ -177,7 +177,7 @@ def permutation_test(df: DataFrame, y: str, components: int, repeats: int = 100,
     """
     targets = [y, *[f"_p{k}" for k in range(repeats)]]
     joined = _permuted(df.select("sample_idx", F.col(fold).alias(fold), F.col(y).cast("double").alias(y), F.col(x).alias(x)), y, repeats, seed)
-    got = {r.fold: (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + len(targets) + 1)) for r in fold_factors(joined, targets, fold, x).collect()}
+    got = {r.fold: factor(r, len(targets)) for r in fold_factors(joined, targets, fold, x).collect()}
     n = sum(v[0] for v in got.values())
     width = next(iter(got.values()))[1].shape[1] - len(targets) - 1
     sse = np.zeros(len(targets))
@@ -209,7 +209,7 @@ def bootstrap_coefficients(df: DataFrame, y: str, components: int, repeats: int
 
     out = []
     for r in weighted_factors(df, [y], weights, x).collect():
-        m = Fitted.of([(r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 2))], 1)
+        m = Fitted.of([factor(r, 1)], 1)
         out.append(kernels.pls(m.x, m.y[:, 0], components, m.n).coefficients())
     lo, hi = np.quantile(np.stack(out), [(1 - level) / 2, (1 + level) / 2], axis=0)
     return df.sparkSession.createDataFrame(pd.DataFrame({"var_idx": np.arange(len(lo)), "lo": lo, "hi": hi}))
@@ -226,7 +226,7 @@ def nested(df: DataFrame, y: str, components: int, select, inner: int = 5, fold:
         b = kernels.pls(whole.x[:, columns], whole.y[:, 0], min(components, len(columns)), whole.n).coefficients()
         held = fold_factors(df.where(F.col(fold) == r[0]), [y], fold, x).collect()
         for h in held:
-            m = np.frombuffer(h.r, "<f8").reshape(-1, h.width + 2)
+            m = factor(h, 1)[1]
             e = m[:, -1] - m[:, 1 + columns] @ b - m[:, 0] * (whole.y_mean[0] - whole.x_mean[columns] @ b)
             sse, n = sse + float(e @ e), n + h.n
     return float(np.sqrt(sse / n))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused, block
 from spectrail.functions.quantiles import t2_limit
-from spectrail.operators import classification, crossval, dual, kernels, metrics, neighbours, regression
+from spectrail.operators import classification, crossval, dual, kernels, metrics, neighbours, regression, scorers
 from spectrail.operators.decomposition import Group, limits
 
 from .models import Model
@@ -31,6 +31,9 @@ class Found:
     model: Model | None = None
 
 
+#: Most stored rows (neighbours) or support vectors of a model that can be applied later; with more, a node has its results and no such model.
+MOST_POINTS = 100_000
+
 #: Options of each estimator; those without a default must be given.
 OPTIONS = {
     "pca": {"n_components": None, "alpha": 0.05},
@@ -106,14 +109,7 @@ def _pca(m, o: dict) -> Found:
     a = o["n_components"]
     fits = {k: (f, kernels.pca(f.x, a, f.n)) for k, f in _with(m, _y=F.lit(0.0)).factors(["_y"]).items()}
 
-    def distances(f, p) -> Callable[[np.ndarray], np.ndarray]:
-        def run(x: np.ndarray) -> np.ndarray:
-            c = x - f.x_mean
-            t = c @ p.loadings
-            return np.column_stack([t, (t**2 / p.eigenvalues[:a]).sum(1), np.maximum((c * c).sum(1) - (t * t).sum(1), 0)])
-
-        return run
-
+    distances = lambda f, p: scorers.components({"loadings": p.loadings, "eigenvalues": p.eigenvalues, "x_mean": f.x_mean})
     whole, model = fits[ALL]
     top = limits(model, o["alpha"])
     new = t2_limit(model.n, a, o["alpha"], True)
@@ -185,32 +181,18 @@ def _class_rows(m, models: dict[int, crossval.Model], label: str, classes: list)
     return rows.select("sample_idx", "part", "fold", F.col(label).alias("observed"), F.get(F.lit(classes), F.get("scores", last).cast("int")).alias("predicted"), F.slice("scores", F.lit(1), last).alias("scores"))
 
 
-def _classes(builder: Callable[[dict], crossval.Builder], linear: Callable[[dict, list[Group]], tuple] | None = None):
+def _classes(builder: Callable[[dict], crossval.Builder]):
     def run(m, o: dict) -> Found:
         m = _with(m, _label=_target(m, o["class_column"]))
         classes = classification.classes_of(m.everything(), "_label")
         groups = m.groups("_label", classes)
         build = builder(o)
-        rows = _class_rows(m, {k: build(g) for k, g in groups.items()}, "_label", classes)
-        model = None
-        if linear is not None:
-            b, x_mean, y_mean = linear(o, groups[ALL])
-            model = Model("classes", {"b": b, "x_mean": x_mean, "y_mean": y_mean}, classes=classes)
-        return Found(rows, _class_numbers, model)
+        models = {k: build(g) for k, g in groups.items()}
+        return Found(_class_rows(m, models, "_label", classes), _class_numbers, Model(models[ALL].kind, models[ALL].arrays, classes=classes))
 
     return run
 
 
-def _plsda_arrays(o: dict, groups: list[Group]) -> tuple:
-    f = crossval.coded(groups)
-    return kernels.pls(f.x, f.y[:, 0] if f.y.shape[1] == 1 else f.y, o["n_components"], f.n).coefficients().reshape(len(f.x_mean), -1), f.x_mean, f.y_mean
-
-
-def _oplsda_arrays(o: dict, groups: list[Group]) -> tuple:
-    f = crossval.coded(groups)
-    return kernels.opls(f.x, f.y[:, 0], o["n_orthogonal"], f.n)[0].reshape(-1, 1), f.x_mean, f.y_mean
-
-
 def _fronts(m, components: int) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """Of each version: means, loadings, and the variance of all score values together."""
     out = {}
@@ -235,7 +217,14 @@ def _knn(m, o: dict) -> Found:
     m = _with(m, _label=_target(m, o["class_column"]))
     fronts = _fronts(m, o["n_components"])
     one = lambda k, train, queries: neighbours.knn(_projected(train, fronts[k]), _projected(queries, fronts[k]), "_label", o["k"], "_t")
-    return Found(_parts(m, one).select("sample_idx", "part", "fold", "observed", "predicted"), _class_numbers)
+    mean, loadings, _ = fronts[ALL]
+    stored, model = _projected(m.everything(), fronts[ALL]).select("sample_idx", "_t", "_label").limit(MOST_POINTS + 1).collect(), None
+    if len(stored) <= MOST_POINTS:
+        classes = classification.classes_of(m.everything(), "_label")
+        stored.sort(key=lambda r: r["sample_idx"])
+        points, of = np.array([r["_t"] for r in stored]), np.array([classes.index(r["_label"]) for r in stored], float)
+        model = Model("neighbours", {"x_mean": mean, "loadings": loadings, "points": points, "of": of, "k": np.array([o["k"]]), "n_classes": np.array([len(classes)])}, classes=classes)
+    return Found(_parts(m, one).select("sample_idx", "part", "fold", "observed", "predicted"), _class_numbers, model)
 
 
 def _logistic(m, o: dict) -> Found:
@@ -247,18 +236,9 @@ def _logistic(m, o: dict) -> Found:
     for k in m.versions:
         rows = _projected(m.pair(k)[0], fronts[k]).select(array_to_vector("_t").alias("features"), (F.array_position(F.lit(classes), F.col("_label")) - 1).cast("double").alias("label"))
         fit = LogisticRegression(regParam=1 / (o["C"] * rows.count()), standardization=False, family="binomial" if len(classes) == 2 else "multinomial", tol=1e-9, maxIter=500).fit(rows)
-        models[k] = _logistic_model(fronts[k], fit.coefficientMatrix.toArray(), fit.interceptVector.toArray())
-    return Found(_class_rows(m, models, "_label", classes), _class_numbers)
-
-
-def _logistic_model(front: tuple, weights: np.ndarray, constant: np.ndarray) -> crossval.Model:
-    mean, loadings, _ = front
-
-    def scores(x: np.ndarray) -> np.ndarray:
-        z = (x - mean) @ loadings @ weights.T + constant
-        return 1 / (1 + np.exp(-z)) if z.shape[1] == 1 else z
-
-    return crossval.Model(scores)
+        arrays = {"x_mean": fronts[k][0], "loadings": fronts[k][1], "weights": fit.coefficientMatrix.toArray(), "constants": fit.interceptVector.toArray()}
+        models[k] = crossval.Model(scorers.logistic(arrays), True, "logistic", arrays)
+    return Found(_class_rows(m, models, "_label", classes), _class_numbers, Model("logistic", models[ALL].arrays, classes=classes))
 
 
 def _gamma(o: dict, front: tuple) -> float:
@@ -271,7 +251,24 @@ def _svr(m, o: dict) -> Found:
     rows = dual.svr_rows(_machines(m, fronts, ["_y"]), "_y", o["C"], o["epsilon"])
     solved = dual.solve(rows, o["kernel"], {k: _gamma(o, f) for k, f in fronts.items()})
     found = solved.decided().where("learns = (machine = -1) and asked").select("sample_idx", F.col("machine").alias("fold"), "y", F.col("decision").alias("p"))
-    return Found(found.withColumn("part", F.when(F.col("fold") == ALL, "calibration").otherwise("cross_validation")), _regression_numbers(o["n_components"]))
+    model = _machine_model("kernel_regression", o, fronts[ALL], solved, F.col("machine") == ALL, [ALL])
+    return Found(found.withColumn("part", F.when(F.col("fold") == ALL, "calibration").otherwise("cross_validation")), _regression_numbers(o["n_components"]), model)
+
+
+def _machine_model(kind: str, o: dict, front: tuple, solved: dual.Solved, where, machines: list[int], **more) -> Model | None:
+    """The support vectors of some machines, each row once with a weight a machine; None if they are more than MOST_POINTS."""
+    got = solved.support(where, MOST_POINTS)
+    if got is None:
+        return None
+    place: dict[tuple, int] = {}
+    for r in got:
+        place.setdefault(tuple(r["t"]), len(place))
+    beta = np.zeros((len(machines), len(place)))
+    for r in got:
+        beta[machines.index(r["machine"]), place[tuple(r["t"])]] += r["beta"]
+    arrays = {"x_mean": front[0], "loadings": front[1], "points": np.array(list(place)).reshape(len(place), -1), "beta": beta, "constants": np.array([solved.constant.get(k, 0.0) for k in machines]), "gamma": np.array([_gamma(o, front)]), "linear": np.array([float(o["kernel"] == "linear")])}
+    classes = more.pop("classes", [])
+    return Model(kind, arrays | more, classes=classes)
 
 
 def _machines(m, fronts: dict[int, tuple], keep: list[str]) -> DataFrame:
@@ -289,9 +286,11 @@ def _machines(m, fronts: dict[int, tuple], keep: list[str]) -> DataFrame:
 def _svm(m, o: dict) -> Found:
     m = _with(m, _label=_target(m, o["class_column"]))
     classes, fronts = classification.classes_of(m.everything(), "_label"), _fronts(m, o["n_components"])
-    voted = dual.svm_votes(_machines(m, fronts, ["_label"]), "_label", classes, o["kernel"], {k: _gamma(o, f) for k, f in fronts.items()}, o["C"])
-    found = voted.where("learns = (machine = -1)").select("sample_idx", F.col("machine").alias("fold"), "observed", "predicted")
-    return Found(found.withColumn("part", F.when(F.col("fold") == ALL, "calibration").otherwise("cross_validation")), _class_numbers)
+    solved, pairs = dual.svm_solved(_machines(m, fronts, ["_label"]), "_label", classes, o["kernel"], {k: _gamma(o, f) for k, f in fronts.items()}, o["C"])
+    found = dual.svm_votes(solved, classes).where("learns = (machine = -1)").select("sample_idx", F.col("machine").alias("fold"), "observed", "predicted")
+    first = sorted(fronts).index(ALL) * len(pairs)
+    model = _machine_model("machines", o, fronts[ALL], solved, F.col("owner") == ALL, list(range(first, first + len(pairs))), classes=classes, pairs=np.array(pairs, float), n_classes=np.array([len(classes)]))
+    return Found(found.withColumn("part", F.when(F.col("fold") == ALL, "calibration").otherwise("cross_validation")), _class_numbers, model)
 
 
 #: What runs each kind of estimator.
@@ -304,8 +303,8 @@ _KINDS = {
     "mlr": _linear(lambda o: regression.mlr_fit, lambda o: -1),
     "opls": _linear(lambda o: regression.opls_path(o["n_orthogonal"]), lambda o: 1 + o["n_orthogonal"]),
     "svr": _svr,
-    "plsda": _classes(lambda o: crossval.pls_da(o["n_components"]), _plsda_arrays),
-    "oplsda": _classes(lambda o: crossval.opls_da(o["n_orthogonal"]), _oplsda_arrays),
+    "plsda": _classes(lambda o: crossval.pls_da(o["n_components"])),
+    "oplsda": _classes(lambda o: crossval.opls_da(o["n_orthogonal"])),
     "lda": _classes(lambda o: crossval.discriminant(o["n_components"])),
     "qda": _classes(lambda o: crossval.discriminant(o["n_components"], True, o["reg_param"])),
     "simca": _classes(lambda o: crossval.simca(o["n_components"], o["alpha"])),

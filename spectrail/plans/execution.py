@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused, finite
 from spectrail.operators import preprocess as pre
-from spectrail.operators.factors import Fitted, fold_factors, stacked
+from spectrail.operators.factors import Fitted, factor, fold_factors, stacked
 
 from . import estimators, routing
 from .pipeline import ESTIMATORS, SPLITS, Node, Pipeline
@@ -87,7 +87,7 @@ class Matrix:
 
     def factors(self, targets: list[str]) -> dict[int, Fitted]:
         """Means and R factors of variables and targets over each version's training rows, from one pass."""
-        parts = {r.fold: (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + len(targets) + 1)) for r in fold_factors(self.training(), targets).collect()}
+        parts = {r.fold: factor(r, len(targets)) for r in fold_factors(self.training(), targets).collect()}
         return self._merged(parts, lambda p: Fitted.of(p, len(targets)))
 
     def groups(self, label: str, classes: list) -> dict[int, list[estimators.Group]]:
@@ -97,7 +97,7 @@ class Matrix:
         cells: list[dict] = [{} for _ in classes]
         for r in fold_factors(rows.withColumn("_cell", cell), [], "_cell").collect():
             fold, c = divmod(r.fold, n)
-            cells[c][fold + NEVER] = (r.n, np.frombuffer(r.r, "<f8").reshape(-1, r.width + 1))
+            cells[c][fold + NEVER] = factor(r, 0)
         out: dict[int, list] = {k: [] for k in self.versions}
         for c, parts in enumerate(cells):
             merged = self._merged(parts, lambda p: estimators.Group(sum(n for n, _ in p), stacked([r for _, r in p])) if p else None)

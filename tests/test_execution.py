@@ -196,3 +196,34 @@ def test_routing(spark, table):
     with pytest.raises(Refused, match="null"):
         routing.folds_of(table.withColumn("site", F.when(F.col("sample_idx") > 0, F.col("site"))), "kfold", {"group_by": "site"})
     assert ALL == -1
+
+
+def test_models_of_every_estimator_score_streams(spark, table, tmp_path):
+    """What a node stores scores later rows as the node scored its own, in batches and streams."""
+    kinds = {
+        "simca": {"n_components": 2}, "lda": {"n_components": 2}, "qda": {"n_components": 2}, "knn": {"n_components": 2, "k": 5}, "logistic": {"n_components": 2}, "svm": {"n_components": 2}, "plsda": {"n_components": 2},
+    }
+    nodes = [Node.of("source", "source"), Node.of("snv", "snv", "source"), Node.of("scale", "autoscale", "snv")]
+    nodes += [Node.of(k, k, "scale", class_column="kind", **o) for k, o in kinds.items()]
+    nodes += [Node.of("two_logistic", "logistic", "scale", class_column="half", n_components=2), Node.of("svr", "svr", "scale", target="y", n_components=2, C=5.0), Node.of("pca", "pca", "scale", n_components=2)]
+    source = table.withColumn("half", F.col("sample_idx") % 2)
+    run = Execution(Pipeline(tuple(nodes)), source, "v1", Store(spark, str(tmp_path / "store")))
+    run.run()
+    rows = table.select("sample_idx", "x")
+    rows.write.parquet(str(tmp_path / "rows"))
+    for node in [*kinds, "two_logistic", "svr", "pca"]:
+        model = Model.load(spark, run.known[node].files["model"])
+        batch = {r.sample_idx: r for r in model.apply(rows).collect()}
+        own = {r.sample_idx: r for r in run.results(node).where("part = 'calibration'").collect()}
+        field = "p" if node == "svr" else "t2" if node == "pca" else "predicted"
+        for i in range(N):
+            assert np.isclose(batch[i][field], own[i][field], atol=1e-6) if field != "predicted" else batch[i][field] == own[i][field], (node, i)
+        if node == "simca":
+            assert all(("abc"[k] in batch[i].accepted) == (own[i].scores[k] <= 1) for i in range(N) for k in range(3))
+        stream = model.apply(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))).writeStream.format("parquet").option("path", str(tmp_path / f"out-{node}")).option("checkpointLocation", str(tmp_path / f"marks-{node}")).trigger(availableNow=True).start()
+        stream.awaitTermination(120)
+        streamed = {r.sample_idx: r[field] for r in spark.read.parquet(str(tmp_path / f"out-{node}")).collect()}
+        assert streamed == {i: batch[i][field] for i in range(N)}
+        if node not in ("plsda", "svr", "pca"):
+            with pytest.raises(Refused, match="no coefficients"):
+                model.coefficients()
