@@ -17,7 +17,7 @@ from spectrail.operators import classification, crossval, decomposition, kernel_
 from spectrail.functions.tables import shared_folder
 from spectrail.operators import preprocess as pre
 from spectrail.operators.order import numbered
-from spectrail.plans import results, routing
+from spectrail.plans import oracles, results, routing
 from spectrail.plans.execution import Execution
 from spectrail.plans.pipeline import Node, Pipeline
 from spectrail.plans.store import Store
@@ -92,7 +92,7 @@ _step(
     lambda: pre.Gaussian(1.0),
     _listed("list_transform(range(64), lambda j: list_sum(list_transform(range(greatest(j - 4, 0), least(j + 4, 63) + 1), lambda i: x[i + 1] * exp(-0.5 * (i - j) * (i - j)))) / list_sum(list_transform(range(greatest(j - 4, 0), least(j + 4, 63) + 1), lambda i: exp(-0.5 * (i - j) * (i - j)))))"),
 )
-_step("whittaker_smoother", lambda: pre.Whittaker(100.0), None)
+_step("whittaker_smoother", lambda: pre.Whittaker(100.0), oracles.whittaker(100.0))
 _step("baseline_asls", pre.Baseline, None)
 _step("baseline_rubberband", lambda: pre.Baseline("rubberband"), None)
 _step(
@@ -181,26 +181,26 @@ def rmsecv_by_fold(spark, sf_dir):
     return metrics.cross_validation(got).select("fold", "n", F.round("rmsecv", 6).alias("rmsecv"))
 
 
-@query()
+@query(oracles.pls_curve(1, 5, oracles.SNV))
 def rmsecv_curve(spark, sf_dir):
     """The flagship: SNV, five folds, centring and five components of partial least squares refitted in each."""
     df = pre.Snv().transform(supervised(spark, sf_dir))
     return regression.rmsecv_curve(df, "y", regression.pls_path(5)).select("a", F.round("rmsecv", 8).alias("rmsecv"), F.round("q2", 8).alias("q2"))
 
 
-def _curve(name: str, fit: Callable[[], regression.Fit]) -> None:
+def _curve(name: str, fit: Callable[[], regression.Fit], sql: str | None = None) -> None:
     def run(spark, sf_dir):
         return regression.rmsecv_curve(supervised(spark, sf_dir), "y", fit()).select("a", F.round("rmsecv", 6).alias("rmsecv"), F.round("q2", 6).alias("q2"))
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
 _curve("pcr_curve", lambda: regression.pcr_path(5))
-_curve("opls_curve", lambda: regression.opls_path(3))
-_curve("ridge_curve", lambda: regression.ridge_path([0.01, 1.0, 100.0]))
+_curve("opls_curve", lambda: regression.opls_path(3), oracles.pls_curve(1, 4, digits=6))
+_curve("ridge_curve", lambda: regression.ridge_path([0.01, 1.0, 100.0]), oracles.ridge_curve([0.01, 1.0, 100.0]))
 _curve("elastic_net_curve", lambda: regression.elastic_net_path([0.1, 0.01, 0.001]))
-_curve("mlr_error", lambda: regression.mlr_fit)
+_curve("mlr_error", lambda: regression.mlr_fit, oracles.ridge_curve([0.0]))
 
 
 @query()
@@ -537,7 +537,7 @@ def dummy_rmse(spark, sf_dir):
     return got.select(F.round("rmse", 8).alias("rmse"))
 
 
-@query()
+@query(oracles.pls_explained(5))
 def pls_explained(spark, sf_dir):
     got = regression.pls_explained(supervised(spark, sf_dir), "y", 5)
     return got.select("a", *[F.round(c, 8).alias(c) for c in ("x", "y", "x_total", "y_total")])
@@ -549,7 +549,7 @@ def pls_distances(spark, sf_dir):
     return got.select("sample_idx", *[F.round(c, 6).alias(c) for c in ("t2", "t2_limit", "spe", "spe_limit")])
 
 
-@query()
+@query(oracles.regression_result(3, 5))
 def regression_result(spark, sf_dir):
     """All numbers of a model of three components, in and out of sample."""
     got = results.regression_result(supervised(spark, sf_dir), "y", regression.pls_path(5), 2)
