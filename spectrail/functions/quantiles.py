@@ -48,6 +48,13 @@ def spe_limit(eigenvalues, a: int, alpha: float = 0.05) -> float:
     return t1 * inner ** (1 / h)
 
 
+def spe_caveat(eigenvalues, a: int) -> str | None:
+    """What must be said of ``spe_limit``: where its exponent isn't positive the approximation is used outside the range it was made for."""
+    t1, t2, t3 = (sum(float(v) ** k for v in eigenvalues[a:]) for k in (1, 2, 3))
+    h = 1 - 2 * t1 * t3 / (3 * t2 * t2) if t2 else 1.0
+    return f"the residual limit's exponent is {h:.3g}, not above zero: a few of the discarded components hold most of the residual, and the limit is a rough one" if h <= 0 else None
+
+
 def moment_limit(values, alpha: float = 0.05) -> float:
     """Chi-squared with mean and variance of the residuals."""
     import numpy as np

@@ -82,10 +82,11 @@ def ipls(errors: FoldErrors, k: int, components: int) -> tuple[list[Interval], l
 def cars(df: DataFrame, errors: FoldErrors, y: str, components: int, runs: int = 50, seed: int = 0, x: str = "x") -> tuple[list[int], float]:
     """Competitive adaptive reweighted sampling: the subset of least cross-validated error, the first of equals.
 
-    Rows are sampled by leaving out a fifth of fine folds of rows, so that each
-    run's fit is again a sum of R factors.
+    Rows are sampled by leaving out a fifth of twenty groups of rows, so that each
+    run's fit is again a sum of R factors; a row's group is a hash of seed and
+    sample_idx, whatever period the samples have.
     """
-    fine = {r.fold: factor(r, 1) for r in fold_factors(df.withColumn("_fine", F.pmod(F.col("sample_idx"), F.lit(20)).cast("int")), [y], "_fine", x).collect()}
+    fine = {r.fold: factor(r, 1) for r in fold_factors(df.withColumn("_fine", F.pmod(shuffled_key(seed, "sample_idx"), F.lit(20)).cast("int")), [y], "_fine", x).collect()}
     rng, p = np.random.default_rng(seed), errors.width
     rate = np.log(p / 2) / (runs - 1)
     left, best = np.arange(p), (np.inf, [])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused, block
-from spectrail.functions.quantiles import t2_limit
+from spectrail.functions.quantiles import spe_caveat, t2_limit
 from spectrail.operators import classification, crossval, dual, kernels, metrics, neighbours, regression, scorers
 from spectrail.operators.decomposition import Group, limits
 
@@ -120,6 +120,9 @@ def _pca(m, o: dict) -> Found:
     def numbers(stored: DataFrame) -> list[list]:
         out = [["calibration", "t2_limit", float(top["t2"])], ["calibration", "spe_limit", float(top["spe"])]]
         out += [["calibration", f"explained_{k + 1}", float(v)] for k, v in enumerate(model.explained)]
+        out += [["calibration", f"total_{k + 1}", float(v)] for k, v in enumerate(np.cumsum(model.explained))]
+        if spe_caveat(model.eigenvalues, a) is not None:
+            out.append(["calibration", "spe_limit_is_rough", 1.0])
         for r in stored.groupBy("part").agg(F.avg(F.col("flagged").cast("double")).alias("flagged"), F.avg("spe").alias("spe_mean")).orderBy("part").collect():
             out += _named(r["part"], r, ["flagged", "spe_mean"])
         return out
@@ -150,7 +153,9 @@ def _linear(fit_of: Callable[[dict], regression.Fit], free: Callable[[dict], int
         line = lambda f, b: lambda x: ((x - f.x_mean) @ b + f.y_mean[0])[:, None]
         rows = _both(m, {k: line(*v) for k, v in fits.items()}, {"_y": "double"}).select("sample_idx", "part", "fold", F.col("_y").alias("y"), F.get("scores", F.lit(0)).alias("p"))
         whole, b = fits[ALL]
-        return Found(rows, _regression_numbers(free(o) if free(o) >= 0 else len(b)), Model("regression", {"b": b, "x_mean": whole.x_mean, "y_mean": whole.y_mean}))
+        numbers = _regression_numbers(free(o) if free(o) >= 0 else len(b))
+        fitted = [["coefficients", str(j), float(v)] for j, v in enumerate(b)] + [["coefficients", "intercept", float(whole.y_mean[0] - whole.x_mean @ b)]]
+        return Found(rows, lambda stored: numbers(stored) + fitted, Model("regression", {"b": b, "x_mean": whole.x_mean, "y_mean": whole.y_mean}))
 
     return run
 

@@ -206,7 +206,7 @@ class Run:
     def experiment(self, experiment_id: str, pipeline: str, version: str) -> tuple:
         """A row of ``catalog.EXPERIMENT`` but for its time: the last estimator's numbers, and whether all nodes are there."""
         last = next((m for _, m in reversed(self.metrics.items())), [])
-        return experiment_id, pipeline, version, {f"{part}.{name}": value for part, name, value in last if value is not None}, "failed" if self.nodes("failed") else "succeeded"
+        return experiment_id, pipeline, version, {f"{part}.{name}": value for part, name, value in last if value is not None and part != "coefficients"}, "failed" if self.nodes("failed") else "succeeded"
 
 
 class Execution:

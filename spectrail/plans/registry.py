@@ -196,7 +196,7 @@ def _curve(name: str, fit: Callable[[], regression.Fit], sql: str | None = None)
     query(sql)(run)
 
 
-_curve("pcr_curve", lambda: regression.pcr_path(5))
+_curve("pcr_curve", lambda: regression.pcr_path(5), oracles.pcr_curve(5))
 _curve("opls_curve", lambda: regression.opls_path(3), oracles.pls_curve(1, 4, digits=6))
 _curve("ridge_curve", lambda: regression.ridge_path([0.01, 1.0, 100.0]), oracles.ridge_curve([0.01, 1.0, 100.0]))
 _curve("elastic_net_curve", lambda: regression.elastic_net_path([0.1, 0.01, 0.001]))
@@ -364,11 +364,11 @@ def pca_distances(spark, sf_dir):
     return decomposition.with_scores(df, *decomposition.fit_pca(df, 1)).select("sample_idx", F.round("t2", 6).alias("t2"), F.round("spe", 6).alias("spe"))
 
 
-@query()
+@query(oracles.contributions(3))
 def pca_contributions(spark, sf_dir):
     df = spectra(spark, sf_dir)
     got = decomposition.contributions(df, *decomposition.fit_pca(df, 3))
-    return got.select("sample_idx", "var_idx", *[F.round(c, 6).alias(c) for c in ("t2_part", "residual", "residual2")])
+    return got.select("sample_idx", "var_idx", *[(F.round(c, 6) + 0.0).alias(c) for c in ("t2_part", "residual", "residual2")])
 
 
 @query(f"{_TWO}, {_EIGEN} select sample_idx, round(1.0 / (select count(*) from s) + (a - ma) * (a - ma) / (va * ((select count(*) from s) - 1)), 8) leverage from s, e")
@@ -432,7 +432,7 @@ def class_metrics(spark, sf_dir):
     return got.select("class", "n", *[F.round(c, 8).alias(c) for c in ("sensitivity", "specificity", "precision")])
 
 
-@query()
+@query(oracles.many_classes_whole(5))
 def pls_da_many(spark, sf_dir):
     return classification.pls_da(spectra(spark, sf_dir), "label", 5).select("sample_idx", "observed", "predicted")
 
@@ -498,22 +498,22 @@ def _labelled(spark, sf_dir, two: bool = False) -> DataFrame:
     return rows.join(splits.k_fold(spectra(spark, sf_dir), 5, shuffle=False), "sample_idx")
 
 
-def _held_out(name: str, build: Callable[[], crossval.Builder], two: bool = False) -> None:
+def _held_out(name: str, build: Callable[[], crossval.Builder], sql: str, two: bool = False) -> None:
     def run(spark, sf_dir):
         return crossval.cross_validated(_labelled(spark, sf_dir, two), "label", build()).select("sample_idx", "fold", "observed", "predicted")
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
 # Every sample by a model of all 64 variables refitted without its fold.
-_held_out("pls_da_held_out", lambda: crossval.pls_da(5))
-_held_out("opls_da_held_out", lambda: crossval.opls_da(2), two=True)
-_held_out("linear_discriminant_held_out", lambda: crossval.discriminant(5))
-_held_out("quadratic_discriminant_held_out", lambda: crossval.discriminant(5, quadratic=True))
+_held_out("pls_da_held_out", lambda: crossval.pls_da(5), oracles.many_classes(5))
+_held_out("opls_da_held_out", lambda: crossval.opls_da(2), oracles.two_classes(3), two=True)
+_held_out("linear_discriminant_held_out", lambda: crossval.discriminant(5), oracles.discriminant_rows(5))
+_held_out("quadratic_discriminant_held_out", lambda: crossval.discriminant(5, quadratic=True), oracles.discriminant_rows(5, True))
 
 
-@query()
+@query(oracles.neighbours(5, 5))
 def knn_held_out(spark, sf_dir):
     return crossval.knn_cross_validated(_labelled(spark, sf_dir), "label", 5, 5)
 
@@ -530,7 +530,7 @@ def simca_class_metrics(spark, sf_dir):
     return got.select("class", "n", F.round("sensitivity", 8).alias("sensitivity"), F.round("specificity", 8).alias("specificity"))
 
 
-@query()
+@query(oracles.dummy_rmse(5))
 def dummy_rmse(spark, sf_dir):
     df = _labelled(spark, sf_dir)
     got = crossval.dummy_rmse(crossval.cross_validated(df, "label", crossval.pls_da(5)), "observed", classification.classes_of(df, "label"))
@@ -556,7 +556,7 @@ def regression_result(spark, sf_dir):
     return got.select("part", "metric", F.round("value", 8).alias("value"))
 
 
-@query()
+@query(oracles.classifier_numbers(5))
 def classifier_result(spark, sf_dir):
     got = results.classifier_result(_labelled(spark, sf_dir), "label", crossval.discriminant(5))
     return got.select("part", "metric", F.round("value", 8).alias("value"))
@@ -574,7 +574,7 @@ def elastic_net_tuning(spark, sf_dir):
     return got.select(F.round("alpha", 8).alias("alpha"), F.round("rmsecv", 8).alias("rmsecv"), F.round("q2", 8).alias("q2"))
 
 
-@query()
+@query(oracles.whole_leverage(5))
 def leverage_whole(spark, sf_dir):
     """Of five components of all 64 variables."""
     df = spectra(spark, sf_dir)
@@ -612,7 +612,7 @@ def pca_eigenvalues_whole(spark, sf_dir):
     return spark.createDataFrame([(k + 1, round(float(v), 8), round(float(x), 8), round(float(t), 8)) for k, (v, x, t) in enumerate(zip(model.eigenvalues, model.explained, total, strict=True))], "k int, eigenvalue double, explained double, total double")
 
 
-@query()
+@query(oracles.pca_distances(5))
 def pca_distances_whole(spark, sf_dir):
     df = spectra(spark, sf_dir)
     return decomposition.with_scores(df, *decomposition.fit_pca(df, 5)).select("sample_idx", F.round("t2", 6).alias("t2"), F.round("spe", 6).alias("spe"))
