@@ -54,7 +54,9 @@ class Classes:
         return apart + 1 + spare, spare
 
     def searched(self, n: int) -> list[int]:
-        """The octave of a set, and the one below if its partner can lie there."""
+        """The octave of a set, and the one below if its partner can lie there; none for a set so small that it links with its equals only."""
+        if 100 * n < self.percent * (n + 1):  # the nearest other set has one shingle more
+            return []
         c = self.of(n)
         return [c] + ([c - 1] if c and self.percent * n <= 100 * ((1 << c) - 1) else [])
 
@@ -102,7 +104,7 @@ def _signatures(n: int, percent: int, with_keys: bool):
                 xors = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(mix(h ^ np.uint64(0x2545F4914F6CDD1D)))]) if len(h) else np.zeros(1, np.uint64)
                 each = zip(cuts, cuts[1:], strict=False)
                 if with_keys:
-                    lists = [np.concatenate([fragments_of(h[lo:hi], o, classes) for o in classes.searched(int(hi - lo))]).view(np.int64) if hi > lo else h[:0].view(np.int64) for lo, hi in each]
+                    lists = [np.concatenate([h[:0], *(fragments_of(h[lo:hi], o, classes) for o in classes.searched(int(hi - lo)))]).view(np.int64) for lo, hi in each]
                 else:
                     lists = [_parity(h[lo:hi]) for lo, hi in each]
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
@@ -258,7 +260,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Two documents link when their sets of lower-cased (A-Z) n-word shingles have
     a Jaccard similarity of ``percent`` % or more; a text of fewer words has its
     whole sequence as one shingle, a null or empty one has none and links with
-    nothing.  ``component_id`` is the least id reachable by links.  Rows with a
+    nothing; ``percent`` is 50 to 100.  ``component_id`` is the least id reachable by links.  Rows with a
     null id form no links and get a null component; rows that repeat an id count
     as one document, with the first set by size and hash.
 
@@ -272,6 +274,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        links between components are found, and a group of near copies isn't
        expanded into all its pairs.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"a similarity of {percent} % isn't searched for: sets of more than twice a set's size would be its partners")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
