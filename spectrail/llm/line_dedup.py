@@ -41,35 +41,48 @@ def _recurring(found: DataFrame, groups: DataFrame, least_docs: int) -> DataFram
     return _documents(found.join(groups, ["leaf", "masked"]), "leaf", "template").where(F.col("n_docs") >= least_docs).select("leaf", "template")
 
 
+def _telling(own: DataFrame) -> DataFrame:
+    """``node, place`` of each node whose lines differ: where they have the fewest different tokens, two at least; of equals where most lines have a fixed one, then the first."""
+    at = own.select("node", "n_docs", F.posexplode("t").alias("place", "token")).groupBy("node", "place", "token").agg(F.sum("n_docs").alias("n"))
+    kinds = at.groupBy("node", "place").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("token") != "\n", F.col("n")).otherwise(0)).alias("held")).where("kinds > 1")
+    return kinds.groupBy("node").agg(F.min_by("place", F.struct("kinds", -F.col("held"), "place")).alias("place"))
+
+
 def _further_templates(found: DataFrame, groups: DataFrame, least_docs: int, agree_percent: int) -> DataFrame | None:
-    """``leaf, masked, template`` of the lines of ``groups`` (``leaf, masked, n_docs``) that have a recurring template; none left out for their number.
-
-    In each round a line's tokens that fewer than ``least_docs`` documents have
-    at their place in the leaf are variable, as no recurring template can fix
-    them; lines with too few fixed tokens are done.  Equal lines of what is left
-    are a template if enough documents have it.  In a leaf without one, the most
-    frequent line and those that agree with it are taken, or, if they are too
-    few, that line is done.  Rounds go on until every line is placed or done.
+    """``leaf, masked, template`` of the lines of ``groups`` (``leaf, masked, n_docs``) that have a recurring template.
+
+    A level of the tree a round, all nodes at once; a node is a leaf at first.
+    Tokens that fewer than ``least_docs`` documents have at their place in a
+    node are variable, as no recurring template can fix them; lines with too few
+    fixed tokens are done.  Equal lines of what is left are a template if enough
+    documents have it; else the node's most frequent line and those that agree
+    with it are taken, if they are enough.  What remains is split by the token at
+    the place that tells most (see _telling), which is the same in a node from
+    then on.  So there are no more rounds than a line has tokens, and a node of
+    too few documents ends whatever its lines look like.
     """
-    out, left, k = [], groups, 0
+    out, left, k = [], groups.withColumn("node", F.col("leaf")), 0
     while True:
-        at = left.select("leaf", "masked", "n_docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-        fixed = at.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+        at = left.select("leaf", "node", "masked", "n_docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+        fixed = at.groupBy("node", "place", "token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least_docs).select("node", "place", "token", F.lit(True).alias("fixed"))
         tokens = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("\n").alias("token"))))
-        own = at.join(fixed, ["leaf", "place", "token"], "left").groupBy("leaf", "masked", "n_docs").agg(tokens.alias("t")).select("leaf", "masked", "n_docs", F.col("t.token").alias("t"))
+        own = at.join(fixed, ["node", "place", "token"], "left").groupBy("leaf", "node", "masked", "n_docs").agg(tokens.alias("t")).select("leaf", "node", "masked", "n_docs", F.col("t.token").alias("t"))
         kept = F.size(F.filter("t", lambda x: x != "\n"))
-        own = written(own.where(kept >= _fewest_fixed(F.size("t"), agree_percent)).withColumn("template", F.array_join("t", " ")))
+        own = written(own.where(kept >= _fewest_fixed(F.size("t"), agree_percent)).withColumn("template", F.xxhash64(F.lit(f"same {k}"), "node", F.array_join("t", " "))))
         if own.isEmpty():
             break
-        same = written(own.join(_recurring(found, own.select("leaf", "masked", "template"), least_docs), ["leaf", "template"], "left_semi").select("leaf", "masked", F.xxhash64(F.lit(f"same {k}"), "template").alias("template")))
-        rest = own.join(same.select("leaf").distinct(), "leaf", "left_anti")
-        seeds = rest.groupBy("leaf", "t", "template").agg(F.sum("n_docs").alias("n")).groupBy("leaf").agg(F.max_by(F.struct(F.col("t").alias("seed_t"), F.col("template").alias("seed")), F.struct("n", "template")).alias("seed")).select("leaf", "seed.*")
+        same = written(own.join(_recurring(found, own.select("leaf", "masked", "template"), least_docs), ["leaf", "template"], "left_semi").select("leaf", "node", "masked", "template"))
+        rest = own.join(same.select("node").distinct(), "node", "left_anti")
+        seeds = rest.groupBy("node", "t", "template").agg(F.sum("n_docs").alias("n")).groupBy("node").agg(F.max_by(F.struct(F.col("t").alias("seed_t"), F.col("template").alias("seed")), F.struct("n", F.array_join("t", " "))).alias("seed")).select("node", "seed.*")
         agree = F.size(F.filter(F.zip_with("t", "seed_t", lambda a, b: (a == b) & (a != "\n")), lambda same: same))
-        star = written(rest.join(seeds, "leaf").where(agree >= _fewest_fixed(F.size("t"), agree_percent)).select("leaf", "masked", (F.col("template") == F.col("seed")).alias("done"), F.xxhash64(F.lit(f"star {k}"), "seed").alias("template")))
-        near = written(star.join(_recurring(found, star.select("leaf", "masked", "template"), least_docs), ["leaf", "template"], "left_semi").select("leaf", "masked", "template"))
-        out += [same, near]
-        gone = same.select("leaf", "masked").union(near.select("leaf", "masked")).union(star.where("done").select("leaf", "masked"))
-        left, k = written(own.join(gone, ["leaf", "masked"], "left_anti").select("leaf", "masked", "n_docs")), k + 1
+        star = rest.join(seeds, "node").where(agree >= _fewest_fixed(F.size("t"), agree_percent)).select("leaf", "masked", F.xxhash64(F.lit(f"star {k}"), "seed").alias("template"))
+        near = written(star.join(_recurring(found, star, least_docs), ["leaf", "template"], "left_semi").select("leaf", "masked", "template"))
+        out += [same.select("leaf", "masked", "template"), near]
+        gone = same.select("leaf", "masked").union(near.select("leaf", "masked"))
+        stay = written(own.join(gone, ["leaf", "masked"], "left_anti"))
+        split = F.xxhash64("node", "place", F.get("t", F.col("place")))
+        # A node whose lines are all alike has too few documents, and isn't split further.
+        left, k = written(stay.join(_telling(stay), "node").select("leaf", split.alias("node"), "masked", "n_docs")), k + 1
     return reduce(DataFrame.union, out) if out else None
 
 

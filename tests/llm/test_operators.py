@@ -393,3 +393,29 @@ def test_query_digests(spark, tmp_path, docs):
     docs.drop("tokens", "hash", "rep").write.parquet(f"{tmp_path}/documents.parquet")
     r = queries.op9_substring_dedup(spark, str(tmp_path)).where("doc_id = 7").first()
     assert r.kept_sha256 == hashlib.sha256(b"one two").hexdigest()
+
+
+def test_a_leaf_without_templates_ends(spark, monkeypatch):
+    """Lines that share frequent words and form no template take a bounded number of tables; a template among them is still found."""
+    import spectrail.llm.line_dedup as dedup
+
+    rng, tables = np.random.default_rng(6), []
+    monkeypatch.setattr(dedup, "written", lambda df, real=dedup.written: (tables.append(1), real(df))[1])
+    some = "red green blue black white brown pink grey gold cyan lime teal".split()
+    lines = sorted({"Posted by user " + " ".join(rng.choice(some, 7)) for _ in range(2_000)})[:1_500]
+    rows = [(k, x) for k, x in enumerate(lines)] + [(10_000 + k, f"Posted by user {a} in the {b} room today") for k, (a, b) in enumerate(zip(rng.permutation([x + y for x in some for y in some]), rng.permutation([y + x for x in some for y in some])))]
+    got = {r.doc_id: r.n_dropped for r in line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(tables) < 60
+    assert all(got[i] == 1 for i, _ in rows if i >= 10_000)
+
+
+def test_small_sets_under_one_key(spark):
+    """Texts that share a shingle and can't link aren't compared; those that can still are."""
+    rows = [(k, f"click here to read w{k}") for k in range(3_000)] + [(5_000 + k, f"click here to read w{k}") for k in range(0, 3_000, 100)]
+    long = " ".join(f"x{k}" for k in range(60))
+    rows += [(9_000, long), (9_001, long + " end"), (9_002, " ".join(f"y{k}" for k in range(9))), (9_003, " ".join(f"y{k}" for k in range(10)))]
+    got = {r.doc_id: r.component_id for r in ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n=4, percent=85).collect()}
+    assert all(got[k] == k for k in range(3_000)) and all(got[5_000 + k] == k for k in range(0, 3_000, 100))
+    assert got[9_001] == 9_000 and got[9_003] == 9_002  # 6 of 7 shingles
+    with pytest.raises(ValueError):
+        ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=40)
