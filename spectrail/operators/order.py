@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,22 @@ from pyspark.sql import functions as F
 RANGES, SAMPLED = 4096, 20
 
 
-def _range_of(key: Column, bounds: list[Column]) -> Column:
-    """How many of the ascending bounds a key reaches, by halving."""
+def _rank(value) -> tuple:
+    """A value in Spark's order among its column's: null first, NaN last."""
+    return (0,) if value is None else (2,) if value != value else (1, value)
 
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
 
-    return between(0, len(bounds))
+def _range_of(by: tuple[str, ...], bounds: list[tuple]) -> Column:
+    """How many of the ascending bounds a row's key reaches."""
+    if not bounds:
+        return F.lit(0)
+
+    @F.arrow_udf("int")
+    def reached(keys: pa.Array) -> pa.Array:
+        columns = [[_rank(v) for v in c.to_pylist()] for c in keys.flatten()]
+        return pa.array([bisect_right(bounds, key) for key in zip(*columns, strict=True)], pa.int32())
+
+    return reached(F.struct(*by))
 
 
 def numbered(df: DataFrame, *by: str, into: str = "sample_idx", rows_a_range: int = 1_000_000) -> DataFrame:
@@ -36,11 +44,10 @@ def numbered(df: DataFrame, *by: str, into: str = "sample_idx", rows_a_range: in
     ranges, bounds = max(1, min(RANGES, math.ceil(n / rows_a_range))), []
     if ranges > 1:
         turn = F.pmod(F.xxhash64(F.lit("range"), *by), F.lit(1 << 30))
-        drawn = df.where(turn < int(min(1.0, SAMPLED * ranges / n) * (1 << 30))).select(*by).distinct().orderBy(*by).collect()
-        kinds = dict(df.dtypes)
-        for k in sorted({len(drawn) * r // ranges for r in range(1, ranges)} if drawn else ()):
-            bounds.append(F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, drawn[k], strict=True)]))
-    parts = df.withColumn("_part", _range_of(F.struct(*by), bounds))
+        drawn = df.where(turn < int(min(1.0, SAMPLED * ranges / n) * (1 << 30))).select(*by).distinct().orderBy(*by).toArrow()
+        keys = list(zip(*([_rank(v) for v in c.to_pylist()] for c in drawn.columns), strict=True))
+        bounds = [keys[k] for k in sorted({len(keys) * r // ranges for r in range(1, ranges)})] if keys else []
+    parts = df.withColumn("_part", _range_of(by, bounds))
     placed = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
     offset, rows = 0, []
     for r in parts.groupBy("_part").count().orderBy("_part").collect():
