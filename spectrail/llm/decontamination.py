@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,13 @@ from .tables import written
 BROADCAST_ROWS = 1_000_000
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+
+
 def _each_shingle(text: Column, n: int, of: Callable[[Column, Column], Column]) -> Column:
     """of(words, k) for the start k of each n-word shingle of a lower-cased text, repeats included; a text of fewer words has one start, one of none has none."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    words = _words(text)
     # The array around the words binds them to w, so that a text is split once and not once a shingle.
     runs = F.transform(F.array(words), lambda w: F.transform(F.slice(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), F.lit(1), F.size(w)), lambda k: of(w, k)))
     return F.get(runs, F.lit(0))
@@ -59,8 +64,17 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     contained; rows with a null id take no part; of rows that
     repeat an id the one that shares most counts; an empty table on either side
     gives no rows; other columns, whatever their names, aren't read.  An item of
-    fewer than n words is one shingle, which only a document that equals it has.
+    m words, fewer than n, is one shingle of m words, and is searched in the
+    documents' shingles of m words.
     """
+    words = F.size(_words(F.col(item_text_col)))
+    short = [r["m"] for r in items.where(F.col(item_col).isNotNull()).select(F.least(words, F.lit(n)).alias("m")).where(F.col("m").between(1, n - 1)).distinct().orderBy("m").collect()]  # n - 1 rows at most
+    parts = [_contained(docs, items.where(words == m), m, percent, id_col, text_col, item_col, item_text_col) for m in short]
+    return reduce(DataFrame.unionByName, parts, _contained(docs, items.where(words >= n) if short else items, n, percent, id_col, text_col, item_col, item_text_col))
+
+
+def _contained(docs: DataFrame, items: DataFrame, n: int, percent: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The same for items of n words or more."""
     sketches = written(item_sketches(items, n, percent, item_col, item_text_col))
     part = F.floor(F.log2("n_needed"))
     probes = sketches.select("item_id", part.alias("part"), F.explode("sketch").alias("hash"))

@@ -6,11 +6,11 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 _DECONTAMINATION = f"""
 with bw as (select item_id, {_WORDS.format("lower(text)")} w from benchmark where item_id is not null and text is not null),
-bs as (select distinct item_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from bw),
+bs as (select distinct item_id, least(len(w), 5) m, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) s from bw where len(w) > 0),
 bn as (select item_id, count(*) n_item from bs group by all),
 dw as (select doc_id, {_WORDS.format("lower(text)")} w from documents where doc_id is not null and text is not null),
-ds as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from dw),
-hits as (select doc_id, item_id, count(*) n_shared from ds join bs using (s) group by all)
+ds as (select distinct doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) s from dw, (select distinct m from bs) sizes where len(w) >= m),
+hits as (select doc_id, item_id, count(*) n_shared from ds join bs using (m, s) group by all)
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from hits join bn using (item_id) where 100 * n_shared >= 80 * n_item
 """
 

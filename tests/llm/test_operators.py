@@ -419,3 +419,14 @@ def test_small_sets_under_one_key(spark):
     assert got[9_001] == 9_000 and got[9_003] == 9_002  # 6 of 7 shingles
     with pytest.raises(ValueError):
         ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=40)
+
+
+def test_short_items_inside_long_documents(spark):
+    """Items of one to four words are found within documents, wherever they stand, and nowhere else."""
+    rows = [(k, " ".join(RNG.choice(WORDS, 200))) for k in range(30)]
+    rows += [(100, rows[0][1] + " what is zeta"), (101, "zeta"), (102, "What\nis  ZETA now"), (103, "what is"), (104, None), (105, "is zeta what")]
+    items = [(1, "What is zeta"), (2, "zeta"), (3, "what is"), (4, "is zeta now again"), (5, rows[3][1]), (6, ""), (None, "zeta"), (7, "what  is")]
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in contained_items(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    want = {(d, i) for d, t in rows for i, u in items if i and words(u) and len(words(u)) < 5 and f" {' '.join(words(u.lower()))} " in f" {' '.join(words((t or '').lower()))} "}
+    assert set(got) == want | {(3, 5)} and all(got[k] == (1, 1) for k in want)
+    assert (100, 1) in want and (102, 2) in want and (103, 7) in want and (105, 1) not in want
