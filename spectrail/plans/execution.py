@@ -210,7 +210,11 @@ class Run:
 
 
 class Execution:
-    """A pipeline bound to a version of a table and a store."""
+    """A pipeline bound to a version of a table and a store.
+
+    The table has sample_idx (from 0), x, and any further columns, which go along
+    to the estimators; of these ``fold`` and ``held`` are left behind.
+    """
 
     def __init__(self, pipeline: Pipeline, source: DataFrame, version: str, store: Store, keep: str = "all", axis: np.ndarray | None = None):
         """keep: "all" stores every node's matrix, "shared" only those that several nodes or an estimator read; the others' parameters are stored and their rows derived again.  axis: the source's, for range_select."""

@@ -53,6 +53,11 @@ def pls_explained(components: int) -> str:
     return f"with {centred(whole=True)},{pls(components)}, r as ({parts}) select a, round(x, 8) x, round(y, 8) y, round(sum(x) over (order by a), 8) x_total, round(sum(y) over (order by a), 8) y_total from r"
 
 
+def pls_predictions(components: int) -> str:
+    """Of every sample by the fit of all."""
+    return f"with {centred(whole=True)},{pls(components)} select sample_idx, round(y - f, 6) + 0.0 p from f{components} where g = -1"
+
+
 def regression_result(chosen: int, components: int) -> str:
     """The numbers of a model of ``chosen`` components in and out of sample."""
     inside = {

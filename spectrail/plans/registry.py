@@ -19,6 +19,7 @@ from spectrail.operators import preprocess as pre
 from spectrail.operators.order import numbered
 from spectrail.plans import oracles, results, routing
 from spectrail.plans.execution import Execution
+from spectrail.plans.models import Model
 from spectrail.plans.pipeline import Node, Pipeline
 from spectrail.plans.store import Store
 
@@ -257,6 +258,20 @@ def executed_forest(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
+@query(oracles.pls_predictions(3))
+def streamed_predictions(spark, sf_dir):
+    """A model that a pipeline's node has stored, applied to the table as a stream that ends where its files do."""
+    rows = supervised(spark, sf_dir).drop("fold", "label")
+    run = _executed(spark, rows, (Node.of("model", "pls", "source", target="y", n_components=3),), "embeddings")
+    model, place = Model.load(spark, run.known["model"].files["model"]), f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    coming = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/embeddings.parque[t]").select(F.col("vec_id").alias("sample_idx"), F.concat(F.slice(x, 1, 6), F.slice(x, 8, 57)).alias("x"))
+    scored = model.apply(coming).select("sample_idx", (F.round("p", 6) + 0.0).alias("p"))
+    scored.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/marks").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("sample_idx bigint, p double").parquet(f"{place}/rows")
+
+
 _FOLD_SUMS = ", ".join(f"sum({a}) {n}" for n, a in (("n", "1"), ("sa", "a"), ("sb", "b"), ("sy", "y"), ("saa", "a * a"), ("sab", "a * b"), ("sbb", "b * b"), ("say", "a * y"), ("sby", "b * y")))
 
 
