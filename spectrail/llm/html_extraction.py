@@ -39,6 +39,7 @@ TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figc
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE_TAGS = {"a", "abbr", "b", "cite", "code", "em", "font", "i", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "td", "th", "time", "u"}
 LABEL_TAGS = {"article", "main"}
+TABLE_TAGS = {"tbody", "td", "tfoot", "th", "thead", "tr"}
 KNOWN_TAGS = BLOCK_TAGS | VOID_TAGS | INLINE_TAGS
 
 #: Chance that a word or tag is main text before any page is seen, and the words or tags that this counts for.
@@ -101,6 +102,8 @@ class Element:
     word: float = 1.0
     in_label: bool = False
     marked: bool = False
+    words: int = 0
+    paragraphs: int = 0
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, object]]:
@@ -204,17 +207,24 @@ def _scored(found: list[tuple[str, str, object]], scores: Scores) -> tuple[list[
     """Each token's score, and whether it lies in an element that falls out: a marked one whose words don't outweigh its tags."""
     has_label = _marks_article(found)
     tree, score, fallen = _Tree(scores, has_label), [], []
-    gap = 0.0 if has_label else 2 * scores.tag("div")  # what fell out still parts what is beside it
+    gap = 0.0 if has_label else 2 * scores.tag("div")  # what fell out still parts what is beside it, but within a block that has paragraphs of its own
 
     def close(e: Element, end: int) -> None:
-        if e.marked and e.total <= 0 or e.name == "head":
-            fallen.append((e.at, end))
+        above = tree.open[-1] if tree.open else None
+        gone = e.marked and e.total <= 0 or e.name == "head"
+        if gone:
+            fallen.append((e.at, end, above))
             e.total = gap
-        if tree.open:
-            tree.open[-1].total += e.total
+        if above:
+            above.total += e.total
+            if e.name not in BLOCK_TAGS and not gone:
+                above.words += e.words
+            above.paragraphs += e.name in TEXT_TAGS and e.words > 0 and not gone
 
     def tag(name: str) -> float:
         top = tree.open[-1] if tree.open else None
+        if not has_label and name in TABLE_TAGS and tree.count["table"]:
+            return 0.0  # a table costs once, whatever its rows
         return scores.tag(name) * (INSIDE if top and top.in_label and top.word > 2 * LEAST_WORD else 1.0)
 
     for k, (kind, name, said) in enumerate(found):
@@ -223,6 +233,7 @@ def _scored(found: list[tuple[str, str, object]], scores: Scores) -> tuple[list[
             value = len(said.split()) * (top.word if top else LEAST_WORD if has_label else 1.0)
             if top:
                 top.total += value
+                top.words += len(said.split())
         elif kind == "open":
             if ended := tree.implied(name):
                 for e in tree.pop(ended):
@@ -242,11 +253,11 @@ def _scored(found: list[tuple[str, str, object]], scores: Scores) -> tuple[list[
     while tree.open:
         close(tree.open.pop(), len(found))
     out, until = [False] * len(found), 0
-    for lo, hi in sorted(fallen):
+    for lo, hi, above in sorted(fallen, key=lambda f: f[:2]):
         if hi > until:
             lo = max(lo, until)
             out[lo:hi] = [True] * (hi - lo)
-            score[lo:hi] = [gap] + [0.0] * (hi - lo - 1)
+            score[lo:hi] = [0.0 if above is not None and above.paragraphs > 1 else gap] + [0.0] * (hi - lo - 1)
             until = hi
     return score, out
 

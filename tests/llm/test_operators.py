@@ -430,3 +430,22 @@ def test_short_items_inside_long_documents(spark):
     want = {(d, i) for d, t in rows for i, u in items if i and words(u) and len(words(u)) < 5 and f" {' '.join(words(u.lower()))} " in f" {' '.join(words((t or '').lower()))} "}
     assert set(got) == want | {(3, 5)} and all(got[k] == (1, 1) for k in want)
     assert (100, 1) in want and (102, 2) in want and (103, 7) in want and (105, 1) not in want
+
+
+_LONG = "This is the first paragraph of a story that has a good number of words in it"
+
+
+@pytest.mark.parametrize("inner", ['<div class="share"><a href="x">Share</a> <a href="y">Tweet</a></div>', '<div class="advert">Buy now and save</div>', '<form class="newsletter"><input><button>Sign up</button></form>'])
+@pytest.mark.parametrize("short", ["It ended well.", "Nobody has seen them since that day in May."])
+def test_html_inner_widgets_lose_no_paragraph(inner, short):
+    """On a page that marks no article, what falls out of a story doesn't cut its short paragraphs off, behind or before it."""
+    page = '<html><body><ul class="nav"><li><a href="a">Home</a></li><li><a href="b">News</a></li></ul><div class="story">{}</div><div class="footer">Copyright of the paper</div></body></html>'
+    long = f"<p>{_LONG}</p><p>{_LONG}</p>"
+    assert main_text(page.format(f"{long}{inner}<p>{short}</p>")) == f"{_LONG}\n{_LONG}\n{short}"
+    assert main_text(page.format(f"<p>{short}</p>{inner}{long}")) == f"{short}\n{_LONG}\n{_LONG}"
+
+
+def test_html_tables_are_whole():
+    cells = "".join(f"<tr><td>cell {k} here</td><td>value {k} there</td></tr>" for k in range(10))
+    got = main_text(f"<html><body><table><tbody>{cells}</tbody></table></body></html>")
+    assert got.split("\n") == [f"cell {k} here value {k} there" for k in range(10)]
