@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,21 @@ def block(fn: Callable[[np.ndarray], np.ndarray], x: str = "x") -> Column:
     return run(F.col(x))
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """The rows of an Arrow column of arrays as a matrix; rows of one width, refused otherwise."""
+    if not len(column):
+        return np.zeros((0, 0))
+    widths = np.diff(column.offsets.to_numpy())
+    if column.null_count or widths.min() < widths.max():
+        raise Refused("rows of different widths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def list_of(rows: np.ndarray) -> pa.Array:
+    """A matrix as an Arrow column of arrays."""
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]), np.ascontiguousarray(rows, float).ravel())
+
+
 def long(df: DataFrame, x: str = "x") -> DataFrame:
     """Rows of sample_idx, var_idx, value."""
     return df.select("sample_idx", F.posexplode(x).alias("var_idx", "value"))

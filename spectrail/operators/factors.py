@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrail.functions.arrays import Refused
+from spectrail.functions.arrays import Refused, matrix_of
 
 
 def _triangle(rows: np.ndarray) -> np.ndarray:
@@ -71,6 +72,7 @@ def levels_for(width: int) -> tuple[int, ...]:
 
 
 _PACKED = "fold int, part int, n bigint, width int, r binary"
+_PACKED_ARROW = pa.schema([("fold", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("r", pa.binary())])
 
 
 def _rows(held: dict[int, tuple[int, np.ndarray]], part_id: int, extra: int) -> pd.DataFrame:
@@ -90,23 +92,27 @@ def fold_factors(df: DataFrame, targets: list[str], fold: str = "fold", x: str =
     """
     width = len(targets) + 1
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
         held: dict[int, tuple[int, np.ndarray]] = {}
-        for pdf in batches:
-            for k, g in pdf.groupby(fold):
-                for lo in range(0, len(g), block):
-                    part = g.iloc[lo : lo + block]
-                    rows = np.column_stack([np.ones(len(part)), np.stack(part[x].to_list()), part[targets].to_numpy(float)])
+        for batch in batches:
+            if not len(batch):
+                continue
+            of = batch.column(fold).to_numpy(zero_copy_only=False)
+            values = np.column_stack([np.ones(len(batch)), matrix_of(batch.column(x)), *[batch.column(t).cast(pa.float64()).to_numpy(zero_copy_only=False) for t in targets]])
+            for k in np.unique(of[of == of]).astype(int).tolist():  # rows of no fold are left out
+                at = np.flatnonzero(of == k)
+                for lo in range(0, len(at), block):
+                    rows = values[at[lo : lo + block]]
                     n, r = held.get(k, (0, rows[:0]))
-                    held[k] = n + len(part), stacked([r, rows])
-        yield _rows(held, part_id, width)
+                    held[k] = n + len(rows), stacked([r, rows])
+        yield pa.RecordBatch.from_pandas(_rows(held, part_id, width), _PACKED_ARROW, preserve_index=False)
 
     rows = df.select(F.col(fold).cast("int").alias(fold), x, *targets)
     if levels is None:
         one = rows.select(F.size(x).alias("n")).first()
         levels = levels_for((one["n"] if one else 0) + width)
-    return _merged(rows.mapInPandas(partial, _PACKED), width, levels)
+    return _merged(rows.mapInArrow(partial, _PACKED), width, levels)
 
 
 def _merged(parts: DataFrame, width: int, levels: tuple[int, ...]) -> DataFrame:

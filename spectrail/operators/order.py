@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,14 +20,24 @@ def _rank(value) -> tuple:
 
 
 def _range_of(by: tuple[str, ...], bounds: list[tuple]) -> Column:
-    """How many of the ascending bounds a row's key reaches."""
+    """How many of the ascending bounds a row's key reaches: by the first column where it is a whole number that no bound shares, else by all."""
     if not bounds:
         return F.lit(0)
+    whole = all(len(b[0]) == 2 and type(b[0][1]) is int for b in bounds)
+    lead = np.array([b[0][1] for b in bounds], np.int64) if whole else None
 
     @F.arrow_udf("int")
     def reached(keys: pa.Array) -> pa.Array:
-        columns = [[_rank(v) for v in c.to_pylist()] for c in keys.flatten()]
-        return pa.array([bisect_right(bounds, key) for key in zip(*columns, strict=True)], pa.int32())
+        columns = keys.flatten()
+        if lead is None or columns[0].null_count:
+            out, open_ = np.zeros(len(keys), np.int32), np.arange(len(keys))
+        else:
+            first = columns[0].to_numpy()
+            out = np.searchsorted(lead, first, "right").astype(np.int32)
+            open_ = np.flatnonzero(out > np.searchsorted(lead, first, "left"))
+        ranked = [[_rank(v) for v in c.take(pa.array(open_)).to_pylist()] for c in columns]
+        out[open_] = [bisect_right(bounds, key) for key in zip(*ranked, strict=True)]
+        return pa.array(out)
 
     return reached(F.struct(*by))
 
@@ -47,7 +58,8 @@ def numbered(df: DataFrame, *by: str, into: str = "sample_idx", rows_a_range: in
         drawn = df.where(turn < int(min(1.0, SAMPLED * ranges / n) * (1 << 30))).select(*by).distinct().orderBy(*by).toArrow()
         keys = list(zip(*([_rank(v) for v in c.to_pylist()] for c in drawn.columns), strict=True))
         bounds = [keys[k] for k in sorted({len(keys) * r // ranges for r in range(1, ranges)})] if keys else []
-    parts = df.withColumn("_part", _range_of(by, bounds))
+    alone = len({b[0] for b in bounds}) == len(bounds)  # no value of the first column fills a range, so it can deal the rows
+    parts = df.withColumn("_part", _range_of(by[:1], [b[:1] for b in bounds]) if alone else _range_of(by, bounds))
     placed = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
     offset, rows = 0, []
     for r in parts.groupBy("_part").count().orderBy("_part").collect():

@@ -90,11 +90,15 @@ def stratified_train_test(df: DataFrame, level: str, test_size: float = 0.25) ->
 
 def by_group(df: DataFrame, group: str, split, **options) -> DataFrame:
     """A split of the distinct groups, in Unicode order, spread to their rows."""
-    table = numbered(df.select(group).distinct(), group)
-    folds = split(table.select("sample_idx"), **options).join(table, "sample_idx").drop("sample_idx")
+    folds = of_groups(numbered(df.select(group).distinct(), group), split, **options)
     return df.select("sample_idx", group).join(folds, group).select("fold", "sample_idx")
 
 
+def of_groups(groups: DataFrame, split, **options) -> DataFrame:
+    """``fold`` and the group of a table of groups numbered from 0."""
+    return split(groups.select("sample_idx"), **options).join(groups, "sample_idx").drop("sample_idx")
+
+
 def repeated_k_fold(df: DataFrame, n_splits: int, n_repeats: int, seed: int = 42) -> DataFrame:
     """k_fold with seeds seed, seed + 1, and so on; folds count on.  Beyond the reference, which only names it."""
     parts = [k_fold(df, n_splits, True, seed + r).withColumn("fold", F.col("fold") + r * n_splits) for r in range(n_repeats)]

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrail.functions.arrays import Refused, block
+from spectrail.functions.arrays import Refused, block, list_of, matrix_of
 from spectrail.functions.quantiles import spe_caveat, t2_limit
 from spectrail.operators import classification, crossval, dual, kernels, metrics, neighbours, regression, scorers
 from spectrail.operators.decomposition import Group, limits
@@ -70,17 +70,21 @@ def _scored(rows: DataFrame, models: dict[int, Callable[[np.ndarray], np.ndarray
     """``sample_idx, fold, <keep>, scores`` of rows with ``fold``: each block of rows by its fold's function."""
     names = list(keep)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list = [None] * len(pdf)
-            for k in pdf["fold"].unique():
-                at = np.flatnonzero(pdf["fold"] == k)
-                for i, v in zip(at, models[k](np.stack(pdf["x"].iloc[at].to_list()).astype(float)), strict=True):
-                    out[i] = v
-            yield pdf[["sample_idx", "fold", *names]].assign(scores=pd.Series(out, dtype=object, index=pdf.index))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            of, x, out = batch.column("fold").to_numpy(), matrix_of(batch.column("x")), None
+            for k in np.unique(of).tolist():
+                at = np.flatnonzero(of == k)
+                s = models[k](x[at])
+                out = np.empty((len(x), s.shape[1])) if out is None else out
+                out[at] = s
+            kept = ["sample_idx", "fold", *names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), list_of(out)], [*kept, "scores"])
 
     schema = ", ".join(["sample_idx bigint", "fold int", *(f"`{c}` {t}" for c, t in keep.items()), "scores array<double>"])
-    return rows.select("sample_idx", F.col("fold").cast("int").alias("fold"), *names, "x").mapInPandas(score, schema)
+    return rows.select("sample_idx", F.col("fold").cast("int").alias("fold"), *names, "x").mapInArrow(score, schema)
 
 
 def _both(m, models: dict, keep: dict[str, str]) -> DataFrame:
@@ -91,6 +95,8 @@ def _both(m, models: dict, keep: dict[str, str]) -> DataFrame:
 
 def _with(m, **columns):
     """The matrix with columns of these names, rows without a value for one left out."""
+    if m.above is not None:
+        return m.over(_with(m.above, **columns))
     df = m.df.withColumns(columns)
     return type(m)(reduce(lambda d, c: d.where(F.col(c).isNotNull()), columns, df), m.folds, m.versioned)
 

@@ -15,12 +15,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrail.functions.arrays import Refused, finite
+from spectrail.functions.arrays import Refused, finite, list_of, matrix_of
 from spectrail.operators import preprocess as pre
 from spectrail.operators.factors import Fitted, factor, fold_factors, stacked
 
@@ -42,11 +42,22 @@ class NodeFailed(Refused):
 
 @dataclass
 class Matrix:
-    """A node's rows: sample_idx, x, the source's other columns; below a split ``held``, and ``fold`` if each fold has its own."""
+    """A node's rows: sample_idx, x, the source's other columns; below a split ``held``, and ``fold`` if each fold has its own.
+
+    Rows that aren't stored but come from the matrix ``above`` through ``steps``,
+    one a version, are asked for there: nobody makes all versions to read one.
+    """
 
     df: DataFrame
     folds: list[int] | None = None
     versioned: bool = False
+    above: Matrix | None = None
+    steps: dict[int, pre.Step] | None = None
+    through: Callable[[DataFrame], DataFrame] | None = None
+
+    def over(self, above: Matrix) -> Matrix:
+        """The same steps over another matrix."""
+        return _through(above, self.steps)
 
     @property
     def versions(self) -> list[int]:
@@ -54,10 +65,14 @@ class Matrix:
 
     def everything(self) -> DataFrame:
         """Every sample through the parameters of all samples: what a final model is fitted to."""
+        if self.above is not None:
+            return self.through(self.above.everything().drop("fold").withColumn("fold", F.lit(ALL)))
         return self.df.where(F.col("fold") == ALL) if self.versioned else self.df
 
     def held_out(self) -> DataFrame:
         """The samples that a fold holds out, each through that fold's parameters, with ``fold``."""
+        if self.above is not None:
+            return self.through(self.above.held_out())
         if self.versioned:
             return self.df.where(F.col("fold") == F.col("held"))
         return self.df.where(F.col("held").isNotNull()).drop("fold").withColumn("fold", F.col("held"))
@@ -87,6 +102,9 @@ class Matrix:
 
     def factors(self, targets: list[str]) -> dict[int, Fitted]:
         """Means and R factors of variables and targets over each version's training rows, from one pass."""
+        if self.above is not None and all(isinstance(s, pre.MeanCentre | pre.Autoscale) for s in self.steps.values()):
+            moved = lambda f, s: Fitted(f.n, _rows_through(s, f.x_mean[None])[0], f.y_mean, f.x / s.scale if isinstance(s, pre.Autoscale) else f.x, f.y)
+            return {k: moved(f, self.steps[k]) for k, f in self.above.factors(targets).items()}
         parts = {r.fold: factor(r, len(targets)) for r in fold_factors(self.training(), targets).collect()}
         return self._merged(parts, lambda p: Fitted.of(p, len(targets)))
 
@@ -176,16 +194,17 @@ def _through(m: Matrix, steps: dict[int, pre.Step]) -> Matrix:
     rows = m.df if m.versioned else m.df.drop("fold").withColumn("fold", F.explode(F.lit(m.versions)))
     shared = m.df.sparkSession.sparkContext.broadcast(steps)  # a few numbers a variable and fold
 
-    @F.pandas_udf("array<double>")
-    def run(fold: pd.Series, x: pd.Series) -> pd.Series:
-        out: list = [None] * len(x)
-        for k in fold.unique():
-            at = np.flatnonzero(fold == k)
-            for i, row in zip(at, _rows_through(shared.value[k], np.stack(x.iloc[at].to_list()).astype(float)), strict=True):
-                out[i] = row
-        return pd.Series(out, dtype=object, index=x.index)
+    @F.arrow_udf("array<double>")
+    def run(fold: pa.Array, x: pa.Array) -> pa.Array:
+        of, given = fold.to_numpy(), matrix_of(x)
+        out = np.empty_like(given)
+        for k in np.unique(of).tolist():
+            at = np.flatnonzero(of == k)
+            out[at] = _rows_through(shared.value[k], given[at])
+        return list_of(out)
 
-    return Matrix(rows.withColumn("x", run("fold", "x")), m.folds, True)
+    through = lambda df: df.withColumn("x", run("fold", "x"))
+    return Matrix(through(rows), m.folds, True, m, steps, through)
 
 
 @dataclass
@@ -217,9 +236,9 @@ class Execution:
     """
 
     def __init__(self, pipeline: Pipeline, source: DataFrame, version: str, store: Store, keep: str = "all", axis: np.ndarray | None = None):
-        """keep: "all" stores every node's matrix, "shared" only those that several nodes or an estimator read; the others' parameters are stored and their rows derived again.  axis: the source's, for range_select."""
-        if keep not in ("all", "shared"):
-            raise Refused(f"matrices are kept all or shared, not {keep}")
+        """keep: "all" stores every node's matrix, "shared" only those that several nodes or an estimator read, "splits" only those of splits; the others' parameters are stored and their rows derived again.  axis: the source's, for range_select."""
+        if keep not in ("all", "shared", "splits"):
+            raise Refused(f"matrices are kept all, shared or splits, not {keep}")
         self.pipeline, self.source, self.store, self.keep, self.axis = pipeline, source, store, keep, axis
         self.keys = {i: k.split(":")[1] for i, k in pipeline.keys(version).items()}
         self.order = sorted(pipeline.nodes, key=lambda n: len(pipeline.ancestors(n.id)))
@@ -233,7 +252,7 @@ class Execution:
 
     def _kept(self, node: Node) -> bool:
         readers = [n for n in self.pipeline.nodes if n.input == node.id]
-        return self.keep == "all" or len(readers) > 1 or any(n.kind in ESTIMATORS for n in readers)
+        return self.keep == "all" or self.keep == "shared" and (len(readers) > 1 or any(n.kind in ESTIMATORS for n in readers))
 
     def matrix(self, id: str) -> Matrix:
         """A node's rows: stored, or through stored parameters, or computed now.  Nothing above a stored matrix is touched."""
@@ -261,8 +280,8 @@ class Execution:
         """Rows of a step or split from its input's."""
         above = self.matrix(node.input)
         if node.kind in SPLITS:
-            held = routing.folds_of(above.df, node.kind, dict(node.options)).select(F.col("fold").alias("held"), "sample_idx")
-            rows = above.df.join(held, "sample_idx", "left")
+            held, by = routing.held(above.df, node.kind, dict(node.options))
+            rows = above.df.join(held, by, "left")
             folds = [r["held"] for r in held.select("held").distinct().orderBy("held").limit(routing.MOST_FOLDS + 1).collect()]
             if len(folds) > routing.MOST_FOLDS:
                 raise Refused(f"more than {routing.MOST_FOLDS} folds would each need a model")

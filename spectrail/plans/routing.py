@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.functions.arrays import Refused
+from spectrail.functions.tables import written
 from spectrail.operators import splits
+from spectrail.operators.order import numbered
 
 #: Options of each split; kinds that are declared only have no splitter.
 OPTIONS = {
@@ -37,8 +41,8 @@ def settled(kind: str, options: dict) -> dict:
     return out
 
 
-def folds_of(df: DataFrame, kind: str, options: dict) -> DataFrame:
-    """``fold, sample_idx`` held out, of a table with ``sample_idx`` from 0 to n - 1; every sample at most once, and for all but train_test exactly once."""
+def _asked(df: DataFrame, kind: str, options: dict) -> tuple[dict, str | None, Callable[[DataFrame], DataFrame]]:
+    """The settled options, the column that splits go by, and the plain split."""
     o = settled(kind, options)
     by = o.get("group_by") if o.get("group_by") is not None else o.get("stratify_by")
     if by is not None:
@@ -47,13 +51,30 @@ def folds_of(df: DataFrame, kind: str, options: dict) -> DataFrame:
             raise Refused(f"{kind} splits by {by}, which isn't a column; there are {', '.join(others) or 'none'}")
         if not df.where(F.col(by).isNull()).isEmpty():
             raise Refused(f"{kind} splits by {by}, which is null in some rows")
-    rows = df.select("sample_idx", *([by] if by else []))
-    seed = o.get("seed") if o.get("shuffle") else None
-    plain = {
+    return o, by, {
         "kfold": lambda t: splits.k_fold(t, o["n_splits"], o["shuffle"], o["seed"], o["order"]),
         "train_test": lambda t: splits.train_test(t, o["test_size"], o["shuffle"], o["seed"], o["order"]),
         "loo": splits.leave_one_out,
     }[kind]
+
+
+def held(df: DataFrame, kind: str, options: dict) -> tuple[DataFrame, str]:
+    """``held`` beside the column that it goes by: a split by groups is one of the groups' table, any other one of samples."""
+    o, by, plain = _asked(df, kind, options)
+    if by is None or o.get("group_by") is None:
+        return folds_of(df, kind, options).withColumnRenamed("fold", "held"), "sample_idx"
+    groups = written(numbered(written(df.select(by).distinct()), by))
+    found = written(splits.of_groups(groups, plain))
+    if kind != "train_test":
+        splits.validate_partition(groups, found.join(groups, by).select("fold", "sample_idx"))
+    return found.withColumnRenamed("fold", "held"), by
+
+
+def folds_of(df: DataFrame, kind: str, options: dict) -> DataFrame:
+    """``fold, sample_idx`` held out, of a table with ``sample_idx`` from 0 to n - 1; every sample at most once, and for all but train_test exactly once."""
+    o, by, plain = _asked(df, kind, options)
+    rows = df.select("sample_idx", *([by] if by else []))
+    seed = o.get("seed") if o.get("shuffle") else None
     if o.get("stratify_by") is not None:
         found = splits.stratified_k_fold(rows, by, o["n_splits"], seed) if kind == "kfold" else splits.stratified_train_test(rows, by, o["test_size"])
     else:

@@ -227,3 +227,31 @@ def test_models_of_every_estimator_score_streams(spark, table, tmp_path):
         if node not in ("plsda", "svr", "pca"):
             with pytest.raises(Refused, match="no coefficients"):
                 model.coefficients()
+
+
+def test_only_splits_are_stored(spark, table, tmp_path):
+    """Parameters suffice: no row is stored once a fold, and the numbers are those of stored matrices."""
+    plan = Pipeline((
+        Node.of("source", "source"), Node.of("split", "loo", "source", group_by="site"), Node.of("scale", "autoscale", "split"), Node.of("centre", "mean_centre", "scale"),
+        Node.of("model", "mlr", "centre", target="y"), Node.of("classes", "lda", "centre", class_column="kind", n_components=2),
+    ))
+    stored = Execution(plan, table, "v1", Store(spark, f"{tmp_path}/a")).run()
+    run = Execution(plan, table, "v1", Store(spark, f"{tmp_path}/b"), "splits")
+    derived = run.run()
+    for node in ("model", "classes"):
+        assert [m[:2] for m in derived.metrics[node]] == [m[:2] for m in stored.metrics[node]]
+        assert np.allclose([m[2] for m in derived.metrics[node]], [m[2] for m in stored.metrics[node]])
+    assert [i for i, c in run.known.items() if c.rows] == ["split"] and run.known["split"].rows == {ALL: N}
+    again = Execution(plan, table.where("1 / 0 > 0"), "v1", Store(spark, f"{tmp_path}/b"), "splits")
+    assert again.run().summary()["reused"] == 5 and np.allclose(matrix(again.matrix("centre").everything()).mean(0), 0, atol=1e-12)
+    assert again.matrix("centre").held_out().count() == N
+
+
+def test_one_column_deals_a_numbering_where_it_can(spark):
+    from spectrail.operators.order import numbered
+
+    rows = [(i // 3, (7 * i) % 5, i) for i in range(900)] + [(None, 1, 900), (5, None, 901)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint").repartition(3)
+    for by in (("a", "b", "c"), ("b", "a", "c")):  # b has five values, so it can't
+        order = sorted(rows, key=lambda r: [(r["abc".index(k)] is not None, r["abc".index(k)] or 0) for k in by])
+        assert [(r.a, r.b, r.c) for r in numbered(df, *by, rows_a_range=40).orderBy("sample_idx").collect()] == order
