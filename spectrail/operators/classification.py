@@ -136,8 +136,9 @@ def svm(df: DataFrame, label: str, components: int, c: float = 1.0, kind: str =
     classes = classes_of(rows, label)
     model, mean = fit_pca(rows, components, x)
     scored = rows.select("sample_idx", F.lit(0).alias("machine"), block(lambda r: (r - mean) @ model.loadings, x).alias("t"), F.lit(True).alias("learns"), F.col(label).alias("label"))
-    solved, _ = dual.svm_solved(scored, "label", classes, kind, {0: gamma or 1 / (components * score_variance(model))}, c, tol)
-    return dual.svm_votes(solved, classes).select("sample_idx", "observed", "predicted")
+    widths = {0: gamma or 1 / (components * score_variance(model))}
+    solved, _ = dual.svm_solved(scored, "label", classes, kind, widths, c, tol)
+    return dual.svm_votes(solved, scored, "label", classes, kind, widths).select("sample_idx", "observed", "predicted")
 
 
 def logistic(df: DataFrame, label: str, components: int, c: float = 1.0, x: str = "x") -> DataFrame:

@@ -297,8 +297,9 @@ def _machines(m, fronts: dict[int, tuple], keep: list[str]) -> DataFrame:
 def _svm(m, o: dict) -> Found:
     m = _with(m, _label=_target(m, o["class_column"]))
     classes, fronts = classification.classes_of(m.everything(), "_label"), _fronts(m, o["n_components"])
-    solved, pairs = dual.svm_solved(_machines(m, fronts, ["_label"]), "_label", classes, o["kernel"], {k: _gamma(o, f) for k, f in fronts.items()}, o["C"])
-    found = dual.svm_votes(solved, classes).where("learns = (machine = -1)").select("sample_idx", F.col("machine").alias("fold"), "observed", "predicted")
+    rows, widths = _machines(m, fronts, ["_label"]), {k: _gamma(o, f) for k, f in fronts.items()}
+    solved, pairs = dual.svm_solved(rows, "_label", classes, o["kernel"], widths, o["C"])
+    found = dual.svm_votes(solved, rows, "_label", classes, o["kernel"], widths).where("learns = (machine = -1)").select("sample_idx", F.col("machine").alias("fold"), "observed", "predicted")
     first = sorted(fronts).index(ALL) * len(pairs)
     model = _machine_model("machines", o, fronts[ALL], solved, F.col("owner") == ALL, list(range(first, first + len(pairs))), classes=classes, pairs=np.array(pairs, float), n_classes=np.array([len(classes)]))
     return Found(found.withColumn("part", F.when(F.col("fold") == ALL, "calibration").otherwise("cross_validation")), _class_numbers, model)

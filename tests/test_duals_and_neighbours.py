@@ -134,3 +134,33 @@ def test_free_variables_stay_in_the_working_set(spark):
     least = 0.5 * (alpha * sign) @ kernels.kernel(t, t, "rbf", gamma) @ (alpha * sign) - alpha.sum()
     got = dual.solve(variables(spark, t, sign, np.where(sign > 0, 0, -c), np.where(sign > 0, c, 0)), "rbf", {0: gamma}, working=40, most_rounds=40)
     assert abs(got.objective[0] - least) <= 1e-5 * abs(least)
+
+
+def test_classifiers_start_at_bounds_and_carry_no_rows(spark, monkeypatch):
+    """Labels without structure, in several broadcasts: nearly all variables end at a bound, and rounds that start from zero bring a few there each."""
+    for name, value in (("WORKING_AT_BOUNDS", 100), ("_SPREAD", 500), ("_SUPPORT", 300)):
+        monkeypatch.setattr(dual, name, value, raising=False)
+    rng, n, gamma = np.random.default_rng(4), 1200, 0.3
+    t, of, learns = rng.normal(size=(n, 3)), rng.integers(0, 3, n), np.arange(n) % 10 > 0
+    df = spark.createDataFrame([(i, 7, t[i].tolist(), bool(learns[i]), "abc"[of[i]]) for i in range(n)], "sample_idx bigint, machine int, t array<double>, learns boolean, label string")
+    solved, pairs = dual.svm_solved(df, "label", ["a", "b", "c"], "rbf", {7: gamma}, 1.0, 1e-5)
+    assert solved.rows.count() == 2 * learns.sum() and solved.rounds <= 25
+    votes = np.zeros((n, 3))
+    for p, (i, j) in enumerate(pairs):
+        use = learns & ((of == i) | (of == j))
+        sign, k = np.where(of[use] == i, 1.0, -1.0), kernels.kernel(t[use], t[use], "rbf", gamma)
+        alpha, rho = kernels.smo(k, sign, -np.ones(use.sum()), 1.0, tol=1e-6)
+        least = 0.5 * (alpha * sign) @ k @ (alpha * sign) - alpha.sum()
+        assert abs(solved.objective[p] - least) <= 1e-6 * abs(least) and solved.gap[p] < 1e-5
+        votes[np.arange(n), np.where(kernels.kernel(t, t[use], "rbf", gamma) @ (alpha * sign) - rho > 0, i, j)] += 1
+    got = {r.sample_idx: (r.machine, r.learns, r.predicted) for r in dual.svm_votes(solved, df, "label", ["a", "b", "c"], "rbf", {7: gamma}).collect()}
+    assert len(got) == n and all(got[i][:2] == (7, bool(learns[i])) for i in range(n))
+    assert sum(got[i][2] == "abc"[votes[i].argmax()] for i in range(n)) >= n - 3
+
+
+def test_choices_meet_from_many_partitions(spark):
+    n = 900
+    v = RNG.normal(size=n)
+    rows = variables(spark, RNG.normal(size=(n, 2)), v, np.zeros(n), np.ones(n)).repartition(40)
+    choose = lambda pdf: dual._chosen(pdf, 50, 1)
+    assert set(choose(dual._met(rows, [0], choose).toPandas())["var"]) == set(np.argsort(v)[-25:])
