@@ -175,7 +175,7 @@ def svr_machines(df: DataFrame, y: str, components: int, fold: str = "fold", x:
 def svr(df: DataFrame, y: str, components: int, c: float = 1.0, epsilon: float = 0.1, kind: str = "rbf", gamma: float | None = None, fold: str = "fold", x: str = "x", tol: float = 1e-3) -> DataFrame:
     """sample_idx, fold, y, p: epsilon-insensitive regression on component scores, refitted without each fold; the response isn't centred."""
     rows, usual = svr_machines(df, y, components, fold, x)
-    solved = dual.solve(dual.svr_rows(rows, "y", c, epsilon), kind, {k: gamma or g for k, g in usual.items()}, tol)
+    ((_, solved),) = dual.svr_path(rows, "y", [c], kind, {k: gamma or g for k, g in usual.items()}, epsilon, tol)
     return solved.decided().where("asked and not learns").select("sample_idx", F.col("machine").alias("fold"), "y", F.col("decision").alias("p"))
 
 

@@ -200,3 +200,37 @@ def test_bounds_of_a_curve_go_on_from_each_other(spark, monkeypatch):
         assert np.isclose(r.c, c) and np.isclose(r.rmsecv, np.sqrt(((y[~learns] - f) ** 2).mean()), atol=1e-4)
     support = int((alpha > 1e-9).sum())
     assert support > 200 and sum(moved) < 6 * support and len(moved) <= 45
+
+
+def test_held_out_regression_comes_by_smaller_bounds(spark, monkeypatch):
+    """A machine of several sets is solved for smaller bounds first, and then moves few variables for the one that is asked for."""
+    monkeypatch.setattr(dual, "WORKING_NEAR_EDGES", 300, raising=False)
+    rng, n, eps, bounds, moved, solve, added = np.random.default_rng(18), 600, 0.1, [], [], dual.solve, dual._added
+
+    def solved(variables, *rest, **named):
+        bounds.append(variables.agg(F.max("hi")).first()[0])
+        moved.append(0)
+        return solve(variables, *rest, **named)
+
+    def counted(state, changed, *rest):
+        moved[-1] += sum(len(m[0]) for m in changed.values())
+        return added(state, changed, *rest)
+
+    monkeypatch.setattr(dual, "solve", solved)
+    monkeypatch.setattr(dual, "_added", counted)
+    x = rng.normal(size=(n, 3))
+    y, fold = 0.15 * rng.normal(size=n) + 0.05 * np.sin(x[:, 0]), np.arange(n) % 2
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), int(fold[i])) for i in range(n)], "sample_idx bigint, x array<double>, y double, fold int")
+    got = {r.sample_idx: r.p for r in regression.svr(df, "y", 2, c=1.0, epsilon=eps, tol=1e-5).collect()}
+    support = 0
+    for k in range(2):
+        a = x[fold != k] - x[fold != k].mean(0)
+        p, v = kernels.pca(a, 2).loadings, y[fold != k]
+        b, a = (x[fold == k] - x[fold != k].mean(0)) @ p, a @ p
+        g = 1 / (2 * a.var())
+        alpha, rho = kernels.smo(np.tile(kernels.kernel(a, a, "rbf", g), (2, 2)), np.repeat([1.0, -1.0], len(v)), np.concatenate([eps - v, eps + v]), 1.0, tol=1e-6)
+        want = kernels.kernel(b, a, "rbf", g) @ (alpha[: len(v)] - alpha[len(v) :]) - rho
+        support += int((alpha > 1e-9).sum())
+        assert np.allclose([got[i] for i in np.flatnonzero(fold == k)], want, atol=1e-3)
+    assert bounds[-1] == 1.0 and len(bounds) > 1 and bounds == sorted(bounds)
+    assert moved[-1] < support
